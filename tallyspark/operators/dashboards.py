@@ -137,21 +137,18 @@ def reconciliation(branch: DataFrame, specialist: DataFrame) -> DataFrame:
     return out.withColumns({"delta": delta, "status": F.when(F.abs(delta) < TOLERANCE, F.lit("matched")).otherwise(F.lit("drift"))})
 
 
-def kpi_row(branch_facts: DataFrame, tour: DataFrame, others: DataFrame, period: Period = Period(), entity: str | None = None, seller: str | None = None) -> DataFrame:
+def kpi_row(branch_facts: DataFrame, receipts: DataFrame, period: Period = Period(), entity: str | None = None, seller: str | None = None) -> DataFrame:
     """One row: line totals and shares, distinct branches and distinct salespeople in view."""
     facts = filtered(branch_facts, period, entity)
     sums = facts.agg(
         *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in LINES], F.countDistinct("entity").alias("branch_count")
     ).withColumn("total", line_total())
-    people = None
-    for frame in (tour, others):
-        part = period.apply(frame, "unified_date")
-        if entity is not None:
-            part = part.where(F.trim("branch") == entity.strip())
-        if seller is not None:
-            part = part.where(F.trim("salesperson") == seller.strip())
-        names = part.select(F.trim("salesperson").alias("s"))
-        people = names if people is None else people.unionByName(names)
+    people = period.apply(receipts, "unified_date")
+    if entity is not None:
+        people = people.where(F.trim("branch") == entity.strip())
+    if seller is not None:
+        people = people.where(F.trim("salesperson") == seller.strip())
+    people = people.select(F.trim("salesperson").alias("s"))
     row = attach_one_row(sums, people.where(F.col("s") != "").agg(F.countDistinct("s").alias("salesperson_count")))
     shares = {f"{c}_share_pct": F.when(F.col("total") != 0, F.round(F.col(c) / F.col("total") * 100, 1)).otherwise(F.lit(0.0)) for c in LINES}
     return row.withColumns(shares)

@@ -73,10 +73,11 @@ def options(df: DataFrame, column: str) -> DataFrame:
     return df.select(text.alias("value")).where(F.col("value") != "").distinct().orderBy("value")
 
 
-def date_context(tour: DataFrame, others: DataFrame) -> DataFrame:
+def date_context(receipts: DataFrame) -> DataFrame:
     """One row: row counts, date bounds, and the years and months present."""
-    both = tour.select("unified_date", F.lit(1).alias("t")).unionByName(others.select("unified_date", F.lit(0).alias("t")))
-    daily = both.groupBy("unified_date").agg(F.sum("t").alias("tour_rows"), F.sum(1 - F.col("t")).alias("others_rows"))
+    daily = receipts.groupBy("unified_date").agg(
+        F.count(F.when(F.col("is_tour"), 1)).alias("tour_rows"), F.count(F.when(~F.col("is_tour"), 1)).alias("others_rows")
+    )
     day = F.col("unified_date")
     return daily.agg(
         F.sum("tour_rows").alias("tour_rows"),

@@ -71,16 +71,23 @@ EXPORT_COLUMNS = {
 
 @dataclass(frozen=True)
 class Mart:
-    """Normalised tour and others receipts with the rules the reports need.
+    """Normalised receipts of both tables (``is_tour`` tells them apart) with the rules the reports need.
 
     ``tie_order`` names columns that fix the order of receipts with the same transaction time.
     """
 
-    tour: DataFrame
-    others: DataFrame
+    receipts: DataFrame
     rules: BusinessRules
     tie_order: tuple[str, ...] = ()
 
+    @property
+    def tour(self) -> DataFrame:
+        return self.receipts.where("is_tour").drop("is_tour")
+
+    @property
+    def others(self) -> DataFrame:
+        return self.receipts.where(~F.col("is_tour")).drop("is_tour")
+
     # --- shared pieces ---------------------------------------------------------------------------------------
 
     def is_desk(self) -> Column:
@@ -99,13 +106,11 @@ class Mart:
 
     def lined(self, extra: tuple[str, ...] = ()) -> DataFrame:
         """Both tables in long form: one row per receipt with its business line."""
-        names = [c for c in ("branch", "salesperson", "unified_date", "amount", *extra)]
-        tour = self.tour.select(*names, F.when(self.is_cruise(), F.lit("cruise")).otherwise(F.lit("tour")).alias("line"))
-        return tour.unionByName(self.others.select(*names, F.lit("ticket").alias("line")))
+        line = F.when(~F.col("is_tour"), F.lit("ticket")).when(self.is_cruise(), F.lit("cruise")).otherwise(F.lit("tour"))
+        return self.receipts.select("branch", "salesperson", "unified_date", "amount", *extra, line.alias("line"))
 
     def days(self) -> DataFrame:
-        both = self.tour.select("unified_date").unionByName(self.others.select("unified_date"))
-        return both.where(F.col("unified_date").isNotNull()).distinct()
+        return self.receipts.select("unified_date").where(F.col("unified_date").isNotNull()).distinct()
 
     @staticmethod
     def line_sums() -> list[Column]:
@@ -173,7 +178,7 @@ class Mart:
 
         amounts = own(self.lined()).select("branch", seller.alias("salesperson"), F.col("unified_date").alias("day"), "line", "amount")
         # the first receipt is chosen among the receipts of these branches
-        scoped = Mart(own(self.tour), self.others, self.rules, self.tie_order)
+        scoped = Mart(own(self.receipts), self.rules, self.tie_order)
         first = scoped.first_receipts()
         people = first.select(
             "branch", seller.alias("salesperson"), self.trans_day(first).alias("day"), F.lit("people").alias("line"), F.col("qty").alias("amount")
@@ -300,7 +305,7 @@ class Mart:
                 "specialist_daily_tickets": self.daily_tickets("specialist"),
                 "branch_route_money": self.branch_route_money(),
                 "branch_ticket_money": self.branch_ticket_money(),
-                "detail_all": export_detail(union_tables(self.tour, self.others)),
+                "detail_all": export_detail(self.receipts),
                 "detail_tour": export_detail(self.tour),
                 "detail_others": export_detail(self.others),
                 "branch_route_daily": self.route_daily("branch"),
@@ -310,9 +315,10 @@ class Mart:
         return out
 
 
-def union_tables(tour: DataFrame, others: DataFrame) -> DataFrame:
-    a = tour.withColumn("business_kind", F.lit("旅行團"))
-    return a.unionByName(others.withColumn("business_kind", F.lit("其它業務")), allowMissingColumns=True)
+def tag_tables(tour: DataFrame, others: DataFrame) -> DataFrame:
+    """Both detail tables as one frame. Filters on the literal tag prune the other table's scan."""
+    a = tour.withColumn("is_tour", F.lit(True))
+    return a.unionByName(others.withColumn("is_tour", F.lit(False)), allowMissingColumns=True)
 
 
 def export_detail(df: DataFrame) -> DataFrame:
@@ -334,13 +340,12 @@ def _as_text(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("string")
 
 
-def report_variants(tour: DataFrame, others: DataFrame, rules: BusinessRules, tie_order: tuple[str, ...] = ()) -> dict[str, dict[str, DataFrame]]:
+def report_variants(receipts: DataFrame, rules: BusinessRules, tie_order: tuple[str, ...] = ()) -> dict[str, dict[str, DataFrame]]:
     """The three report sets: everything, without write-offs, and the official scope with the salesperson sheet."""
-    from tallyspark.operators.scope import official_scope
+    from tallyspark.operators.scope import official_rows
 
     def build(types, methods, with_salesperson):
-        a, b = official_scope(tour, others, types, methods)
-        return Mart(a, b, rules, tie_order).reports(with_salesperson)
+        return Mart(official_rows(receipts, types, methods), rules, tie_order).reports(with_salesperson)
 
     return {
         "all": build((), (), False),

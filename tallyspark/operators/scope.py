@@ -44,21 +44,22 @@ def official_scope(
     return drop_orders(tour, out), drop_orders(others, out)
 
 
-def scope_audit(tour: DataFrame, others: DataFrame, types=EXCLUDED_RECEIPT_TYPES, methods=EXCLUDED_PAY_METHODS) -> DataFrame:
+def official_rows(receipts: DataFrame, types=EXCLUDED_RECEIPT_TYPES, methods=EXCLUDED_PAY_METHODS) -> DataFrame:
+    """The same over one frame that holds both tables."""
+    if not types and not methods:
+        return receipts
+    return drop_orders(receipts, excluded_orders([receipts], types, methods))
+
+
+def scope_audit(receipts: DataFrame, types=EXCLUDED_RECEIPT_TYPES, methods=EXCLUDED_PAY_METHODS) -> DataFrame:
     """One row: orders out, rows and amount before, after and out.
 
     Rows shrink to one per order before anything else, so the audit needs no second read and no join.
     """
-    both = None
-    for frame in (tour, others):
-        part = frame.select(
-            F.trim("order_id").alias("order_id"),
-            F.coalesce("amount", F.lit(0.0)).alias("amount"),
-            is_excluded_receipt(frame, types, methods).alias("_bad"),
-        )
-        both = part if both is None else both.unionByName(part)
-    per_order = both.groupBy("order_id").agg(
-        F.max("_bad").alias("_bad"), F.count(F.lit(1)).alias("_rows"), F.sum("amount").alias("_amount")
+    per_order = receipts.groupBy(F.trim("order_id").alias("order_id")).agg(
+        F.max(is_excluded_receipt(receipts, types, methods)).alias("_bad"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.coalesce(F.sum("amount"), F.lit(0.0)).alias("_amount"),
     )
     out = F.col("_bad") & F.col("order_id").isNotNull() & (F.col("order_id") != "")
     kept = F.coalesce(~out, F.lit(True))
@@ -86,25 +87,21 @@ def filter_upload(new: DataFrame, stored_receipts: DataFrame, types=EXCLUDED_REC
     return new.where(~bad).unionByName(readmitted)
 
 
-def exclude_listed(tour: DataFrame, others: DataFrame, listed: DataFrame) -> dict[str, DataFrame]:
+def exclude_listed(receipts: DataFrame, listed: DataFrame) -> dict[str, DataFrame]:
     """Take listed orders out of both tables and report which listed ids matched anything."""
     ids = listed.select("order_id").distinct()
-    both = tour.select("order_id").unionByName(others.select("order_id")).distinct()
+    present = receipts.select("order_id").distinct()
     return {
-        "tour": drop_orders(tour, ids),
-        "others": drop_orders(others, ids),
-        "excluded": tour.withColumn("source_table", F.lit("旅行團"))
-        .unionByName(others.withColumn("source_table", F.lit("其他業務")), allowMissingColumns=True)
-        .join(ids, "order_id", "left_semi"),
-        "matched": ids.join(both, "order_id", "left_semi"),
-        "unmatched": ids.join(both, "order_id", "left_anti"),
+        "kept": drop_orders(receipts, ids),
+        "excluded": receipts.join(ids, "order_id", "left_semi"),
+        "matched": ids.join(present, "order_id", "left_semi"),
+        "unmatched": ids.join(present, "order_id", "left_anti"),
     }
 
 
-def freshness(tour: DataFrame, others: DataFrame, audit: DataFrame) -> DataFrame:
+def freshness(official: DataFrame, audit: DataFrame) -> DataFrame:
     """Date span of the official rows next to the audit counts."""
-    days = tour.select("unified_date").unionByName(others.select("unified_date"))
-    span = days.agg(
+    span = official.agg(
         F.date_format(F.min("unified_date"), "yyyy-MM-dd").alias("min_date"),
         F.date_format(F.max("unified_date"), "yyyy-MM-dd").alias("max_date"),
     )

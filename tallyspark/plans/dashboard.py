@@ -8,24 +8,22 @@ from tallyspark.functions.hashing import state_token, table_print
 from tallyspark.operators import dashboards as d
 from tallyspark.operators.filters import Period
 from tallyspark.operators.mart import Mart
-from tallyspark.operators.scope import freshness, official_scope, scope_audit
+from tallyspark.operators.scope import freshness, official_rows, scope_audit
 from tallyspark.rules import BusinessRules
 
 
-def build_facts(tour: DataFrame, others: DataFrame, rules: BusinessRules, tie_order: tuple[str, ...] = (), keep: bool = False) -> dict:
+def build_facts(receipts: DataFrame, rules: BusinessRules, tie_order: tuple[str, ...] = (), keep: bool = False) -> dict:
     """Raw, official and daily-fact frames under one rule set; ``keep`` persists the two small grids."""
-    a, b = official_scope(tour, others, rules.excluded_types, rules.excluded_methods)
-    mart = Mart(a, b, rules, tie_order)
+    official = official_rows(receipts, rules.excluded_types, rules.excluded_methods)
+    mart = Mart(official, rules, tie_order)
     branch, specialist = mart.branch_facts(), mart.specialist_facts()
     if keep:
         branch, specialist = branch.persist(), specialist.persist()
     return {
         "mart": mart,
-        "raw_tour": tour,
-        "raw_others": others,
-        "tour": a,
-        "others": b,
-        "audit": scope_audit(tour, others, rules.excluded_types, rules.excluded_methods),
+        "raw": receipts,
+        "official": official,
+        "audit": scope_audit(receipts, rules.excluded_types, rules.excluded_methods),
         "branch_facts": branch,
         "specialist_facts": specialist,
         "rules": rules,
@@ -34,7 +32,7 @@ def build_facts(tour: DataFrame, others: DataFrame, rules: BusinessRules, tie_or
 
 def facts_token(facts: dict, columns: list[str]) -> DataFrame:
     """Content token of the frames behind the facts."""
-    prints = {k: table_print(facts[k], columns) for k in ("raw_tour", "raw_others", "tour", "others")}
+    prints = {k: table_print(facts[k], columns) for k in ("raw", "official")}
     return state_token(prints, facts["rules"].fingerprint())
 
 
@@ -42,9 +40,9 @@ def dashboard_summary(facts: dict, period: Period = Period(), entity: str | None
     branch, specialist = facts["branch_facts"], facts["specialist_facts"]
     return {
         "scope_audit": facts["audit"],
-        "kpis": d.kpi_row(branch, facts["tour"], facts["others"], period, entity, seller),
+        "kpis": d.kpi_row(branch, facts["official"], period, entity, seller),
         "revenue_totals": d.revenue_totals(branch, specialist, period, entity, seller),
-        "data_freshness": freshness(facts["tour"], facts["others"], facts["audit"]),
+        "data_freshness": freshness(facts["official"], facts["audit"]),
         "branch_ranking": d.ranking(d.filtered(branch, period, entity), top=20, share_after_top=True),
         "specialist_ranking": d.ranking(d.filtered(specialist, period, seller), top=20, share_after_top=True),
         "product_mix": specialist.orderBy("entity", "day").limit(50),

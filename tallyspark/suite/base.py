@@ -194,12 +194,12 @@ class Tables:
         both = self.receipts(*wanted, "is_tour")
         return both.where("is_tour").drop("is_tour"), both.where(~F.col("is_tour")).drop("is_tour")
 
-    def official(self, *roles: str) -> tuple[DataFrame, DataFrame]:
-        from tallyspark.operators.scope import official_scope
+    def official(self, *roles: str) -> DataFrame:
+        """Receipts of both tables in the official scope."""
+        from tallyspark.operators.scope import official_rows
 
-        wanted = tuple(dict.fromkeys((*(roles or ALL_ROLES), "order_id", "receipt_type", "pay_method")))
-        tour, others = self.split(*wanted)
-        return official_scope(tour, others)
+        wanted = dict.fromkeys((*(roles or ALL_ROLES), "order_id", "receipt_type", "pay_method", "is_tour"))
+        return official_rows(self.receipts(*wanted))
 
 
 def money(name: str, out: str | None = None) -> Column:

@@ -50,8 +50,7 @@ _IS_DESK = f"branch = '{DESK}'"
 
 
 def _mart(t, *roles: str) -> m.Mart:
-    tour, others = t.official(*(roles or ALL_ROLES))
-    return m.Mart(tour, others, RULES, TIES)
+    return m.Mart(t.official(*(roles or ALL_ROLES)), RULES, TIES)
 
 
 _FACT_ROLES = ("branch", "salesperson", "unified_date", "amount", "dept")
@@ -248,7 +247,7 @@ def a10(t):
  '' AS dest_name, sub_branch, source_tag FROM official""",
 )
 def s14(t):
-    rows = m.export_detail(m.union_tables(*t.official()))
+    rows = m.export_detail(t.official())
     return rows.withColumn("amount", F.format_string("%.2f", F.col("amount").cast("double")))
 
 
@@ -322,7 +321,7 @@ SELECT round(tour, 2) AS tour, round(cruise, 2) AS cruise, round(ticket, 2) AS t
 )
 def a17(t):
     mart = _mart(t, *_FACT_ROLES)
-    return rounded(d.kpi_row(mart.branch_facts(), mart.tour, mart.others, Period(years=(1998,))), 2)
+    return rounded(d.kpi_row(mart.branch_facts(), mart.receipts, Period(years=(1998,))), 2)
 
 
 def _ranking_sql(source: str, where: str = "true", limit: str = "", share_over: str = "all_rows") -> str:
@@ -470,7 +469,7 @@ UNION ALL SELECT 'branch_ranking', least(20, count(DISTINCT entity)) FROM branch
 UNION ALL SELECT 'product_mix', least(50, count(*)) FROM specialist_facts""",
 )
 def c06(t):
-    facts = plan.build_facts(*t.split(), RULES, TIES)
+    facts = plan.build_facts(t.receipts(), RULES, TIES)
     return _sizes(plan.dashboard_summary(facts))
 
 
@@ -480,10 +479,10 @@ def c06(t):
 UNION ALL SELECT 'branch_facts', count(*), round(sum({_TOTAL}), 2) FROM branch_facts UNION ALL SELECT 'specialist_facts', count(*), round(sum({_TOTAL}), 2) FROM specialist_facts""",
 )
 def c41(t):
-    facts = plan.build_facts(*t.split(), RULES, TIES)
+    facts = plan.build_facts(t.receipts(), RULES, TIES)
     frames = {
-        "raw": facts["raw_tour"].unionByName(facts["raw_others"]).select("amount"),
-        "official": facts["tour"].unionByName(facts["others"]).select("amount"),
+        "raw": facts["raw"].select("amount"),
+        "official": facts["official"].select("amount"),
         "branch_facts": facts["branch_facts"].select(d.line_total().alias("amount")),
         "specialist_facts": facts["specialist_facts"].select(d.line_total().alias("amount")),
     }

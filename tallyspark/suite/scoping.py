@@ -16,7 +16,7 @@ _SCOPE = ("order_id", "amount", "receipt_type", "pay_method")
     f"WITH {OFFICIAL_SQL} SELECT order_id FROM poisoned",
 )
 def excluded_orders(t):
-    return scope.excluded_orders(list(t.split(*_SCOPE)))
+    return scope.excluded_orders([t.receipts(*_SCOPE)])
 
 
 @query(
@@ -25,9 +25,8 @@ def excluded_orders(t):
 SELECT is_tour, unified_date::VARCHAR AS day, count(*) AS receipts, round(sum(amount), 2) AS amount FROM official GROUP BY 1, 2""",
 )
 def official_rows(t):
-    tour, others = t.official("order_id", "amount", "unified_date")
-    both = tour.withColumn("is_tour", F.lit(True)).unionByName(others.withColumn("is_tour", F.lit(False)))
-    out = both.groupBy("is_tour", F.date_format("unified_date", "yyyy-MM-dd").alias("day"))
+    rows = t.official("order_id", "amount", "unified_date")
+    out = rows.groupBy("is_tour", F.date_format("unified_date", "yyyy-MM-dd").alias("day"))
     return out.agg(F.count(F.lit(1)).alias("receipts"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
@@ -52,7 +51,7 @@ SELECT '不含掛賬核銷與TT退款轉團款' AS scope_label, (SELECT count(*)
 
 @query("A19_scope_audit", _AUDIT_SQL)
 def scope_audit(t):
-    return rounded(scope.scope_audit(*t.split(*_SCOPE)), 2)
+    return rounded(scope.scope_audit(t.receipts(*_SCOPE)), 2)
 
 
 @query("C03_official_scope_frames", _AUDIT_SQL)
@@ -85,9 +84,8 @@ def official_frames(t):
  '不含掛賬核銷與TT退款轉團款' AS scope FROM official""",
 )
 def data_freshness(t):
-    tour, others = t.split(*_SCOPE, "unified_date")
-    a, b = scope.official_scope(tour, others)
-    return scope.freshness(a, b, scope.scope_audit(tour, others))
+    rows = t.receipts(*_SCOPE, "unified_date")
+    return scope.freshness(scope.official_rows(rows), scope.scope_audit(rows))
 
 
 @query(
@@ -181,14 +179,13 @@ def exclude_listed(t):
     from tallyspark.suite.base import order_code
 
     listed = t.orders.select(order_code(F.col("o_custkey") * 11).alias("order_id")).distinct()
-    parts = scope.exclude_listed(*t.split("order_id", "amount"), listed)
-    kept = parts["tour"].unionByName(parts["others"])
+    parts = scope.exclude_listed(t.receipts("order_id", "amount"), listed)
     size = lambda df, name: df.agg(
         F.lit(name).alias("part"),
         F.count(F.lit(1)).alias("n"),
         (F.round(F.sum("amount"), 2) if "amount" in df.columns else F.lit(None).cast("double")).alias("amount"),
     )
-    out = size(kept, "kept")
+    out = size(parts["kept"], "kept")
     for name in ("excluded", "matched", "unmatched"):
         out = out.unionByName(size(parts[name], name))
     return out
@@ -216,4 +213,4 @@ def choice_lists(t):
  (SELECT string_agg(m, ',' ORDER BY m) FROM (SELECT DISTINCT strftime(unified_date, '%Y-%m') AS m FROM receipts)) AS months FROM receipts""",
 )
 def date_bounds(t):
-    return date_context(*t.split("unified_date"))
+    return date_context(t.receipts("unified_date", "is_tour"))
