@@ -21,16 +21,17 @@ def line_total() -> Column:
     return F.col("tour") + F.col("cruise") + F.col("ticket")
 
 
-def filtered(facts: DataFrame, period: Period, entity: str | None = None) -> DataFrame:
+def filtered(facts: DataFrame, period: Period, entity: str | None = None, seller: str | None = None) -> DataFrame:
+    """Facts of a period; ``entity`` narrows the branch channel, ``seller`` the specialist channel."""
     out = facts.where(period.predicate(F.col("day")))
-    return out if entity is None else out.where(F.trim("entity") == entity.strip())
+    for channel, name in (("branch", entity), ("specialist", seller)):
+        if name is not None:
+            out = out.where((F.col("channel") != channel) | (F.trim("entity") == name.strip()))
+    return out
 
 
-def both_channels(branch: DataFrame, specialist: DataFrame) -> DataFrame:
-    """The two fact grids in one long frame with a channel column."""
-    names = ["entity", "day", *LINES]
-    a = branch.select(*names, F.lit("branch").alias("channel"))
-    return a.unionByName(specialist.select(*names, F.lit("specialist").alias("channel")))
+def of_channel(facts: DataFrame, channel: str) -> DataFrame:
+    return facts.where(F.col("channel") == channel)
 
 
 def _channel_sum(channel: str) -> Column:
@@ -48,8 +49,8 @@ def _channel_totals(facts: DataFrame, keys: list[Column]) -> DataFrame:
     return sums.withColumn("combined_revenue", F.col("branch_revenue") + F.col("specialist_revenue"))
 
 
-def annual_summary(branch: DataFrame, specialist: DataFrame) -> DataFrame:
-    totals = _channel_totals(both_channels(branch, specialist), [F.year("day").alias("year")])
+def annual_summary(facts: DataFrame) -> DataFrame:
+    totals = _channel_totals(facts, [F.year("day").alias("year")])
     return totals.withColumns(
         {
             "branch_share_pct": _share(F.col("branch_revenue"), F.col("combined_revenue")),
@@ -58,17 +59,14 @@ def annual_summary(branch: DataFrame, specialist: DataFrame) -> DataFrame:
     )
 
 
-def monthly_trend(branch: DataFrame, specialist: DataFrame) -> DataFrame:
-    return _channel_totals(both_channels(branch, specialist), [month_key(F.col("day")).alias("month")])
+def monthly_trend(facts: DataFrame) -> DataFrame:
+    return _channel_totals(facts, [month_key(F.col("day")).alias("month")])
 
 
-def revenue_totals(branch: DataFrame, specialist: DataFrame, period: Period = Period(), entity: str | None = None, seller: str | None = None) -> DataFrame:
+def revenue_totals(facts: DataFrame, period: Period = Period(), entity: str | None = None, seller: str | None = None) -> DataFrame:
     """One row of channel totals; choosing a branch empties the specialist side."""
-    a = filtered(branch, period, entity)
-    b = filtered(specialist, period, seller)
-    if entity is not None:
-        b = b.where(F.lit(False))
-    return _channel_totals(both_channels(a, b), [])
+    rows = filtered(facts, period, entity, seller)
+    return _channel_totals(rows if entity is None else of_channel(rows, "branch"), [])
 
 
 def entity_totals(facts: DataFrame) -> DataFrame:
@@ -99,9 +97,9 @@ def product_totals(facts: DataFrame) -> DataFrame:
     return long.select("product", "revenue", _share(F.col("revenue"), F.col("_all")).alias("share_pct"))
 
 
-def year_summary(branch: DataFrame, specialist: DataFrame) -> DataFrame:
+def year_summary(facts: DataFrame) -> DataFrame:
     """Totals by year, channel and product with every subtotal level, in one pass."""
-    long = both_channels(branch, specialist).unpivot(["entity", "day", "channel"], list(LINES), "product", "revenue")
+    long = facts.unpivot(["day", "channel"], list(LINES), "product", "revenue")
     cube = long.select(F.year("day").alias("year"), "channel", "product", "revenue").rollup("year", "channel", "product")
     out = cube.agg(F.sum("revenue").alias("revenue"))
     return out.where(F.col("year").isNotNull()).select(
@@ -109,38 +107,37 @@ def year_summary(branch: DataFrame, specialist: DataFrame) -> DataFrame:
     )
 
 
-def reconciliation(branch: DataFrame, specialist: DataFrame) -> DataFrame:
+def reconciliation(facts: DataFrame) -> DataFrame:
     """Six totals computed along different paths must agree within one unit."""
 
-    def total(df: DataFrame, value: Column) -> DataFrame:
-        return df.agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("v"))
-
-    everything = both_channels(branch, specialist)
-    base = everything.agg(
-        _channel_sum("branch").alias("b"), _channel_sum("specialist").alias("s"), F.coalesce(F.sum(line_total()), F.lit(0.0)).alias("c")
-    )
-    paths = {
-        "annual_total": ("c", total(annual_summary(branch, specialist), F.col("combined_revenue"))),
-        "monthly_total": ("c", total(monthly_trend(branch, specialist), F.col("combined_revenue"))),
-        "branch_ranking_total": ("b", total(entity_totals(branch), F.col("total_revenue"))),
-        "specialist_ranking_total": ("s", total(entity_totals(specialist), F.col("total_revenue"))),
-        "branch_product_total": ("b", total(product_totals(branch), F.col("revenue"))),
-        "specialist_product_total": ("s", total(product_totals(specialist), F.col("revenue"))),
+    def total(df: DataFrame, value: Column) -> Column:
+        return df.agg(F.coalesce(F.sum(value), F.lit(0.0))).scalar()
+
+    def in_channel(channel: str, value: str) -> Column:
+        return F.when(F.col("channel") == channel, F.col(value))
+
+    by_entity = facts.groupBy("channel", "entity").agg(F.sum(line_total()).alias("v"))
+    long = facts.unpivot(["channel"], list(LINES), "product", "amount")
+    by_product = long.groupBy("channel", "product").agg(F.sum("amount").alias("v"))
+    base = facts.agg(_channel_sum("branch").alias("branch"), _channel_sum("specialist").alias("specialist"), F.coalesce(F.sum(line_total()), F.lit(0.0)).alias("combined"))
+    checks = {
+        "annual_total": ("combined", total(annual_summary(facts), F.col("combined_revenue"))),
+        "monthly_total": ("combined", total(monthly_trend(facts), F.col("combined_revenue"))),
+        "branch_ranking_total": ("branch", total(by_entity, in_channel("branch", "v"))),
+        "specialist_ranking_total": ("specialist", total(by_entity, in_channel("specialist", "v"))),
+        "branch_product_total": ("branch", total(by_product, in_channel("branch", "v"))),
+        "specialist_product_total": ("specialist", total(by_product, in_channel("specialist", "v"))),
     }
-    out = None
-    for key, (expected, actual) in paths.items():
-        row = attach_one_row(base, actual).select(
-            F.lit(key).alias("check_key"), F.col(expected).alias("expected"), F.col("v").alias("actual")
-        )
-        out = row if out is None else out.unionByName(row)
+    rows = F.array(*[F.struct(F.lit(k).alias("check_key"), F.col(e).alias("expected"), a.alias("actual")) for k, (e, a) in checks.items()])
+    out = base.select(F.explode(rows).alias("r")).select("r.*")
     delta = F.round(F.col("actual") - F.col("expected"), 2)
     return out.withColumns({"delta": delta, "status": F.when(F.abs(delta) < TOLERANCE, F.lit("matched")).otherwise(F.lit("drift"))})
 
 
-def kpi_row(branch_facts: DataFrame, receipts: DataFrame, period: Period = Period(), entity: str | None = None, seller: str | None = None) -> DataFrame:
+def kpi_row(facts: DataFrame, receipts: DataFrame, period: Period = Period(), entity: str | None = None, seller: str | None = None) -> DataFrame:
     """One row: line totals and shares, distinct branches and distinct salespeople in view."""
-    facts = filtered(branch_facts, period, entity)
-    sums = facts.agg(
+    view = of_channel(filtered(facts, period, entity), "branch")
+    sums = view.agg(
         *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in LINES], F.countDistinct("entity").alias("branch_count")
     ).withColumn("total", line_total())
     people = period.apply(receipts, "unified_date")
@@ -213,21 +210,21 @@ def date_source_diagnostics(main: DataFrame, secondary: dict[str, DataFrame], ta
     return attach_one_row(out.drop("_main"), verdict)
 
 
-def analytics_bundle(branch: DataFrame, specialist: DataFrame, period: Period = Period(), entity: str | None = None, seller: str | None = None) -> dict[str, DataFrame]:
+def analytics_bundle(facts: DataFrame, period: Period = Period(), entity: str | None = None, seller: str | None = None) -> dict[str, DataFrame]:
     """Annual, monthly, ranking, product and reconciliation datasets under one set of filters."""
-    a, b = filtered(branch, period, entity), filtered(specialist, period, seller)
+    view = filtered(facts, period, entity, seller)
+    branch, specialist = of_channel(view, "branch"), of_channel(view, "specialist")
     return {
-        "annual_summary": annual_summary(a, b),
-        "monthly_trend": monthly_trend(a, b),
-        "branch_ranking": ranking(a),
-        "specialist_ranking": ranking(b),
-        "branch_products": product_totals(a),
-        "specialist_products": product_totals(b),
-        "reconciliation": reconciliation(a, b),
+        "annual_summary": annual_summary(view),
+        "monthly_trend": monthly_trend(view),
+        "branch_ranking": ranking(branch),
+        "specialist_ranking": ranking(specialist),
+        "branch_products": product_totals(branch),
+        "specialist_products": product_totals(specialist),
+        "reconciliation": reconciliation(view),
     }
 
 
-def facts_read_model(branch: DataFrame, specialist: DataFrame) -> dict[str, DataFrame]:
+def facts_read_model(facts: DataFrame) -> dict[str, DataFrame]:
     """The all-time bundle plus combined product totals."""
-    combined = both_channels(branch, specialist)
-    return {**analytics_bundle(branch, specialist), "combined_products": product_totals(combined)}
+    return {**analytics_bundle(facts), "combined_products": product_totals(facts)}

@@ -109,9 +109,6 @@ class Mart:
         line = F.when(~F.col("is_tour"), F.lit("ticket")).when(self.is_cruise(), F.lit("cruise")).otherwise(F.lit("tour"))
         return self.receipts.select("branch", "salesperson", "unified_date", "amount", *extra, line.alias("line"))
 
-    def days(self) -> DataFrame:
-        return self.receipts.select("unified_date").where(F.col("unified_date").isNotNull()).distinct()
-
     @staticmethod
     def line_sums() -> list[Column]:
         return [
@@ -144,14 +141,27 @@ class Mart:
 
     # --- daily facts -----------------------------------------------------------------------------------------
 
-    def _grid(self, entities: list[tuple[str, str]], facts: DataFrame, key: str, kind: Column) -> DataFrame:
-        listed = F.explode(F.array(*[F.struct(F.lit(code).alias("code"), F.lit(name).alias("name")) for code, name in entities]))
-        grid = self.days().select("unified_date", listed.alias("e")).select("unified_date", "e.*")
-        sums = facts.groupBy(F.col(key).alias("name"), "unified_date").agg(*self.line_sums())
-        joined = grid.join(sums, ["name", "unified_date"], "left")
+    def facts(self) -> DataFrame:
+        """Every configured branch and every specialist on every day, with the three line amounts.
+
+        The receipts are aggregated once; days and amounts both come from that aggregate, so its shuffle is
+        reused. Keys are made non-null first, which keeps the two uses of it identical for the planner.
+        """
+        lined = self.lined().where(F.col("unified_date").isNotNull())
+        desk = F.coalesce(F.col("branch") == self.rules.specialist_desk, F.lit(False))
+        channel = F.when(desk, F.lit("specialist")).otherwise(F.lit("branch"))
+        entity = F.coalesce(F.when(desk, F.col("salesperson")).otherwise(F.col("branch")), F.lit(""))
+        sums = lined.groupBy(channel.alias("channel"), entity.alias("entity"), "unified_date").agg(*self.line_sums())
+        listed = [("branch", code, name) for code, name in self.rules.branches.items()]
+        listed += [("specialist", name, name) for name in self.rules.specialists]
+        rows = [F.struct(F.lit(c).alias("channel"), F.lit(k).alias("code"), F.lit(n).alias("entity")) for c, k, n in listed]
+        grid = sums.select("unified_date").distinct().select("unified_date", F.explode(F.array(*rows)).alias("e")).select("unified_date", "e.*")
+        joined = grid.join(sums, ["channel", "entity", "unified_date"], "left")
+        kind = F.when(F.col("channel") == "specialist", F.lit(SPECIALIST_KIND)).otherwise(branch_kind(F.col("entity")))
         return joined.select(
+            "channel",
             "code",
-            F.col("name").alias("entity"),
+            "entity",
             kind.alias("kind"),
             F.col("unified_date").alias("day"),
             month_key(F.col("unified_date")).alias("month"),
@@ -159,13 +169,10 @@ class Mart:
         )
 
     def branch_facts(self) -> DataFrame:
-        """Every configured branch on every day, with its three line amounts."""
-        facts = self.lined().where(~self.is_desk())
-        return self._grid(list(self.rules.branches.items()), facts, "branch", branch_kind(F.col("name")))
+        return self.facts().where(F.col("channel") == "branch").drop("channel")
 
     def specialist_facts(self) -> DataFrame:
-        facts = self.lined().where(self.is_desk())
-        return self._grid([(s, s) for s in self.rules.specialists], facts, "salesperson", F.lit(SPECIALIST_KIND))
+        return self.facts().where(F.col("channel") == "specialist").drop("channel")
 
     def branch_salesperson_facts(self) -> DataFrame:
         """Branch, salesperson and day: three amounts, tour people and ticket quantity."""
@@ -281,8 +288,7 @@ class Mart:
 
     def facts_long(self) -> DataFrame:
         """The daily grids of both channels with one row per business line."""
-        both = self.branch_facts().unionByName(self.specialist_facts())
-        return both.unpivot(["code", "entity", "kind", "day", "month"], list(LINES), "line", "amount")
+        return self.facts().unpivot(["channel", "code", "entity", "kind", "day", "month"], list(LINES), "line", "amount")
 
     # --- bundles ---------------------------------------------------------------------------------------------
 

@@ -13,19 +13,16 @@ from tallyspark.rules import BusinessRules
 
 
 def build_facts(receipts: DataFrame, rules: BusinessRules, tie_order: tuple[str, ...] = (), keep: bool = False) -> dict:
-    """Raw, official and daily-fact frames under one rule set; ``keep`` persists the two small grids."""
+    """Raw, official and daily-fact frames under one rule set; ``keep`` persists the small grid."""
     official = official_rows(receipts, rules.excluded_types, rules.excluded_methods)
     mart = Mart(official, rules, tie_order)
-    branch, specialist = mart.branch_facts(), mart.specialist_facts()
-    if keep:
-        branch, specialist = branch.persist(), specialist.persist()
+    facts = mart.facts()
     return {
         "mart": mart,
         "raw": receipts,
         "official": official,
         "audit": scope_audit(receipts, rules.excluded_types, rules.excluded_methods),
-        "branch_facts": branch,
-        "specialist_facts": specialist,
+        "facts": facts.persist() if keep else facts,
         "rules": rules,
     }
 
@@ -37,22 +34,23 @@ def facts_token(facts: dict, columns: list[str]) -> DataFrame:
 
 
 def dashboard_summary(facts: dict, period: Period = Period(), entity: str | None = None, seller: str | None = None) -> dict[str, DataFrame]:
-    branch, specialist = facts["branch_facts"], facts["specialist_facts"]
+    grid = facts["facts"]
+    view = d.filtered(grid, period, entity, seller)
     return {
         "scope_audit": facts["audit"],
-        "kpis": d.kpi_row(branch, facts["official"], period, entity, seller),
-        "revenue_totals": d.revenue_totals(branch, specialist, period, entity, seller),
+        "kpis": d.kpi_row(grid, facts["official"], period, entity, seller),
+        "revenue_totals": d.revenue_totals(grid, period, entity, seller),
         "data_freshness": freshness(facts["official"], facts["audit"]),
-        "branch_ranking": d.ranking(d.filtered(branch, period, entity), top=20, share_after_top=True),
-        "specialist_ranking": d.ranking(d.filtered(specialist, period, seller), top=20, share_after_top=True),
-        "product_mix": specialist.orderBy("entity", "day").limit(50),
+        "branch_ranking": d.ranking(d.of_channel(view, "branch"), top=20, share_after_top=True),
+        "specialist_ranking": d.ranking(d.of_channel(view, "specialist"), top=20, share_after_top=True),
+        "product_mix": d.of_channel(grid, "specialist").orderBy("entity", "day").limit(50),
     }
 
 
 def dashboard_report(facts: dict, period: Period = Period(), entity: str | None = None, seller: str | None = None, gate: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Every dataset of the dashboard report under one set of filters."""
     summary = dashboard_summary(facts, period, entity, seller)
-    analytics = d.analytics_bundle(facts["branch_facts"], facts["specialist_facts"], period, entity, seller)
+    analytics = d.analytics_bundle(facts["facts"], period, entity, seller)
     names = ("kpis", "revenue_totals", "data_freshness", "branch_ranking", "specialist_ranking", "product_mix")
     more = ("annual_summary", "monthly_trend", "branch_products", "specialist_products", "reconciliation")
     return {**{n: summary[n] for n in names}, **{n: analytics[n] for n in more}, **(gate or {})}

@@ -59,8 +59,11 @@ _TICKET_ROLES = ("tour_name", "source_tag", "qty", "trans_time", "days", *_FACT_
 
 
 def _facts(t):
-    mart = _mart(t, *_FACT_ROLES)
-    return mart.branch_facts(), mart.specialist_facts()
+    return _mart(t, *_FACT_ROLES).facts()
+
+
+def _branch(t):
+    return d.of_channel(_facts(t), "branch")
 
 
 # --- scalar categories ---------------------------------------------------------------------------------------
@@ -95,12 +98,12 @@ def _select_facts(name: str, cte: str = FACTS_SQL) -> str:
 
 @query("A01_branch_daily_facts", _select_facts("branch_facts"))
 def a01(t):
-    return rounded(texted(_facts(t)[0]), 2)
+    return rounded(texted(_mart(t, *_FACT_ROLES).branch_facts()), 2)
 
 
 @query("A02_specialist_daily_facts", _select_facts("specialist_facts"))
 def a02(t):
-    return rounded(texted(_facts(t)[1]), 2)
+    return rounded(texted(_mart(t, *_FACT_ROLES).specialist_facts()), 2)
 
 
 @query(
@@ -231,8 +234,8 @@ def a09_specialist(t):
 
 @query(
     "A10_facts_by_line",
-    f"""WITH {FACTS_SQL}, both_facts AS (SELECT * FROM branch_facts UNION ALL SELECT * FROM specialist_facts)
-SELECT code, entity, kind, day::VARCHAR AS day, month, line, round(amount, 2) AS amount FROM both_facts UNPIVOT (amount FOR line IN (tour, cruise, ticket))""",
+    f"""WITH {FACTS_SQL}, both_facts AS (SELECT 'branch' AS channel, * FROM branch_facts UNION ALL SELECT 'specialist', * FROM specialist_facts)
+SELECT channel, code, entity, kind, day::VARCHAR AS day, month, line, round(amount, 2) AS amount FROM both_facts UNPIVOT (amount FOR line IN (tour, cruise, ticket))""",
 )
 def a10(t):
     return rounded(texted(_mart(t, *_FACT_ROLES).facts_long()), 2)
@@ -265,7 +268,7 @@ SELECT CAST(year AS INTEGER) AS year, round(b, 2) AS branch_revenue, round(s, 2)
  CASE WHEN b + s <> 0 THEN round(s / (b + s) * 100, 2) ELSE 0.0 END AS specialist_share_pct FROM y""",
 )
 def a13(t):
-    return rounded(d.annual_summary(*_facts(t)), 2)
+    return rounded(d.annual_summary(_facts(t)), 2)
 
 
 @query(
@@ -274,7 +277,7 @@ def a13(t):
  round(sum(CASE WHEN channel = 'specialist' THEN {_TOTAL} ELSE 0 END), 2) AS specialist_revenue, round(sum({_TOTAL}), 2) AS combined_revenue FROM facts GROUP BY 1""",
 )
 def a14(t):
-    return rounded(d.monthly_trend(*_facts(t)), 2)
+    return rounded(d.monthly_trend(_facts(t)), 2)
 
 
 def _product_sql(source: str) -> str:
@@ -288,8 +291,7 @@ FROM (SELECT sum(tour) AS tour, sum(cruise) AS cruise, sum(ticket) AS ticket, su
 UNION ALL SELECT 'specialist', * FROM ({_product_sql("specialist_facts")}) UNION ALL SELECT 'combined', * FROM ({_product_sql("facts")})""",
 )
 def a15(t):
-    branch, specialist = _facts(t)
-    model = d.facts_read_model(branch, specialist)
+    model = d.facts_read_model(_facts(t))
     out = None
     for channel, name in (("branch", "branch_products"), ("specialist", "specialist_products"), ("combined", "combined_products")):
         part = model[name].withColumn("channel", F.lit(channel))
@@ -305,10 +307,10 @@ SELECT 'all' AS view, round(b.v, 2) AS branch_revenue, round(s.v, 2) AS speciali
 UNION ALL SELECT 'one branch', round(v, 2), 0.0, round(v, 2) FROM one""",
 )
 def a16(t):
-    branch, specialist = _facts(t)
+    facts = _facts(t)
     year = Period(years=(1997,))
-    a = d.revenue_totals(branch, specialist, year).withColumn("view", F.lit("all"))
-    b = d.revenue_totals(branch, specialist, year, entity="NATION_7").withColumn("view", F.lit("one branch"))
+    a = d.revenue_totals(facts, year).withColumn("view", F.lit("all"))
+    b = d.revenue_totals(facts, year, entity="NATION_7").withColumn("view", F.lit("one branch"))
     return rounded(a.unionByName(b), 2)
 
 
@@ -321,7 +323,7 @@ SELECT round(tour, 2) AS tour, round(cruise, 2) AS cruise, round(ticket, 2) AS t
 )
 def a17(t):
     mart = _mart(t, *_FACT_ROLES)
-    return rounded(d.kpi_row(mart.branch_facts(), mart.receipts, Period(years=(1998,))), 2)
+    return rounded(d.kpi_row(mart.facts(), mart.receipts, Period(years=(1998,))), 2)
 
 
 def _ranking_sql(source: str, where: str = "true", limit: str = "", share_over: str = "all_rows") -> str:
@@ -333,22 +335,22 @@ SELECT CAST(rank AS INTEGER) AS rank, entity, round(tour, 2) AS tour, round(crui
 
 @query("W07_branch_ranking", f"WITH {FACTS_SQL}" + _ranking_sql("branch_facts", share_over=""))
 def w07(t):
-    return rounded(d.ranking(_facts(t)[0]), 2)
+    return rounded(d.ranking(_branch(t)), 2)
 
 
 @query("W07_specialist_ranking", f"WITH {FACTS_SQL}" + _ranking_sql("specialist_facts", share_over=""))
 def w07_specialist(t):
-    return rounded(d.ranking(_facts(t)[1]), 2)
+    return rounded(d.ranking(d.of_channel(_facts(t), "specialist")), 2)
 
 
 @query("W07_share_after_top", f"WITH {FACTS_SQL}" + _ranking_sql("branch_facts", limit="WHERE rank <= 20", share_over="WHERE rank <= 20"))
 def w07_after(t):
-    return rounded(d.ranking(_facts(t)[0], top=20, share_after_top=True), 2)
+    return rounded(d.ranking(_branch(t), top=20, share_after_top=True), 2)
 
 
 @query("K02_top20_ranking", f"WITH {FACTS_SQL}" + _ranking_sql("branch_facts", limit="WHERE rank <= 20", share_over=""))
 def k02(t):
-    return rounded(d.ranking(_facts(t)[0], top=20), 2)
+    return rounded(d.ranking(_branch(t), top=20), 2)
 
 
 @query(
@@ -371,7 +373,7 @@ def k01(t):
 SELECT CASE WHEN n > 7 AND rn > 6 THEN '其他' ELSE entity END AS label, round(sum(v), 2) AS value FROM p GROUP BY 1""",
 )
 def k10(t):
-    return rounded(d.top_slices(d.entity_totals(_facts(t)[0]), "entity", "total_revenue"), 2)
+    return rounded(d.top_slices(d.entity_totals(_branch(t)), "entity", "total_revenue"), 2)
 
 
 @query(
@@ -381,7 +383,7 @@ SELECT k AS check_key, v AS expected, v AS actual, 0.0 AS delta, 'matched' AS st
  UNION ALL SELECT unnest(['branch_ranking_total', 'branch_product_total']), v FROM b UNION ALL SELECT unnest(['specialist_ranking_total', 'specialist_product_total']), v FROM s)""",
 )
 def a20(t):
-    return rounded(d.reconciliation(*_facts(t)), 2)
+    return rounded(d.reconciliation(_facts(t)), 2)
 
 
 @query(
@@ -407,7 +409,7 @@ SELECT CAST(year AS INTEGER) AS year, coalesce(channel, 'all') AS channel, coale
 FROM long GROUP BY ROLLUP (year, channel, product) HAVING year IS NOT NULL""",
 )
 def a22(t):
-    return rounded(d.year_summary(*_facts(t)), 2)
+    return rounded(d.year_summary(_facts(t)), 2)
 
 
 @query(
@@ -454,12 +456,12 @@ UNION ALL SELECT 'branch_ranking', count(DISTINCT entity) FROM f WHERE channel =
 UNION ALL SELECT unnest(['branch_products', 'specialist_products']), 3 UNION ALL SELECT 'reconciliation', 6""",
 )
 def c04(t):
-    return _sizes(d.analytics_bundle(*_facts(t), Period(years=(1997,))))
+    return _sizes(d.analytics_bundle(_facts(t), Period(years=(1997,))))
 
 
 @query("C05_facts_read_model", f"WITH {FACTS_SQL}, {_BOTH} " + _product_sql("facts"))
 def c05(t):
-    return rounded(d.facts_read_model(*_facts(t))["combined_products"], 2)
+    return rounded(d.facts_read_model(_facts(t))["combined_products"], 2)
 
 
 @query(
@@ -483,8 +485,8 @@ def c41(t):
     frames = {
         "raw": facts["raw"].select("amount"),
         "official": facts["official"].select("amount"),
-        "branch_facts": facts["branch_facts"].select(d.line_total().alias("amount")),
-        "specialist_facts": facts["specialist_facts"].select(d.line_total().alias("amount")),
+        "branch_facts": d.of_channel(facts["facts"], "branch").select(d.line_total().alias("amount")),
+        "specialist_facts": d.of_channel(facts["facts"], "specialist").select(d.line_total().alias("amount")),
     }
     out = None
     for name, frame in frames.items():
