@@ -29,7 +29,9 @@ def salted_join(
 ) -> DataFrame:
     """Join many fact rows to at most one lookup row per key, spreading each key over ``salts`` tasks.
 
-    Null keys never match. Small lookups are still broadcast by Spark's own size check.
+    The salt is a hash of the whole row, so a retried task sends every row where it went before. Null keys never
+    match. Small lookups are still broadcast by Spark's own size check, and the session's skew-join setting splits
+    what a salt cannot (rows equal in every column).
     """
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")
     left = facts.withColumn("_salt", spread)

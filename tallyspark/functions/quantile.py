@@ -15,34 +15,38 @@ ACCURACY = 100_000
 RANK_FULLY_BELOW = 250_000  # smaller groups skip the sketch; above, the bracket spans at least ten ranks
 
 
+MAX_GROUPS = 10_000
+
+
 def _ranked_bracket(df: DataFrame, groups: list[str], value: str, share: float) -> DataFrame:
-    """Distinct values near ``share`` with their running row count ``_cum``, plus the group size ``_n``."""
+    """Distinct values near ``share`` with their running row count ``_cum``, plus the group size ``_n``.
+
+    The rows are read twice: once for the sketch, once to fold them. Both passes combine map-side, so only the
+    bracket is shuffled. There must be few groups (one per cutoff or per model); this is checked.
+    """
     data = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    histogram = data.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
     slack = 4 / ACCURACY
-    marks = F.percentile_approx(
-        "_v", [max(0.0, share - slack), min(1.0, share + slack)], ACCURACY
-    )
-    size = data.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), marks.alias("_m")).select(
+    marks = F.percentile_approx("_v", [max(0.0, share - slack), min(1.0, share + slack)], ACCURACY)
+    size = data.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), marks.alias("_m"))
+    sketched = F.col("_n") > RANK_FULLY_BELOW
+    size = size.select(
         *groups,
         "_n",
-        F.when((F.col("_n") > RANK_FULLY_BELOW) & F.lit(share > slack), F.col("_m")[0])
-        .otherwise(F.lit(float("-inf")))
-        .alias("_lo"),
-        F.when((F.col("_n") > RANK_FULLY_BELOW) & F.lit(share < 1 - slack), F.col("_m")[1])
-        .otherwise(F.lit(float("inf")))
-        .alias("_hi"),
+        F.when(sketched & F.lit(share > slack), F.col("_m")[0]).otherwise(F.lit(float("-inf"))).alias("_lo"),
+        F.when(sketched & F.lit(share < 1 - slack), F.col("_m")[1]).otherwise(F.lit(float("inf"))).alias("_hi"),
     )
     if groups:
-        marked = histogram.join(size, groups)
+        many = size.agg(F.count(F.lit(1))).scalar() > MAX_GROUPS
+        few = size.where(F.when(many, F.raise_error(F.lit("too many groups for exact quantiles")).cast("boolean")).otherwise(F.lit(True)))
+        marked = data.join(F.broadcast(few), groups)
     else:
         row = size.select(F.struct("_n", "_lo", "_hi").alias("s")).scalar()
-        marked = histogram.withColumn("_s", row).select("_v", "_c", "_s.*")
+        marked = data.withColumn("_s", row).select("_v", "_s.*")
     folded = (
         marked.where(F.col("_v") <= F.col("_hi"))
         .withColumn("_v", F.when(F.col("_v") < F.col("_lo"), F.lit(float("-inf"))).otherwise(F.col("_v")))
         .groupBy(*groups, "_n", "_v")
-        .agg(F.sum("_c").alias("_c"))
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
     order = Window.partitionBy(*groups, "_n").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     return folded.withColumn("_cum", F.sum("_c").over(order))

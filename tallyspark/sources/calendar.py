@@ -121,7 +121,7 @@ def default_calendar(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 def recurring_calendar(days: DataFrame, day: str, holidays: list[str], expos: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
     """The same ``MM-dd`` events in every year that ``days`` spans."""
     span = days.agg(F.min(F.year(day)).alias("a"), F.max(F.year(day)).alias("b"))
-    years = span.select(F.explode(F.sequence("a", "b")).cast("int").alias("year"))
+    years = span.select(F.explode(F.sequence("a", "b")).alias("year"))
 
     def on(text: Column) -> Column:
         return F.to_date(F.concat_ws("-", F.col("year").cast("string"), text))
