@@ -134,9 +134,13 @@ def with_fusion(detail: DataFrame) -> DataFrame:
 
 
 def _best(summary: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row of each key with the smallest ``order`` values; missing errors come last."""
+    """The row of each key with the smallest ``order`` values; missing errors come last.
+
+    Errors are compared to nine decimals, so that sums added in another order do not change the choice.
+    """
     rest = [c for c in summary.columns if c not in keys]
-    rank = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
+    numeric = {f.name for f in summary.schema.fields if f.dataType.typeName() == "double"}
+    rank = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.round(c, 9) if c in numeric else F.col(c))])
     return summary.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("b")).select(*keys, "b.*")
 
 
