@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
-RANK_FULLY_BELOW = 250_000  # smaller groups skip the sketch; above, the bracket spans at least ten ranks
+ACCURACY = 10_000
+RANK_FULLY_BELOW = 25_000  # smaller groups skip the sketch; above, the bracket spans at least ten ranks
 
 
 MAX_GROUPS = 10_000
