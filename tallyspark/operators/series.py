@@ -77,88 +77,108 @@ def tail(n: int) -> Column:
     return F.collect_list("revenue").over(_by_day().rowsBetween(-(n - 1), 0))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value`` with the value worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def linear_weighted(values: Column) -> Column:
     """Mean with weights 1, 2, 3, … so that the newest value weighs most."""
-    weighted = F.aggregate(F.transform(values, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     n = F.size(values)
-    return weighted / (n * (n + 1) / 2)
+    return _sum(F.transform(values, lambda x, i: x * (i + 1))) / (n * (n + 1) / 2)
 
 
 def trimmed_weighted(values: Column) -> Column:
     """Mean with weights rising from one to two; from eight values on, those above the 90th percentile are left out."""
-    ordered = F.array_sort(values)
-    position = F.lit(0.9) * (F.size(values) - 1)
-    low = F.floor(position).cast("int")
-    high = F.ceil(position).cast("int")
-    cut = ordered[low] + (ordered[high] - ordered[low]) * (position - low)
-    kept = F.when(F.size(values) >= 8, F.filter(values, lambda x: x <= cut)).otherwise(values)
-    steps = F.greatest(F.size(kept) - 1, F.lit(1))
-    weights = F.transform(kept, lambda _, i: F.lit(1.0) + i / steps)
-    top = F.aggregate(F.zip_with(kept, weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
-    return top / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+
+    def cut(ordered: Column) -> Column:
+        position = F.lit(0.9) * (F.size(ordered) - 1)
+        low, high = F.floor(position).cast("int"), F.ceil(position).cast("int")
+        return ordered[low] + (ordered[high] - ordered[low]) * (position - low)
+
+    def mean(kept: Column) -> Column:
+        steps = F.greatest(F.size(kept) - 1, F.lit(1))
+        weighted = F.transform(kept, lambda x, i: x * (F.lit(1.0) + i / steps))
+        # weights 1 … 2 in equal steps add up to one and a half per value; a single value weighs one
+        whole = F.when(F.size(kept) > 1, F.size(kept) * 1.5).otherwise(F.lit(1.0))
+        return _sum(weighted) / whole
+
+    kept = let(let(F.array_sort(values), cut), lambda limit: F.filter(values, lambda x: x <= limit))
+    return let(F.when(F.size(values) >= 8, kept).otherwise(values), mean)
 
 
 def array_median(values: Column) -> Column:
-    ordered = F.array_sort(values)
-    n = F.size(values)
-    return (ordered[F.floor((n - 1) / 2).cast("int")] + ordered[F.floor(n / 2).cast("int")]) / 2
+    def middle(ordered: Column) -> Column:
+        n = F.size(ordered)
+        return (ordered[F.floor((n - 1) / 2).cast("int")] + ordered[F.floor(n / 2).cast("int")]) / 2
+
+    return F.when(F.size(values) > 0, let(F.array_sort(values), middle))
 
 
 def smoothed_level(values: Column) -> Column:
     """Exponentially weighted mean of the values, newest last."""
     keep = 1 - SMOOTHING
-    weights = F.transform(F.reverse(values), lambda _, i: F.pow(F.lit(keep), i))
-    top = F.aggregate(F.zip_with(F.reverse(values), weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
-    return top / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+    weighted = F.transform(F.reverse(values), lambda x, i: x * F.pow(F.lit(keep), i))
+    whole = (1 - F.pow(F.lit(keep), F.size(values))) / SMOOTHING
+    return _sum(weighted) / whole
 
 
-def running_stats(series: DataFrame) -> DataFrame:
+def running_stats(series: DataFrame, keep: Column | None = None) -> DataFrame:
     """At every day, what is known up to that day: level, trend, range, weekday effects and recent averages.
 
     Everything is a running window over one sort of each series, so a grid of cutoffs costs no repeated history.
+    ``keep`` picks the days of interest after the windows and before the costlier array arithmetic.
     """
     w = _by_day()
     past = w.rowsBetween(Window.unboundedPreceding, 0)
     numbered = series.withColumn("_i", (F.row_number().over(w) - 1).cast("double"))
-    mean = F.avg("revenue").over(past)
-    effects = [
-        F.coalesce(F.avg(F.when(F.weekday("date") == k, F.col("revenue"))).over(past) - mean, F.lit(0.0)) for k in range(7)
-    ]
+    effects = [F.avg(F.when(F.weekday("date") == k, F.col("revenue"))).over(past) for k in range(7)]
     month = Window.partitionBy(*KEYS, month_key(F.col("date"))).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-
-    def back(days: int) -> Column:
-        return F.lag("revenue", days).over(w)
-
-    same_weekday = F.filter(F.array(*[back(7 * k - 1) for k in range(1, 5)]), lambda x: x.isNotNull())
-    same_weekday8 = F.filter(F.array(*[back(7 * k - 1) for k in range(1, 9)]), lambda x: x.isNotNull())
-    stats = numbered.withColumns(
+    windowed = numbered.withColumns(
         {
             "days_known": F.count(F.lit(1)).over(past),
             "nonzero_known": F.count(F.when(F.col("revenue") != 0, 1)).over(past),
-            "mean_revenue": mean,
+            "mean_revenue": F.avg("revenue").over(past),
             "min_revenue": F.min("revenue").over(past),
             "max_revenue": F.max("revenue").over(past),
             "slope": F.regr_slope("revenue", "_i").over(past),
             "intercept": F.regr_intercept("revenue", "_i").over(past),
-            "weekday_effects": F.array(*effects),
-            "level": smoothed_level(tail(SMOOTHING_DAYS)),
+            **{f"_w{k}": e for k, e in enumerate(effects)},
             "recent_7": F.avg("revenue").over(w.rowsBetween(-6, 0)),
-            "recent_14_weighted": linear_weighted(tail(14)),
-            "recent_21_trimmed": trimmed_weighted(tail(21)),
-            "_weekdays": same_weekday,
-            "_weekdays8": same_weekday8,
+            "_tail": tail(SMOOTHING_DAYS),
             # the month of the next day up to now: a running month mean covers both "month to date" and, on the
             # last day of a month, "the whole month before"
             "mtd_pace": F.avg("revenue").over(month),
         }
     )
-    mean_of = F.aggregate("_weekdays", F.lit(0.0), lambda a, x: a + x) / F.size("_weekdays")
-    return stats.withColumns(
+    if keep is not None:
+        windowed = windowed.where(keep)
+    values = F.col("_tail")
+    n = F.size(values)
+
+    def newest(count: int) -> Column:
+        return F.when(n > count, F.slice(values, -count, count)).otherwise(values)
+
+    def weekdays(weeks: int) -> Column:
+        back = F.array(*[F.when(n >= 7 * k, values[n - 7 * k]) for k in range(1, weeks + 1)])
+        return F.filter(back, lambda x: x.isNotNull())
+
+    mean = F.col("mean_revenue")
+    out = windowed.withColumns(
         {
-            "same_weekday_4w": F.when(F.size("_weekdays") > 0, mean_of).otherwise(F.col("recent_14_weighted")),
-            "same_weekday_median": F.when(F.size("_weekdays8") > 0, array_median(F.col("_weekdays8"))),
+            "weekday_effects": F.array(*[F.coalesce(F.col(f"_w{k}") - mean, F.lit(0.0)) for k in range(7)]),
+            "level": smoothed_level(values),
+            "recent_14_weighted": linear_weighted(newest(14)),
+            "recent_21_trimmed": trimmed_weighted(newest(21)),
+            "same_weekday_median": array_median(weekdays(8)),
+            "_same": let(weekdays(4), lambda v: F.when(F.size(v) > 0, _sum(v) / F.size(v))),
         }
-    ).drop("_i", "_weekdays", "_weekdays8")
+    )
+    return out.withColumn("same_weekday_4w", F.coalesce("_same", "recent_14_weighted")).drop("_i", "_tail", "_same", *[f"_w{k}" for k in range(7)])
 
 
 def weekday_effect(series: DataFrame) -> DataFrame:
