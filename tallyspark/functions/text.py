@@ -9,14 +9,20 @@ from pyspark.sql import types as T
 
 WIDE_SPACE = "\u3000"
 HARD_SPACE = "\xa0"
+# every character a sheet may pad a cell with
+BLANKS = " \t\n\r\x0b\x0c\xa0\u3000"
 # Cleaned ids that mean "no id".
 VOID_IDS = ("", "NAN", "NONE")
 VOID_CANDIDATES = ("", "NAN", "NONE", "NULL")
 
 
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def clean_document_number(c: Column, parity: bool = False) -> Column:
     """Drop a trailing ``.0`` and hard spaces, trim, upper-case. ``parity`` spells null as ``NAN``."""
-    cleaned = F.upper(F.trim(F.replace(F.regexp_replace(c.cast("string"), r"\.0$", ""), F.lit(HARD_SPACE), F.lit(""))))
+    cleaned = F.upper(strip(F.replace(F.regexp_replace(c.cast("string"), r"\.0$", ""), F.lit(HARD_SPACE), F.lit(""))))
     return F.coalesce(cleaned, F.lit("NAN")) if parity else cleaned
 
 
@@ -26,7 +32,7 @@ def is_valid_id(cleaned: Column) -> Column:
 
 def blank_coalesce(first: Column, second: Column, null_blocks: bool = False) -> Column:
     """``second`` where ``first`` is blank text; a null ``first`` is blank unless ``null_blocks``."""
-    text = F.trim(first.cast("string"))
+    text = strip(first.cast("string"))
     blank = text == ""
     if not null_blocks:
         blank = blank | first.isNull()
@@ -38,15 +44,15 @@ def plain_spaces(c: Column) -> Column:
 
 
 def branch_text(c: Column) -> Column:
-    return F.trim(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit(WIDE_SPACE), F.lit(" ")))
+    return strip(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit(WIDE_SPACE), F.lit(" ")))
 
 
 def identity_text(c: Column) -> Column:
-    return F.upper(F.trim(plain_spaces(F.coalesce(c.cast("string"), F.lit("")))))
+    return F.upper(strip(plain_spaces(F.coalesce(c.cast("string"), F.lit("")))))
 
 
 def safe_text(c: Column) -> Column:
-    return F.trim(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit(WIDE_SPACE), F.lit(" ")))
+    return strip(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit(WIDE_SPACE), F.lit(" ")))
 
 
 def match_key(c: Column) -> Column:
@@ -59,7 +65,7 @@ def leading_code(c: Column) -> Column:
 
 
 def candidate_text(c: Column) -> Column:
-    text = F.trim(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit(WIDE_SPACE), F.lit(" ")))
+    text = strip(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit(WIDE_SPACE), F.lit(" ")))
     return F.when(F.upper(text).isin(*VOID_CANDIDATES), F.lit("")).otherwise(text)
 
 

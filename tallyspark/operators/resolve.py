@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.functions.dates import time_of
 from tallyspark.functions.keys import first_per_key, salted_join
 from tallyspark.functions.text import branch_text, match_key
 from tallyspark.operators.filters import period_column, rule_period
@@ -238,27 +239,41 @@ def _rule_hit(rule: dict[str, str], branch: Column, sub: Column, order_id: Colum
 
 
 def reassign_branches(df: DataFrame, overrides, date_column: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Apply the override rules in order; later rules see what earlier ones wrote."""
+    """Apply the override rules in order; later rules see what earlier ones wrote.
+
+    The rules are one literal array that is folded per row, so the expression does not grow with their number.
+    """
     rules = [r for r in map(_clean_rule, overrides or []) if r["to_branch"]]
     if "sub_branch" not in df.columns:
         df = df.withColumn("sub_branch", F.lit(""))
     if not rules:
         return df, df.limit(0).select(*_log_row("branch", F.lit(""), F.lit(""), LOG_REASSIGNED))
     column = date_column or (period_column(df) if any(r["month"] or r["year"] for r in rules) else None)
-    work = df.withColumn("_hits", F.array().cast("array<struct<old_branch:string,old_sub:string,to_branch:string>>"))
-    for rule in rules:
-        hit = _rule_hit(rule, F.col("branch"), F.col("sub_branch"), F.col("order_id"), rule_period(df, column, rule["month"], rule["year"]))
-        to = F.lit(rule["to_branch"])
-        entry = F.struct(branch_text(F.col("branch")).alias("old_branch"), branch_text(F.col("sub_branch")).alias("old_sub"), to.alias("to_branch"))
-        # one projection per rule keeps the expressions linear in the number of rules
-        work = work.withColumn("_hit", hit).withColumns(
-            {
-                "_hits": F.when(F.col("_hit"), F.concat("_hits", F.array(entry))).otherwise(F.col("_hits")),
-                "branch": F.when(F.col("_hit"), to).otherwise(F.col("branch")),
-                "sub_branch": F.when(F.col("_hit"), to).otherwise(F.col("sub_branch")),
-            }
+    stamp = time_of(df, column) if column else F.lit(None).cast("timestamp_ntz")
+    order_id = F.upper(branch_text(F.col("order_id"))) if "order_id" in df.columns else F.lit("")
+    month = F.coalesce(F.date_format(stamp, "yyyy-MM"), F.lit("?"))
+    year = F.coalesce(F.date_format(stamp, "yyyy"), F.lit("?"))
+    listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rules])
+    no_hits = F.array().cast("array<struct<old_branch:string,old_sub:string,to_branch:string>>")
+    start = F.struct(F.col("branch").alias("branch"), F.col("sub_branch").alias("sub_branch"), no_hits.alias("hits"))
+
+    def step(acc: Column, rule: Column) -> Column:
+        old, old_sub = branch_text(acc["branch"]), branch_text(acc["sub_branch"])
+        period = F.when(rule["month"] != "", month == rule["month"]).when(rule["year"] != "", year == rule["year"]).otherwise(F.lit(True))
+        hit = (
+            period
+            & ((rule["from_branch"] == "") | (old == rule["from_branch"]) | (old_sub == rule["from_branch"]))
+            & order_id.startswith(rule["from_prefix"])
+            & ((rule["source_order_id"] == "") | (order_id == rule["source_order_id"]))
         )
-    log = work.where(F.size("_hits") > 0).select("order_id", F.explode("_hits").alias("h")).select(
+        entry = F.struct(old.alias("old_branch"), old_sub.alias("old_sub"), rule["to_branch"].alias("to_branch"))
+        done = F.struct(rule["to_branch"].alias("branch"), rule["to_branch"].alias("sub_branch"), F.concat(acc["hits"], F.array(entry)).alias("hits"))
+        return F.when(hit, done).otherwise(acc)
+
+    work = df.withColumn("_fold", F.aggregate(listed, start, step))
+    # an outer explode, so that no filter on the folded value is pushed back into the scan
+    hits = work.select("order_id", F.explode_outer("_fold.hits").alias("h")).where(F.col("h").isNotNull())
+    log = hits.select(
         *_log_row(
             "branch",
             F.concat_ws(" | ", _shown(F.col("order_id"), UNKNOWN), _shown(F.col("h.old_branch")), _shown(F.col("h.old_sub"))),
@@ -266,7 +281,8 @@ def reassign_branches(df: DataFrame, overrides, date_column: str | None = None)
             LOG_REASSIGNED,
         )
     )
-    return work.select(*df.columns), log
+    fixed = work.withColumns({"branch": F.col("_fold.branch"), "sub_branch": F.col("_fold.sub_branch")})
+    return fixed.select(*df.columns), log
 
 
 def reassignment_target(df: DataFrame, overrides, date_column: str) -> Column:

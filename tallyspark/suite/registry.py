@@ -1,7 +1,8 @@
 """All check queries."""
 
-from tallyspark.suite import scoping  # noqa: F401
-from tallyspark.suite import mart as _mart  # noqa: F401
+from tallyspark.suite import cleaning, mart, resolving, scoping, storing
 from tallyspark.suite.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+MODULES = (scoping, cleaning, mart, resolving, storing)
+
+__all__ = ["MODULES", "ORACLES", "QUERIES"]
