@@ -120,6 +120,11 @@ def refunds_by_order(refunds: DataFrame, status: str | None = None) -> DataFrame
     return rows.groupBy("_source_id").agg(F.greatest(F.sum("_r"), F.lit(0.0)).alias("refund_total"))
 
 
+def _excess(refund: Column, original: Column) -> Column:
+    """Refund beyond the original; what float sums leave below a hundredth of a cent is none."""
+    return F.greatest(F.round(refund - original, 4), F.lit(0.0))
+
+
 def reconcile(receipts: DataFrame, refunds: DataFrame, status: str | None = None) -> DataFrame:
     """One row per refunded order: refund, original, applied and excess amount, and whether it matched."""
     originals = _receipt_amounts(receipts).groupBy("_source_id").agg(F.sum("amount_before").alias("_original"), F.count(F.lit(1)).alias("_receipts"))
@@ -132,7 +137,7 @@ def reconcile(receipts: DataFrame, refunds: DataFrame, status: str | None = None
         original.alias("original_amount"),
         applied.alias("applied_amount"),
         F.col("_receipts").isNotNull().alias("is_matched"),
-        F.when(F.col("_receipts").isNotNull(), F.greatest(F.col("refund_total") - original, F.lit(0.0))).otherwise(F.lit(0.0)).alias("excess_amount"),
+        F.when(F.col("_receipts").isNotNull(), _excess(F.col("refund_total"), original)).otherwise(F.lit(0.0)).alias("excess_amount"),
     )
 
 
@@ -249,7 +254,7 @@ def refund_exceptions(refunds: DataFrame, index: DataFrame, receipts: DataFrame,
     state = F.when(formal_there, F.lit(FORMAL_MATCHED)).when(raw_there, F.lit(SCOPE_EXCLUDED)).otherwise(F.lit(NOT_FOUND))
     original = F.coalesce("raw_amount", F.lit(0.0))
     excess = F.when(
-        raw_there & (original > 0), F.greatest(F.greatest(F.col("refund_amount"), F.lit(0.0)) - original, F.lit(0.0))
+        raw_there & (original > 0), _excess(F.greatest(F.col("refund_amount"), F.lit(0.0)), original)
     ).otherwise(F.lit(0.0))
     reason = (
         F.when(F.col("refund_amount") <= 0, F.lit(REASON_INVALID))
@@ -557,7 +562,7 @@ def ledger_rows(state: DataFrame, receipts: DataFrame, version_id: str, order: l
         )
         results = rows if results is None else results.unionByName(rows)
         part = state if status is None else state.where(F.col("refund_status") == status)
-        part = part.select(F.lit(version_id).alias("version_id"), F.lit(code).alias("refund_dimension"), F.col("source_receipt_no").alias("order_id"), "refund_no", "refund_amount_minor")
+        part = part.select(F.lit(version_id).alias("version_id"), F.lit(code).alias("refund_dimension"), clean_document_number(F.col("source_receipt_no")).alias("order_id"), "refund_no", "refund_amount_minor")
         members = part if members is None else members.unionByName(part)
         one = metric_rows(refund_metrics(per_order), version_id, code)
         metrics = one if metrics is None else metrics.unionByName(one)

@@ -6,6 +6,8 @@ checkpoint folder: later steps start from a short plan, and a lost executor cost
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,55 +19,107 @@ from tallyspark.rules import BusinessRules
 from tallyspark.session import cut_lineage
 
 
-def backtest_report(receipts: DataFrame, rules: BusinessRules, calendar, series_key: Column | None = None, window_days: int = b.WINDOW_DAYS) -> dict[str, DataFrame]:
+class BacktestReport:
     """Detail, summaries, signals, selectors, diagnostics and weights of the rolling backtest.
 
     ``receipts`` are official receipts of both tables. Signals describe the series ``all``; with a ``series_key``
-    the tracks are also tested per series.
+    the tracks are also tested per series. Frames are built when first asked for.
     """
-    series = daily_series(receipts, rules.cruise_depts)
-    if series_key is not None:
-        series = series.unionByName(daily_series(receipts, rules.cruise_depts, series_key))
-    series = cut_lineage(series)
-    calendar = tuple(cut_lineage(c) for c in calendar)
-    base = cut_lineage(b.backtest_detail(series, calendar, window_days))
-    source = s.spike_source(receipts, rules)
-    signals = cut_lineage(s.spike_detail(base, source, calendar))
-    events = cut_lineage(s.event_detail(signals, source))
-    selector = cut_lineage(s.spike_aware_selector(base, signals))
-    with_selector = base.unionByName(selector.select(*base.columns))
-    base_summary = cut_lineage(b.backtest_summary(with_selector))
-    detail = cut_lineage(b.with_fusion(with_selector))
-    summary = b.backtest_summary(detail)
-    robust = cut_lineage(b.robust_errors(detail))
-    normal = cut_lineage(s.normal_day_detail(detail, robust, series))
-    two_lane = s.two_lane_detail(events, normal)
-    days = cut_lineage(s.spike_days(detail))
-    risk = s.risk_summary(signals)
-    return {
-        "series": series,
-        "base_detail": base,
-        "detail": detail,
-        "base_summary": base_summary,
-        "summary": summary,
-        "diagnostics": b.segmented_errors(detail, calendar),
-        "robust": robust,
-        "accuracy_baseline": s.accuracy_baseline(summary, robust, risk),
-        "normal_day_detail": normal,
-        "normal_day_summary": s.normal_day_summary(normal),
-        "spike_days": s.spike_day_summary(days, source, calendar),
-        "spike_contributors": s.contributors(days, source),
-        "spike_detail": signals,
-        "risk_summary": risk,
-        "spike_class_summary": s.spike_class_summary(signals),
-        "event_detail": events,
-        "event_class_summary": s.event_class_summary(events),
-        "two_lane_detail": two_lane,
-        "two_lane_summary": s.two_lane_summary(two_lane),
-        "selector_detail": selector,
-        "weights": b.weight_table(base_summary),
-        "strategy_comparison": b.strategy_comparison(base_summary),
-    }
+
+    def __init__(self, receipts: DataFrame, rules: BusinessRules, calendar, series_key: Column | None = None, window_days: int = b.WINDOW_DAYS):
+        self.receipts, self.rules, self.series_key, self.window_days = receipts, rules, series_key, window_days
+        self._calendar = calendar
+
+    @cached_property
+    def calendar(self):
+        return tuple(cut_lineage(c) for c in self._calendar)
+
+    @cached_property
+    def series(self) -> DataFrame:
+        out = daily_series(self.receipts, self.rules.cruise_depts)
+        if self.series_key is not None:
+            out = out.unionByName(daily_series(self.receipts, self.rules.cruise_depts, self.series_key))
+        return cut_lineage(out)
+
+    @cached_property
+    def source(self) -> DataFrame:
+        return s.spike_source(self.receipts, self.rules)
+
+    @cached_property
+    def base_detail(self) -> DataFrame:
+        return cut_lineage(b.backtest_detail(self.series, self.calendar, self.window_days))
+
+    @cached_property
+    def spike_detail(self) -> DataFrame:
+        return cut_lineage(s.spike_detail(self.base_detail, self.source, self.calendar))
+
+    @cached_property
+    def event_detail(self) -> DataFrame:
+        return cut_lineage(s.event_detail(self.spike_detail, self.source))
+
+    @cached_property
+    def selector_detail(self) -> DataFrame:
+        return cut_lineage(s.spike_aware_selector(self.base_detail, self.spike_detail))
+
+    @cached_property
+    def with_selector(self) -> DataFrame:
+        return self.base_detail.unionByName(self.selector_detail.select(*self.base_detail.columns))
+
+    @cached_property
+    def base_summary(self) -> DataFrame:
+        return cut_lineage(b.backtest_summary(self.with_selector))
+
+    @cached_property
+    def detail(self) -> DataFrame:
+        return cut_lineage(b.with_fusion(self.with_selector))
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return b.backtest_summary(self.detail)
+
+    @cached_property
+    def robust(self) -> DataFrame:
+        return cut_lineage(b.robust_errors(self.detail))
+
+    @cached_property
+    def normal_day_detail(self) -> DataFrame:
+        return cut_lineage(s.normal_day_detail(self.detail, self.robust, self.series))
+
+    @cached_property
+    def two_lane_detail(self) -> DataFrame:
+        return s.two_lane_detail(self.event_detail, self.normal_day_detail)
+
+    @cached_property
+    def spike_days(self) -> DataFrame:
+        return cut_lineage(s.spike_days(self.detail))
+
+    @cached_property
+    def risk_summary(self) -> DataFrame:
+        return s.risk_summary(self.spike_detail)
+
+    def datasets(self) -> dict[str, DataFrame]:
+        """Every table of the report by name."""
+        return {
+            "detail": self.detail,
+            "summary": self.summary,
+            "diagnostics": b.segmented_errors(self.detail, self.calendar),
+            "robust": self.robust,
+            "accuracy_baseline": s.accuracy_baseline(self.summary, self.robust, self.risk_summary),
+            "normal_day_detail": self.normal_day_detail,
+            "normal_day_summary": s.normal_day_summary(self.normal_day_detail),
+            "spike_days": s.spike_day_summary(self.spike_days, self.source, self.calendar),
+            "spike_contributors": s.contributors(self.spike_days, self.source),
+            "spike_detail": self.spike_detail,
+            "risk_summary": self.risk_summary,
+            "spike_class_summary": s.spike_class_summary(self.spike_detail),
+            "event_detail": self.event_detail,
+            "event_class_summary": s.event_class_summary(self.event_detail),
+            "two_lane_detail": self.two_lane_detail,
+            "two_lane_summary": s.two_lane_summary(self.two_lane_detail),
+            "selector_detail": self.selector_detail,
+            "weights": b.weight_table(self.base_summary),
+            "strategy_comparison": b.strategy_comparison(self.base_summary),
+        }
 
 
 def macro_report(series: DataFrame, window_days: int = b.WINDOW_DAYS) -> dict[str, DataFrame]:
@@ -73,19 +127,23 @@ def macro_report(series: DataFrame, window_days: int = b.WINDOW_DAYS) -> dict[st
     return {"detail": detail, "summary": b.macro_summary(detail)}
 
 
-def governance_report(report: dict[str, DataFrame], macro: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def governance_report(report: BacktestReport, macro: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The governance matrix over official, diagnostic, experimental and macro rows."""
     daily = F.lit(g.DAILY_VIEW)
-    rows = g.governance_input(report["detail"].where((F.col("horizon") == 1) & (F.col("series_id") == "all")), daily, g.OFFICIAL)
-    rows = rows.unionByName(g.governance_input(report["normal_day_detail"].where("is_normal"), daily, g.DIAGNOSTIC))
-    rows = rows.unionByName(g.governance_input(report["two_lane_detail"], daily, g.EXPERIMENT, F.col("lane")))
+    rows = g.governance_input(report.detail.where((F.col("horizon") == 1) & (F.col("series_id") == "all")), daily, g.OFFICIAL)
+    rows = rows.unionByName(g.governance_input(report.normal_day_detail.where("is_normal"), daily, g.DIAGNOSTIC))
+    rows = rows.unionByName(g.governance_input(report.two_lane_detail, daily, g.EXPERIMENT, F.col("lane")))
     rows = rows.unionByName(g.governance_input(macro["detail"].where(F.col("series_id") == "all"), F.col("layer"), g.OFFICIAL))
     matrix = g.governance_matrix(rows)
     summary = g.governance_summary(matrix)
     return {"matrix": matrix, "summary": summary, "overall": g.overall_governance(summary), "recommendations": g.recommendations(matrix)}
 
 
-def feature_report(report: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    snapshot = g.feature_snapshot(report["spike_detail"], report["event_detail"])
-    families = {"Spike Signal": report["risk_summary"], "Event Lead Signal": report["event_class_summary"], "Two-Lane Selector": report["two_lane_summary"]}
+def feature_report(report: BacktestReport) -> dict[str, DataFrame]:
+    snapshot = g.feature_snapshot(report.spike_detail, report.event_detail)
+    families = {
+        "Spike Signal": report.risk_summary,
+        "Event Lead Signal": s.event_class_summary(report.event_detail),
+        "Two-Lane Selector": s.two_lane_summary(report.two_lane_detail),
+    }
     return {"snapshot": snapshot, "health": g.feature_health(snapshot), "readiness": g.signal_readiness(families), "overview": g.snapshot_overview(snapshot)}
