@@ -47,6 +47,8 @@ def process_uploads(
 ) -> dict[str, DataFrame]:
     """Clean, attribute and correct an upload. Order of the overrides: names, product branch, rules, operator.
 
+    ``receipts`` holds both tables with an ``is_tour`` flag; ``tour`` and ``others`` are its two parts.
+
     ``secondary`` is the tagged union of the product sheets with a ``source_name`` and a row order column.
     """
     cleaned = main.withColumn("order_id", clean_document_number(F.col(main_key), parity))
@@ -79,6 +81,7 @@ def process_uploads(
     for part in (sub_log, rule_log, operator_log):
         log = log if part is None else log.unionByName(part)
     return {
+        "receipts": fixed.withColumnRenamed("_is_tour", "is_tour").drop("is_matched"),
         "tour": fixed.where("_is_tour").drop("_is_tour", "is_matched", "source_tag"),
         "others": fixed.where(~F.col("_is_tour")).drop("_is_tour", "is_matched"),
         "anomalies": log,

@@ -38,6 +38,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return tune(spark)
 
 
+def spread(df):
+    """Give a scan of few files one partition per core.
+
+    An upload is often a single sheet or a single row group, which one task would read and then carry through
+    every projection. Inputs of many files are left as they are, so nothing large is shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def cut_lineage(df):
     """Materialise ``df`` on the shared checkpoint folder, so a lost executor costs no recomputation.
 

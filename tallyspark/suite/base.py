@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.rules import BusinessRules
-from tallyspark.session import tune
+from tallyspark.session import spread, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,9 +62,11 @@ _LINE = {
     "receipt_no": lambda: F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")),
     "receipt_time": lambda: F.col("l_shipdate"),
     "unified_date": lambda: F.to_date("l_shipdate"),
-    "amount": lambda: F.round(
-        F.col("l_extendedprice").cast("decimal(18,2)") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")), 2
-    ).cast("double"),
+    # net price in whole cents, half up; integers keep it exact and inside generated code
+    "amount": lambda: F.floor(
+        (F.round(F.col("l_extendedprice") * 100).cast("long") * (F.lit(100) - F.round(F.col("l_discount") * 100).cast("long")) + 50) / 100
+    )
+    / F.lit(100.0),
     "qty": lambda: F.col("l_quantity"),
     "salesperson": lambda: F.concat(F.lit("REP_"), F.lpad((F.col("l_suppkey") % 60).cast("string"), 2, "0")),
     "operator": lambda: F.when(F.col("l_linenumber") == 1, F.concat(F.lit("rep_"), F.lpad((F.col("l_suppkey") % 60).cast("string"), 2, "0"), F.lit(" 櫃台"))).otherwise(
@@ -170,7 +172,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in ("lineitem", "orders") else table
 
     def receipts(self, *roles: str) -> DataFrame:
         """The asked roles only; a dimension is joined only if a role needs it."""

@@ -204,8 +204,7 @@ def c01(t):
     # only operators that carry a specialist's code, so that the result does not hang on the fuzzy stage
     main = main.withColumn("operator", F.when(F.col("operator").rlike("REP_0[0-4] "), F.col("operator")).otherwise(F.lit("櫃員")))
     out = process_uploads(main, _secondary(t).drop("line_no", "part_key", "supplier_key"), INGEST_RULES)
-    both = out["tour"].select("branch", "amount", F.lit(True).alias("is_tour")).unionByName(out["others"].select("branch", "amount", F.lit(False).alias("is_tour")))
-    return rounded(both.groupBy("is_tour", "branch").agg(F.count(F.lit(1)).alias("receipts"), F.sum("amount").alias("amount")), 2)
+    return rounded(out["receipts"].groupBy("is_tour", "branch").agg(F.count(F.lit(1)).alias("receipts"), F.sum("amount").alias("amount")), 2)
 
 
 _KEYS_SQL = f"""{MAIN_SQL}, m AS (SELECT code AS k, count(*) AS n FROM kept GROUP BY 1), s AS (SELECT {order_code_sql("l_orderkey")} AS k, count(*) AS n FROM lineitem GROUP BY 1), e AS (SELECT k, coalesce(m.n, 0) AS mn, coalesce(s.n, 0) AS sn FROM m FULL JOIN s USING (k))"""
