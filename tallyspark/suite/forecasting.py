@@ -379,8 +379,8 @@ def a33(t):
     "A34_A36_order_window_statistics",
     f"""WITH {_SRC}, {_THR}, po AS (SELECT c, order_id, coalesce(sum(amount) FILTER (age < 3), 0.0) AS a3, count(*) FILTER (age < 3) AS n3, coalesce({_W7}, 0.0) AS a7, count(*) FILTER (age < 7) AS n7, count(*) FILTER (age < 14) AS n14, count(*) FILTER (age < 7 AND dest_category LIKE '%中國長%') AS nh, coalesce(sum(amount) FILTER (age < 7 AND dest_category LIKE '%中國長%'), 0.0) AS ah FROM win WHERE age < 14 GROUP BY 1, 2),
 se AS (SELECT c, max(o) AS mo, count(*) AS u, max(a) AS ma FROM (SELECT c, salesperson, count(DISTINCT order_id) AS o, sum(amount) AS a FROM win WHERE age < 7 GROUP BY 1, 2) GROUP BY 1)
-SELECT c::VARCHAR AS cutoff, count(*) FILTER (n3 > 0) AS orders_3, count(*) FILTER (n7 > 0) AS orders_7, count(*) FILTER (n14 > 0) AS orders_14, count(*) FILTER (n7 > 0 AND a7 >= th / 3) AS large_orders_7, round(max(a7) FILTER (n7 > 0), 2) AS max_order_7, round(coalesce(sum(a7) FILTER (n7 > 0 AND a7 >= th / 3), 0.0), 2) AS large_total_7,
- count(*) FILTER (nh > 0) AS longhaul_orders_7, round(max(ah) FILTER (nh > 0), 2) AS longhaul_max_order_7, any_value(u) AS unique_salespersons_7, round(any_value(mo) / count(*) FILTER (n7 > 0) * 100, 4) AS top_seller_order_share_7, round(any_value(ma), 2) AS top_seller_amount_7 FROM po JOIN thr USING (c) JOIN se USING (c) GROUP BY c""",
+SELECT c::VARCHAR AS cutoff, count(*) FILTER (n3 > 0) AS orders_3, count(*) FILTER (n7 > 0) AS orders_7, count(*) FILTER (n14 > 0) AS orders_14, count(*) FILTER (n7 > 0 AND a7 >= th / 3) AS large_orders_7, round(coalesce(max(a7) FILTER (n7 > 0), 0.0), 2) AS max_order_7, round(coalesce(sum(a7) FILTER (n7 > 0 AND a7 >= th / 3), 0.0), 2) AS large_total_7,
+ count(*) FILTER (nh > 0) AS longhaul_orders_7, round(coalesce(max(ah) FILTER (nh > 0), 0.0), 2) AS longhaul_max_order_7, any_value(u) AS unique_salespersons_7, round(any_value(mo) / count(*) FILTER (n7 > 0) * 100, 4) AS top_seller_order_share_7, round(any_value(ma), 2) AS top_seller_amount_7 FROM po JOIN thr USING (c) JOIN se USING (c) GROUP BY c""",
 )
 def a34(t):
     days, cuts = _days(t)
