@@ -106,10 +106,16 @@ def name_matches(df: DataFrame, column: str, standard: tuple[str, ...], cutoff:
     )
 
 
-def standardize_names(df: DataFrame, column: str, standard: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Replace names by their standard form; the log has one row per changed or unmatched raw name."""
+def standardize_names(
+    df: DataFrame, column: str, standard: tuple[str, ...], names: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Replace names by their standard form; the log has one row per changed or unmatched raw name.
+
+    ``names`` may give the raw names from an earlier, cheaper frame, so that ``df`` is not computed twice.
+    """
     found = name_matches(df, column, standard)
-    fixed = salted_join(df, found.select(column, "standard_name"), [column], "left")
+    lookup = found if names is None else name_matches(names, column, standard)
+    fixed = salted_join(df, lookup.select(column, "standard_name"), [column], "left")
     fixed = fixed.withColumn(column, F.coalesce("standard_name", F.col(column))).drop("standard_name")
     log = found.where(F.col("found_by") != "listed").select(
         F.lit(column).alias("field"),
@@ -177,9 +183,12 @@ def _shown(c: Column, default: str = BLANK_TEXT) -> Column:
     return F.when(text == "", F.lit(default)).otherwise(text)
 
 
-def override_by_operator(df: DataFrame, rules: BusinessRules) -> tuple[DataFrame, DataFrame]:
-    """Receipts taken by a specialist go to the specialist desk under that specialist's name."""
-    matched = operator_matches(df, rules.specialists).select("operator", "specialist")
+def override_by_operator(df: DataFrame, rules: BusinessRules, operators: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Receipts taken by a specialist go to the specialist desk under that specialist's name.
+
+    ``operators`` may give the operator texts from an earlier, cheaper frame.
+    """
+    matched = operator_matches(df if operators is None else operators, rules.specialists).select("operator", "specialist")
     joined = salted_join(df, matched.where(F.col("specialist").isNotNull()), ["operator"], "left")
     settled = (F.trim("branch") == rules.specialist_desk) & (F.trim("salesperson") == F.col("specialist"))
     changes = F.col("specialist").isNotNull() & ~F.coalesce(settled, F.lit(False))

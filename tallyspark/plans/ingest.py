@@ -73,10 +73,16 @@ def process_uploads(
     )
     is_tour = F.col("is_matched") & (F.col("source_name") == TOUR_SOURCE)
     work = joined.withColumn("_is_tour", F.coalesce(is_tour, F.lit(False))).drop("source_name")
-    fixed, name_log = resolve.standardize_names(work, "salesperson", rules.specialists)
+    # names and operators are listed from the sheets, not from the joined rows, which would be computed again
+    sheets = [f.select("salesperson") for f in (kept, products) if "salesperson" in f.columns]
+    names = sheets[0].unionByName(sheets[-1]) if len(sheets) > 1 else (sheets[0] if sheets else None)
+    fixed, name_log = resolve.standardize_names(work, "salesperson", rules.specialists, names)
     fixed, sub_log = resolve.override_by_sub_branch(fixed)
     fixed, rule_log = resolve.reassign_branches(fixed, rules.overrides, "unified_date")
-    fixed, operator_log = resolve.override_by_operator(fixed, rules) if "operator" in fixed.columns else (fixed, None)
+    operator_log = None
+    if "operator" in fixed.columns:
+        operators = kept.select("operator") if "operator" in kept.columns else None
+        fixed, operator_log = resolve.override_by_operator(fixed, rules, operators)
     log = name_log.drop("rows")
     for part in (sub_log, rule_log, operator_log):
         log = log if part is None else log.unionByName(part)
