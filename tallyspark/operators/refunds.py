@@ -386,9 +386,9 @@ def classify_changes(incoming: DataFrame, current: DataFrame, file_order: list[s
     """
     position = F.struct(*file_order)
     firsts = incoming.groupBy("refund_no").agg(F.min(position).alias("_first"))
-    marked = salted_join(incoming, firsts, ["refund_no"], "left").withColumn("_repeat", position != F.col("_first"))
+    marked = incoming.join(firsts, "refund_no", "left").withColumn("_repeat", position != F.col("_first"))
     known = current.select("refund_no", *[F.col(c).alias(f"_cur_{c}") for c in (*IDENTITY_COLUMNS, "refund_status")], F.lit(True).alias("_known"))
-    joined = salted_join(marked, known, ["refund_no"], "left")
+    joined = marked.join(known, "refund_no", "left")
     same = F.lit(True)
     for c in IDENTITY_COLUMNS:
         same = same & F.col(c).eqNullSafe(F.col(f"_cur_{c}"))

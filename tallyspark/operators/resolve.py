@@ -70,7 +70,9 @@ def attach_secondary(
     for c in clash:
         left = left.withColumnRenamed(c, f"{c}_x")
         one = one.withColumnRenamed(c, f"{c}_y")
-    joined = salted_join(left, one, [key], "left")
+    # the product side is as large as the main one, so it is not multiplied by salts; a hot order on the main side
+    # is split by the session's skew-join setting
+    joined = left.join(one, key, "left")
     return joined.withColumn("is_matched", F.coalesce("is_matched", F.lit(False)))
 
 
