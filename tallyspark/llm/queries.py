@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspark.llm.decontamination import decontamination_query
+from tallyspark.llm.packing import packing_query
 from tallyspark.llm.simhash import simhash_query
+from tallyspark.llm.toxicity import toxicity_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": simhash_query,
+    "op5_toxicity": toxicity_query,
+    "op6_packing": packing_query,
+    "op7_decontamination": decontamination_query,
 }
 ORACLES: dict[str, str] = {}
