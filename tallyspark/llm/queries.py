@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.decontamination import decontamination_query
 from tallyspark.llm.packing import packing_query
+from tallyspark.llm.pii import pii_query
 from tallyspark.llm.simhash import simhash_query
 from tallyspark.llm.toxicity import toxicity_query
 
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity_query,
     "op6_packing": packing_query,
     "op7_decontamination": decontamination_query,
+    "op8_pii": pii_query,
 }
 ORACLES: dict[str, str] = {}
