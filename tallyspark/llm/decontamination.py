@@ -170,20 +170,23 @@ def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return out
 
 
+def _search_udf(sent):
+    kind = pa.list_(
+        pa.struct(
+            [("item_id", pa.int64()), ("unit", pa.int32()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())]
+        )
+    )
+
+    @F.arrow_udf(LEAK)
+    def search(texts: pa.Array) -> pa.Array:
+        return pa.array(sent.value.search(texts.to_pylist()), kind)
+
+    return search
+
+
 def leaks(spark: SparkSession, text: Column, indexes: list[Index]) -> Column:
     """Array of the leaks in ``text``, empty if there are none."""
-    found = []
-    for index in indexes:
-        sent = spark.sparkContext.broadcast(index)
-
-        @F.arrow_udf(LEAK)
-        def search(texts: pa.Array, sent=sent) -> pa.Array:
-            kind = pa.list_(
-                pa.struct([("item_id", pa.int64()), ("unit", pa.int32()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
-            )
-            return pa.array(sent.value.search(texts.to_pylist()), kind)
-
-        found.append(search(F.coalesce(text, F.lit(""))))
+    found = [_search_udf(spark.sparkContext.broadcast(index))(F.coalesce(text, F.lit(""))) for index in indexes]
     return F.concat(*found) if found else F.expr(f"cast(array() as {LEAK})")
 
 
