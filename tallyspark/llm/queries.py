@@ -10,9 +10,11 @@ from tallyspark.llm.decontamination import decontamination_query
 from tallyspark.llm.packing import packing_query
 from tallyspark.llm.pii import pii_query
 from tallyspark.llm.simhash import simhash_query
+from tallyspark.llm.sketches import fingerprint_query
 from tallyspark.llm.toxicity import toxicity_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": fingerprint_query,
     "op3_simhash": simhash_query,
     "op5_toxicity": toxicity_query,
     "op6_packing": packing_query,
