@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.decontamination import decontamination_query
+from tallyspark.llm.licenses import LICENSE_SQL, license_query
 from tallyspark.llm.packing import packing_query
 from tallyspark.llm.pii import pii_query
 from tallyspark.llm.simhash import simhash_query
@@ -20,5 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": packing_query,
     "op7_decontamination": decontamination_query,
     "op8_pii": pii_query,
+    "op10_licenses": license_query,
+}
+ORACLES: dict[str, str] = {
+    "op10_licenses": LICENSE_SQL,
 }
-ORACLES: dict[str, str] = {}
