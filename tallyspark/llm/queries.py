@@ -14,10 +14,12 @@ from tallyspark.llm.quality import quality_query
 from tallyspark.llm.simhash import simhash_query
 from tallyspark.llm.sketches import fingerprint_query
 from tallyspark.llm.substrings import SUBSTRING_SQL, substring_query
+from tallyspark.llm.suffixes import SUFFIX_SQL, suffix_query
 from tallyspark.llm.toxicity import toxicity_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprint_query,
+    "op2_suffixes": suffix_query,
     "op3_simhash": simhash_query,
     "op4_substrings": substring_query,
     "op5_toxicity": toxicity_query,
@@ -28,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": license_query,
 }
 ORACLES: dict[str, str] = {
+    "op2_suffixes": SUFFIX_SQL,
     "op4_substrings": SUBSTRING_SQL,
     "op10_licenses": LICENSE_SQL,
 }

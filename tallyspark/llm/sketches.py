@@ -18,7 +18,7 @@ WIDTH = 5
 HASH_BITS = 48
 ROWS_TOGETHER = 2000
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BYTES = Powers(0xA0761D6478BD642F)
@@ -33,7 +33,7 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray) -> np.ndarray:
     starts, ends = word_bounds(data)
-    return mix(span_hashes(prefix_sums(_BYTE_VALUES[data], _BYTES), starts, ends, _BYTES) + (ends - starts).astype(np.uint64))
+    return mix(span_hashes(prefix_sums(BYTE_VALUES[data], _BYTES), starts, ends, _BYTES) + (ends - starts).astype(np.uint64))
 
 
 def sketch(text: str, k: int = K, width: int = WIDTH) -> np.ndarray:
