@@ -146,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     known = known.where(~held_out("doc_id"))
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ratios, n0, n1 = log_count_ratios(texts.join(known, "doc_id").select("text", "label"))
+    # one plan for all sizes: both sides grow with the corpus
+    ratios, n0, n1 = log_count_ratios(texts.join(known.hint("merge"), "doc_id").select("text", "label"))
     if not n0 or not n1:
         prior = (n1 + 0.5) / (n0 + n1 + 1)
         return ToxicityModel(np.zeros(1 << BITS, np.float32), np.ones(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
