@@ -125,7 +125,8 @@ def resampled(
     prepare(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("target")).where("doc_id IS NOT NULL").distinct()
-    ratios = log_ratios(rows.join(wanted, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")))
+    # one plan for all sizes: both sides grow with the corpus
+    ratios = log_ratios(rows.join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")))
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
     noise = -F.log(-F.log(uniform))
     weighed = rows.select("doc_id", log_weights(F.col("text"), ratios).alias("log_weight"), noise.alias("noise"))
