@@ -151,10 +151,18 @@ def _fingerprint_rows(width: int):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``(doc_id, fp)`` for every row."""
+    """``(doc_id, tie, fp)`` for every row; ``tie`` is a hash of the text."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), utf8(F.col(f"`{text_col}`")).alias("_text"))
-    return rows.mapInArrow(_fingerprint_rows(width), "doc_id long, fp long")
+    text = utf8(F.col(f"`{text_col}`"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("_text"))
+    return rows.mapInArrow(_fingerprint_rows(width), "doc_id long, tie long, fp long")
+
+
+def rooted(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(fp, root)`` for every distinct fingerprint of ``marked``; linked ones share a root."""
+    nodes = marked.select("fp").distinct()
+    stars = connected_components(near_links(nodes, radius))
+    return nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(
@@ -168,12 +176,18 @@ def near_duplicates(
     no member has one); repeated rows each get a row; an empty table gives none. Other columns are not read.
     """
     marked = materialised(fingerprints(docs, id_col, text_col, width))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    stars = connected_components(near_links(nodes.select("fp"), radius))
-    rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    components = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(components, "fp").select("doc_id", "fp", "component_id")
+    roots = materialised(rooted(marked, radius))
+    firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp")
+    named = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(roots.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """``(doc_id, tie)`` of one row of each component: the smallest id (null last), then the smallest text hash."""
+    marked = materialised(fingerprints(docs, id_col, text_col, width))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
+    firsts = marked.groupBy("fp").agg(F.min(order).alias("first")).join(rooted(marked, radius), "fp")
+    return firsts.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.tie")
 
 
 def simhash_query(spark: SparkSession, folder: str) -> DataFrame:

@@ -159,18 +159,22 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER
     return fit_weights([r["text"] for r in rows], np.array([r["label"] for r in rows]), ratios)
 
 
-def scored(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, score)`` for every row; the model has a fixed size."""
-    prepare(docs.sparkSession)
+def score_column(spark: SparkSession, text: Column, model: ToxicityModel) -> Column:
+    """Score of each text; a null text is empty. The model has a fixed size."""
+    sent = spark.sparkContext.broadcast(model)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         seen = np.zeros(1 << BITS, bool)
-        for b in batches:
-            scores = [model.score(feature_ids(t, seen)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        return pa.array([sent.value.score(feature_ids(t, seen)) for t in texts.to_pylist()], pa.float64())
+
+    return score(F.coalesce(text, F.lit("")))
 
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return texts.mapInArrow(rows, "doc_id long, score double")
+
+def scored(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, score)`` for every row; ids may be null or repeat, an empty table gives no rows."""
+    spark = prepare(docs.sparkSession)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), score_column(spark, F.col(f"`{text_col}`"), model).alias("score"))
 
 
 def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
