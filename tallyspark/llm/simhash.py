@@ -127,10 +127,10 @@ def near_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     ready, level = None, {m: finer_masks(m) for m in masks}
     for deeper in (True, True, False):
         rows = rows.select("mask", "fp", key)
-        if not deeper:
-            ready = ready.union(rows)
-            break
         crowded = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("mask", "key")
+        if not deeper or (crowded := materialised(crowded)).isEmpty():
+            ready = rows if ready is None else ready.union(rows)
+            break
         calm = rows.join(crowded, ["mask", "key"], "left_anti").select("mask", "fp", "key")
         ready = calm if ready is None else ready.union(calm)
         finer = F.create_map(*[x for m, fs in level.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(f)) for f in fs]))])
