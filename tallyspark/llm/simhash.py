@@ -17,7 +17,6 @@ WIDTH = 3
 RADIUS = 3
 SEED = 42
 CROWDED = 50_000  # larger buckets are dealt anew by more bits
-BLOCKS = RADIUS + 1
 
 
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
@@ -54,10 +53,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def finer_masks(mask: int) -> list[int]:
-    """Masks that add one of ``BLOCKS`` blocks of the free bits each: a pair within the radius agrees in one block."""
+def finer_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks that add one of ``radius + 1`` blocks of the free bits each: a pair within the radius agrees in one block."""
+    blocks = radius + 1
     free = [i for i in range(64) if not mask >> i & 1]
-    return [mask | sum(1 << i for i in free[b::BLOCKS]) for b in range(BLOCKS)]
+    return [mask | sum(1 << i for i in free[b::blocks]) for b in range(blocks)]
 
 
 def links_within(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -118,13 +118,13 @@ def _bucket_links(radius: int):
 def near_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges ``(u, v)`` that connect the distinct values ``fp`` as all pairs within ``radius`` bits would.
 
-    Buckets are the values under each covering mask. Crowded buckets are dealt anew twice by one more block of free bits,
-    so a bucket in the end has at most 2**16 possible values, and no pair is lost.
+    Buckets are the values under each covering mask. Crowded buckets are dealt anew, up to twice, by one more block of free
+    bits (for a radius of 3, that leaves 2**16 possible values to a bucket), and no pair is lost.
     """
     masks = covering_masks(radius)
     rows = fingerprints.select(F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"), "fp")
     key = F.col("fp").bitwiseAND(F.col("mask")).alias("key")
-    ready, level = None, {m: finer_masks(m) for m in masks}
+    ready, level = None, {m: finer_masks(m, radius) for m in masks}
     for deeper in (True, True, False):
         rows = rows.select("mask", "fp", key)
         crowded = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("mask", "key")
@@ -135,7 +135,7 @@ def near_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
         ready = calm if ready is None else ready.union(calm)
         finer = F.create_map(*[x for m, fs in level.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(f)) for f in fs]))])
         rows = rows.join(crowded, ["mask", "key"], "left_semi").select(F.explode(finer[F.col("mask")]).alias("mask"), "fp")
-        level = {f: finer_masks(f) for fs in level.values() for f in fs}
+        level = {f: finer_masks(f, radius) for fs in level.values() for f in fs}
     dealt = ready.repartition("mask", "key").sortWithinPartitions("mask", "key").select("mask", "fp")
     return dealt.mapInArrow(_bucket_links(radius), "u long, v long")
 
