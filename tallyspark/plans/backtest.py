@@ -5,10 +5,8 @@ Detail rows are one per (series, cutoff, horizon, strategy, model): calendar-siz
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyspark.functions.dates import days_to_month_end, is_weekend
 from tallyspark.functions.errors import error_aggregates, ratio_pct, summarize_errors, with_errors
@@ -63,33 +61,42 @@ def backtest_summary(detail: DataFrame) -> DataFrame:
 # --- weights and fusion -------------------------------------------------------------------------------------
 
 
-def _bounded_weights_udf(low: float, high: float):
-    def weights(metrics: pd.Series) -> pd.Series:
-        def one(values):
-            known = [v for v in values if v is not None and v == v]
-            n = len(values)
-            if not known:
-                return [1.0 / n] * n
-            worst = max(known)
-            inverse = [1.0 / max(v if v is not None and v == v else worst, 0.01) for v in values]
-            open_slots, left, out = list(range(n)), 1.0, [0.0] * n
-            while open_slots:
-                mass = sum(inverse[i] for i in open_slots)
-                shares = {i: inverse[i] / mass * left for i in open_slots}
-                fixed = next((i for i in open_slots if shares[i] < low or shares[i] > high), None)
-                if fixed is None:
-                    for i in open_slots:
-                        out[i] = shares[i]
-                    break
-                out[fixed] = low if shares[fixed] < low else high
-                left -= out[fixed]
-                open_slots.remove(fixed)
-            whole = sum(out)
-            return [w / whole for w in out] if whole > 0 else [1.0 / n] * n
-
-        return metrics.map(one)
-
-    return F.pandas_udf(weights, T.ArrayType(T.DoubleType()))
+def _inverse(errors: Column) -> Column:
+    """Inverse errors; a missing one counts as the worst known."""
+    worst = F.array_max(errors)
+    return F.transform(errors, lambda v: F.lit(1.0) / F.greatest(F.coalesce(F.nanvl(v, F.lit(None)), worst), F.lit(0.01)))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def _bounded_weights(errors: Column, low: float, high: float) -> Column:
+    """Shares in proportion to the inverse errors, each within the bounds, adding up to one.
+
+    Every round pins the first free share that is out of bounds to its bound, and what is left is dealt out among the
+    others; after as many rounds as there are tracks nothing moves any more. A pinned share is kept in ``pinned``, a
+    free one is null there.
+    """
+    n = len(TRACKS)
+
+    def shares(inverse: Column, pinned: Column) -> Column:
+        free = _sum(F.zip_with(inverse, pinned, lambda x, p: F.when(p.isNull(), x).otherwise(0.0)))
+        left = F.lit(1.0) - _sum(F.transform(pinned, lambda p: F.coalesce(p, F.lit(0.0))))
+        return F.zip_with(inverse, pinned, lambda x, p: F.coalesce(p, x / free * left))
+
+    def pin(inverse: Column, pinned: Column) -> Column:
+        now = shares(inverse, pinned)
+        off = F.zip_with(now, pinned, lambda x, p: p.isNull() & ((x < low) | (x > high)))
+        first = F.array_position(off, True)
+        return F.zip_with(F.transform(pinned, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), now, lambda s, x: F.when(s["i"] == first - 1, F.when(x < low, F.lit(low)).otherwise(F.lit(high))).otherwise(s["p"]))
+
+    inverse = _inverse(errors)
+    pinned = F.array(*[F.lit(None).cast("double")] * n)
+    settled = F.aggregate(F.sequence(F.lit(1), F.lit(n)), pinned, lambda acc, _: pin(inverse, acc), lambda acc: shares(inverse, acc))
+    whole = _sum(settled)
+    even = F.array(*[F.lit(1.0 / n)] * n)
+    return F.when(F.array_max(errors).isNull() | (whole <= 0), even).otherwise(F.transform(settled, lambda w: w / whole))
 
 
 def _metric_array(metric: str) -> Column:
@@ -100,7 +107,7 @@ def _metric_array(metric: str) -> Column:
 def inverse_weights(summary: DataFrame, keys: list[str], low: float = 0.10, high: float = 0.65) -> DataFrame:
     """Weights of the three tracks by inverse error, kept within bounds; one row per key."""
     rows = summary.where(F.col("model").isin(*TRACKS)).groupBy(*keys).agg(_metric_array("wape").alias("m"))
-    weighted = rows.withColumn("w", _bounded_weights_udf(low, high)("m"))
+    weighted = rows.withColumn("w", _bounded_weights(F.col("m"), low, high))
     return weighted.select(*keys, *[F.col("w")[i].alias(f"w_{m}") for i, m in enumerate(TRACKS)])
 
 
