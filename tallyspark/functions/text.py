@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 WIDE_SPACE = "\u3000"
 HARD_SPACE = "\xa0"
@@ -80,24 +79,17 @@ def suggestion_id(rule_type: Column, candidate: Column) -> Column:
 
 def _nfkc_udf():
     # a closure, so that executors need nothing but the standard library
-    def normalize(values: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def normalize(values: pa.Array) -> pa.Array:
         import unicodedata
 
-        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).strip())
+        return pa.array([None if v is None else unicodedata.normalize("NFKC", v).strip() for v in values.to_pylist()], pa.string())
 
-    return F.pandas_udf(normalize, T.StringType())
+    return normalize
 
 
-def with_nfkc(df: DataFrame, column: str, out: str) -> DataFrame:
-    """NFKC form of ``column``. Plain ASCII never leaves the JVM; Python sees other distinct texts only."""
-    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    needs_python = text.rlike(r"[^\x00-\x7F]")
-    keyed = df.withColumn("_nfkc_key", F.when(needs_python, text))
-    mapped = (
-        keyed.where(F.col("_nfkc_key").isNotNull())
-        .select("_nfkc_key")
-        .distinct()
-        .withColumn("_nfkc_value", _nfkc_udf()("_nfkc_key"))
-    )
-    joined = keyed.join(mapped, "_nfkc_key", "left")
-    return joined.withColumn(out, F.coalesce("_nfkc_value", F.trim(text))).drop("_nfkc_key", "_nfkc_value")
+def nfkc(column: Column) -> Column:
+    """NFKC form of a text, trimmed; null is empty. ASCII texts are empty rows to Python, which sees the others in place."""
+    text = F.coalesce(column.cast("string"), F.lit(""))
+    wide = text.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, _nfkc_udf()(F.when(wide, text))).otherwise(F.trim(text))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.hashing import canonical_hash
 from tallyspark.functions.keys import attach_one_row, salted_join
 from tallyspark.functions.money import to_minor, try_double
-from tallyspark.functions.text import clean_document_number
+from tallyspark.functions.text import clean_document_number, nfkc
 
 # Refund statuses, dimensions and table labels.
 PAID = "已退款"
@@ -348,7 +348,7 @@ def observations(refunds: DataFrame, file_order: list[str]) -> tuple[DataFrame,
     ``file_order`` columns stay on both, to keep the order of the file.
     """
     def text(name: str) -> Column:
-        return F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))) if name in refunds.columns else F.lit("")
+        return nfkc(F.col(name)) if name in refunds.columns else F.lit("")
 
     minor = to_minor(F.col("refund_amount"))
     number, source, status = text("refund_no"), text("order_id"), text("refund_status")
@@ -507,36 +507,49 @@ def with_row_ordinal(df: DataFrame, position: str, ties: list[str]) -> DataFrame
     return joined.select(*df.columns, (F.col("_shift") + F.col("_inside")).alias("row_ordinal"))
 
 
+SETTLE_SALTS = 16
+SETTLE_STEPS = 1000
+
+
 def adjustment_rows(receipts: DataFrame, refunds: DataFrame, status: str | None = PAID, order: list[str] | None = None) -> DataFrame:
-    """Deductions per receipt in whole minor units that add up exactly per dimension.
+    """Deductions per receipt in whole minor units that add up exactly within every order.
 
-    Each row is rounded half up; the cents left over go to the last row, in ``order``, that can take them.
+    Each share is cut to whole cents; the cents an order still lacks, fewer than it has receipts, go one each to the
+    receipts with the largest remainders (to a thousandth of a cent), and among those by ``order`` and content. Receipts
+    are ranked inside cells of (order, remainder, salt) and shifted by the sizes of the cells before, so an order with
+    very many receipts is never ranked by one task. A dimension that does not balance in the end raises an error.
     """
     order = order or ["order_id"]
     adjusted = apply_refunds(receipts, refunds, status, parity=True)
-    detail = adjusted["detail"]
-    rows = detail.withColumns(
+    detail = adjusted["detail"].withColumn("_key", clean_document_number(F.col("order_id"), parity=True))
+    names = [c for c in detail.columns if c != "_key"]
+    exact = F.round(F.col("refund_deducted") * 100, 6).cast("decimal(38,6)")
+    before = to_minor(F.col("amount_before").cast("decimal(38,10)"))
+    rows = detail.withColumns({"before_minor": before, "_floor": F.floor(exact).cast("long"), "_rest": exact - F.floor(exact)})
+    rows = rows.withColumns(
         {
-            "before_minor": to_minor(F.col("amount_before").cast("decimal(38,10)")),
-            "deducted_minor": to_minor(F.round(F.col("refund_deducted"), 8).cast("decimal(38,10)")),
+            "_step": F.floor(F.col("_rest") * SETTLE_STEPS).cast("int"),
+            "_salt": F.pmod(row_position(detail), F.lit(SETTLE_SALTS)),
+            "_tie": row_position(detail),
         }
     )
-    wanted = adjusted["metrics"].select(to_minor(F.round("applied_amount", 4).cast("decimal(28,4)")).alias("_wanted"))
-    given = rows.agg(F.coalesce(F.sum("deducted_minor"), F.lit(0)).alias("_given"))
-    gap = attach_one_row(wanted, given).select((F.col("_wanted") - F.col("_given")).alias("_gap"))
-    tagged = attach_one_row(rows.withColumn("_position", F.struct(*order, row_position(rows))), gap)
-    after_gap = F.col("deducted_minor") + F.col("_gap")
-    takes = (F.col("_gap") != 0) & (after_gap >= 0) & (after_gap <= F.col("before_minor"))
-    tagged = attach_one_row(tagged, tagged.where(takes).agg(F.max("_position").alias("_taker")))
-    is_taker = F.coalesce(F.col("_position") == F.col("_taker"), F.lit(False))
-    names = [c for c in rows.columns]
-    # exact copies of the taking receipt are counted, so that one of them takes the gap, not each
-    copies = tagged.where(is_taker).groupBy(*names, "_gap").agg(F.count(F.lit(1)).alias("_copies"))
-    taken = copies.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).withColumn(
-        "deducted_minor", F.col("deducted_minor") + F.when(F.col("_i") == 1, F.col("_gap")).otherwise(F.lit(0))
+    wanted = adjusted["orders"].where("is_matched").select(
+        F.col("order_id").alias("_key"), to_minor(F.round("applied_amount", 4).cast("decimal(28,4)")).alias("_wanted")
     )
-    out = tagged.where(~is_taker).select(*names).unionByName(taken.select(*names))
-    return out.withColumn("after_minor", F.col("before_minor") - F.col("deducted_minor"))
+    cells = rows.groupBy("_key", "_step", "_salt").agg(F.count(F.lit(1)).alias("_size"), F.sum("_floor").alias("_given"))
+    lacking = cells.groupBy("_key").agg(F.sum("_given").alias("_given")).join(wanted, "_key")
+    lacking = lacking.select("_key", (F.col("_wanted") - F.col("_given")).alias("_lacking"))
+    earlier = Window.partitionBy("_key").orderBy(F.desc("_step"), "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = cells.select("_key", "_step", "_salt", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift")).join(lacking, "_key")
+    inside = Window.partitionBy("_key", "_step", "_salt").orderBy(F.desc("_rest"), *order, "_tie")
+    ranked = rows.withColumn("_rank", F.row_number().over(inside)).join(shifts, ["_key", "_step", "_salt"])
+    extra = (F.col("_shift") + F.col("_rank") <= F.col("_lacking")).cast("long")
+    out = ranked.withColumn("deducted_minor", F.col("_floor") + extra).withColumn("after_minor", F.col("before_minor") - F.col("deducted_minor"))
+    # what cannot be given out, one cent to a receipt, would be lost: such a version is refused
+    sizes = cells.groupBy("_key").agg(F.sum("_size").alias("_rows"))
+    broken = lacking.join(sizes, "_key").where((F.col("_lacking") < 0) | (F.col("_lacking") > F.col("_rows"))).agg(F.count(F.lit(1)).alias("n"))
+    checked = F.when(broken.scalar() > 0, F.raise_error(F.lit("refund ledger does not balance")).cast("long")).otherwise(F.col("deducted_minor"))
+    return out.withColumn("deducted_minor", checked).select(*names, "before_minor", "deducted_minor", "after_minor")
 
 
 def row_position(df: DataFrame) -> Column:

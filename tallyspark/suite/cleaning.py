@@ -233,7 +233,7 @@ def p18(t):
 )
 def p19(t):
     rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit("ＡＢＣ　１２３")).otherwise(F.col("source")).alias("raw"))
-    return text.with_nfkc(rows, "raw", "normal").select("doc_id", "normal")
+    return rows.select("doc_id", text.nfkc(F.col("raw")).alias("normal"))
 
 
 @query(

@@ -229,6 +229,31 @@ def c22_conservation(t):
     return refunds.conservation(ledger["adjustments"], ledger["metrics"])
 
 
+@query(
+    "C22_settled_orders",
+    f"WITH {OFFICIAL_SQL}, o AS (SELECT order_id, CAST(round(sum(amount) * 100) AS BIGINT) AS cents, count(*) FILTER (amount > 0) AS receipts FROM official GROUP BY 1) SELECT order_id, least(cents // 3 + 1, cents) AS deducted_minor, receipts FROM o",
+)
+def c22_settled(t):
+    """A refund of a third of every order, a cent up, which rounds in nearly every receipt."""
+    receipts = t.official("order_id", "amount", "receipt_no")
+    cents = F.round(F.sum("amount") * 100).cast("long")
+    file = receipts.groupBy("order_id").agg(((F.floor(cents / 3) + 1) / 100).alias("refund_amount")).withColumn("refund_status", F.lit(refunds.PAID))
+    rows = refunds.adjustment_rows(receipts, file, refunds.PAID, ["order_id", "receipt_no"])
+    return rows.groupBy("order_id").agg(F.sum("deducted_minor").alias("deducted_minor"), F.count(F.lit(1)).alias("receipts"))
+
+
+@query("J25_wide_identity", f"WITH {_OBS_SQL} SELECT refund_no, 'UNCHANGED' AS change FROM cur")
+def j25_wide(t):
+    """The stored refunds filed again in full-width characters."""
+    _, _, current = _ledger_rows(t)
+    wide = [F.translate(c, "0123456789-", "０１２３４５６７８９－").alias(c) for c in ("refund_no", "source_receipt_no")]
+    file = current.select(
+        *wide, F.col("refund_status"), (F.col("refund_amount_minor") / 100).cast("decimal(18,2)").cast("string").alias("refund_amount"), F.col("refund_no").alias("pos")
+    ).withColumnRenamed("source_receipt_no", "order_id")
+    rows, _ = refunds.observations(file, ["pos"])
+    return refunds.classify_changes(rows, current, ["pos"]).select("refund_no", "change")
+
+
 @query(
     "A40_ledger_metrics",
     f"""WITH {_STATE_SQL}, a AS (SELECT 'TOTAL_REFUND' AS d, m, orig FROM so LEFT JOIN fo USING (order_id) UNION ALL SELECT 'REFUNDED', m, orig FROM sp LEFT JOIN fo USING (order_id)), s AS (SELECT d, sum(m) AS r, sum(least(m, coalesce(orig, 0))) AS ap, count(*) AS n, count(orig) AS k FROM a GROUP BY 1)

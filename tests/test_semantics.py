@@ -90,10 +90,24 @@ def test_refund_file_metrics(spark):
 
 
 def test_adjustments_conserve_cents_even_among_copies(spark):
-    df = spark.createDataFrame([("A", 100.0, True)] * 3, "order_id string, amount double, is_tour boolean")
-    out = refunds.adjustment_rows(df, refund_frame(spark, [("A", "100", "已退款")]))
+    df = spark.createDataFrame([("K7", 64.0, True)] * 7, "order_id string, amount double, is_tour boolean")
+    out = refunds.adjustment_rows(df, refund_frame(spark, [("K7", "10", "已退款")]))
     cents = sorted(r[0] for r in out.select("deducted_minor").collect())
-    assert sum(cents) == 10000 and cents == [3333, 3333, 3334]
+    assert sum(cents) == 1000 and cents == [142] + [143] * 6
+
+
+def test_adjustments_conserve_cents_in_every_order(spark):
+    orders = [f"M{i}" for i in range(400)]
+    df = spark.createDataFrame([(o, 1.0, True) for o in orders for _ in range(2)], "order_id string, amount double, is_tour boolean")
+    out = refunds.adjustment_rows(df, refund_frame(spark, [(o, "0.01", "已退款") for o in orders]))
+    sums = out.groupBy("order_id").agg(F.sum("deducted_minor").alias("s"), F.max("deducted_minor").alias("m")).collect()
+    assert len(sums) == 400 and all((r.s, r.m) == (1, 1) for r in sums)
+
+
+def test_a_ledger_that_cannot_balance_is_refused(spark):
+    df = spark.createDataFrame([("A", 20.0, True), ("A", -8.0, True)], "order_id string, amount double, is_tour boolean")
+    with pytest.raises(Exception, match="does not balance"):
+        refunds.adjustment_rows(df, refund_frame(spark, [("A", "12", "已退款")])).collect()
 
 
 def test_changed_status_is_told_from_changed_identity(spark):
