@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tallyspark.sources.store import SnapshotStore, upsert
+from tallyspark.sources.store import SnapshotStore
 
 
 def upsert_stream(uploads: DataFrame, store: SnapshotStore, table: str, checkpoint: str, key: str = "order_id"):
-    """Start a stream that applies ``upsert`` per micro-batch. Replaying a batch gives the same rows."""
+    """Start a stream that replaces the orders of each micro-batch. Replaying a batch gives the same rows, and only the
+    months that a batch touches are written."""
 
     def apply(batch: DataFrame, _batch_id: int) -> None:
-        store.publish(table, upsert(store.load(table), batch, key))
+        store.replace_keys(table, batch, key)
 
     return uploads.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

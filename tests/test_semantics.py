@@ -243,6 +243,50 @@ def test_snapshot_store_publishes_rolls_back_and_streams(spark, tmp_path):
     assert rows(shop.load("tour_data")) == [("1", 9.0), ("2", 2.0)]
 
 
+def test_a_store_that_cannot_be_read_is_not_taken_as_empty(spark, tmp_path):
+    shop = store.SnapshotStore(spark, str(tmp_path / "s"))
+    shop.publish("t", spark.createDataFrame([("1", 1.0)], "order_id string, amount double"))
+    (log,) = (tmp_path / "s" / "t" / "_log").glob("0*.json")
+    log.write_text("{broken")
+    (tmp_path / "s" / "t" / "_log" / f".{log.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception):
+        shop.load("t")
+    with pytest.raises(Exception):
+        shop.update("t", lambda old: old)
+    (tmp_path / "s" / "g" / "facts").mkdir(parents=True)
+    (tmp_path / "s" / "g" / "facts" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        shop.facts("g").count()
+
+
+def test_a_writer_that_was_overtaken_works_from_the_newer_state(spark, tmp_path):
+    shop = store.SnapshotStore(spark, str(tmp_path / "s"))
+    frame = lambda *ids: spark.createDataFrame([(i, 1.0) for i in ids], "order_id string, amount double")
+    shop.publish("t", frame("1"))
+    overtaken = []
+
+    def change(old):
+        if not overtaken:
+            overtaken.append(shop.update("t", lambda now: store.upsert(now, frame("2"))))
+        return store.upsert(old, frame("3"))
+
+    shop.update("t", change)
+    assert rows(shop.load("t").select("order_id")) == [("1",), ("2",), ("3",)]
+    assert [r.sequence for r in shop.versions("t").orderBy("sequence").collect()] == [1, 2, 3]
+
+
+def test_only_months_of_old_and_new_rows_are_written(spark, tmp_path):
+    shop = store.SnapshotStore(spark, str(tmp_path / "s"))
+    frame = lambda *r: spark.createDataFrame(list(r), "order_id string, unified_date string, amount double")
+    shop.replace_keys("t", frame(("a", "2026-01-05", 1.0), ("b", "2026-02-05", 2.0), ("c", "2026-03-05", 3.0), ("d", None, 4.0)))
+    newest = lambda: dict(shop.versions("t").orderBy(F.desc("sequence")).first().folders)
+    before = newest()
+    shop.replace_keys("t", frame(("b", "2026-04-01", 9.0)))
+    after = newest()
+    assert {m: after.get(m) == f for m, f in before.items()} == {"2026-01": True, "2026-02": False, "2026-03": True, "none": True}
+    assert rows(shop.load("t").select("order_id", "amount")) == [("a", 1.0), ("b", 9.0), ("c", 3.0), ("d", 4.0)]
+
+
 def test_gate_history(spark, tmp_path):
     shop = store.SnapshotStore(spark, str(tmp_path / "h"))
     for status in ("accepted", "rejected"):
