@@ -12,41 +12,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
-RANK_FULLY_BELOW = 25_000  # smaller groups skip the sketch; above, the bracket spans at least ten ranks
-
-
-MAX_GROUPS = 10_000
 
 
 def _ranked_bracket(df: DataFrame, groups: list[str], value: str, share: float) -> DataFrame:
     """Distinct values near ``share`` with their running row count ``_cum``, plus the group size ``_n``.
 
-    The rows are read twice: once for the sketch, once to fold them. Both passes combine map-side, so only the
-    bracket is shuffled. There must be few groups (one per cutoff or per model); this is checked.
+    The rows are read twice: once for the sketch, once to fold them. All values under the bracket become one row with the
+    largest of them, all values over it one row with the smallest, so that a rank just outside is still exact, however
+    small the group. Both passes combine map-side, and only the bracket is shuffled.
     """
     data = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     slack = 4 / ACCURACY
     marks = F.percentile_approx("_v", [max(0.0, share - slack), min(1.0, share + slack)], ACCURACY)
     size = data.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), marks.alias("_m"))
-    sketched = F.col("_n") > RANK_FULLY_BELOW
-    size = size.select(
-        *groups,
-        "_n",
-        F.when(sketched & F.lit(share > slack), F.col("_m")[0]).otherwise(F.lit(float("-inf"))).alias("_lo"),
-        F.when(sketched & F.lit(share < 1 - slack), F.col("_m")[1]).otherwise(F.lit(float("inf"))).alias("_hi"),
-    )
+    size = size.select(*groups, "_n", F.col("_m")[0].alias("_lo"), F.col("_m")[1].alias("_hi"))
     if groups:
-        many = size.agg(F.count(F.lit(1))).scalar() > MAX_GROUPS
-        few = size.where(F.when(many, F.raise_error(F.lit("too many groups for exact quantiles")).cast("boolean")).otherwise(F.lit(True)))
-        marked = data.join(F.broadcast(few), groups)
+        marked = data.join(size, groups)
     else:
         row = size.select(F.struct("_n", "_lo", "_hi").alias("s")).scalar()
         marked = data.withColumn("_s", row).select("_v", "_s.*")
+    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
     folded = (
-        marked.where(F.col("_v") <= F.col("_hi"))
-        .withColumn("_v", F.when(F.col("_v") < F.col("_lo"), F.lit(float("-inf"))).otherwise(F.col("_v")))
-        .groupBy(*groups, "_n", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        marked.withColumn("_side", side)
+        .groupBy(*groups, "_n", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_max"), F.min("_v").alias("_min"))
+        .withColumn("_v", F.when(F.col("_side") < 0, F.col("_max")).otherwise(F.col("_min")))
     )
     order = Window.partitionBy(*groups, "_n").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     return folded.withColumn("_cum", F.sum("_c").over(order))

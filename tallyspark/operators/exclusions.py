@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.hashing import canonical_hash
-from tallyspark.functions.keys import attach_one_row, salted_join
+from tallyspark.functions.keys import attach_one_row
 from tallyspark.functions.text import identity_text
 from tallyspark.rules import EXCLUDED_PAY_METHODS, EXCLUDED_RECEIPT_TYPES
 
-READ_LIMIT = 100
 IDENTITY = ("receipt_no", "source_order_no", "exclusion_kind")
 TAIL = "tail_value"  # the unnamed twentieth column of a displaced export row
 
@@ -74,7 +73,7 @@ def match_rules(main: DataFrame, rules: DataFrame) -> dict[str, DataFrame]:
     active = rules.where(F.col("status") == "active").groupBy(F.col("receipt_no").alias("_receipt")).agg(
         F.max_by(F.struct("id", "source_order_no", "exclusion_kind"), "id").alias("_rule")
     )
-    marked = salted_join(with_identity(main), active, ["_receipt"], "left")
+    marked = with_identity(main).join(active, "_receipt", "left")
     reason = (
         F.when(F.col("_rule").isNull(), F.lit(None).cast("string"))
         .when(F.col("_order") != F.col("_rule.source_order_no"), F.lit("source_order_mismatch"))
@@ -267,15 +266,16 @@ def status_counts(states: DataFrame) -> DataFrame:
     return states.agg(*[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("active", "revoked")])
 
 
-def list_rules(states: DataFrame, status: str | None = None, limit: int = READ_LIMIT) -> DataFrame:
-    """Rules in identity order, at most ``READ_LIMIT`` of them: a page for display."""
+def list_rules(states: DataFrame, status: str | None = None, limit: int | None = None) -> DataFrame:
+    """Rules in identity order, all of them or a page of ``limit``."""
     if status not in (None, "active", "revoked"):
         raise ValueError("status is active, revoked or none")
     rows = states if status is None else states.where(F.col("status") == status)
-    return rows.orderBy(*IDENTITY, "id").limit(max(1, min(int(limit), READ_LIMIT)))
+    rows = rows.orderBy(*IDENTITY, "id")
+    return rows if limit is None else rows.limit(max(1, int(limit)))
 
 
-def read_model(rules: DataFrame, events: DataFrame, limit: int = READ_LIMIT) -> dict[str, DataFrame]:
+def read_model(rules: DataFrame, events: DataFrame, limit: int | None = None) -> dict[str, DataFrame]:
     states = rule_states(rules, events)
     return {
         "active": list_rules(states, "active", limit),

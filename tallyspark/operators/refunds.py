@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.hashing import canonical_hash
-from tallyspark.functions.keys import attach_one_row, salted_join
+from tallyspark.functions.keys import attach_one_row
 from tallyspark.functions.money import to_minor, try_double
 from tallyspark.functions.text import clean_document_number, nfkc
 
@@ -144,13 +144,13 @@ def reconcile(receipts: DataFrame, refunds: DataFrame, status: str | None = None
 def apply_refunds(receipts: DataFrame, refunds: DataFrame, status: str | None = None, parity: bool = False) -> dict[str, DataFrame]:
     """Spread each order's refund over its receipts in proportion to their amounts.
 
-    The order totals come from one aggregate and go back to the receipts by a salted join, so an order with very
-    many receipts is neither collected nor windowed. ``parity=True`` also lifts negative receipts to zero, as the
+    The order totals come from one aggregate and go back to the receipts by a join that the session splits where an
+    order has very many receipts, so none is collected or windowed. ``parity=True`` also lifts negative receipts to zero, as the
     old rule does even without a refund.
     """
     per_order = reconcile(receipts, refunds, status)
     shares = per_order.where("is_matched").select("_source_id", "applied_amount", "original_amount")
-    rows = salted_join(_receipt_amounts(receipts), shares, ["_source_id"], "left")
+    rows = _receipt_amounts(receipts).join(shares, "_source_id", "left")
     ratio = F.when(F.col("original_amount") > 0, F.col("amount_before") / F.col("original_amount"))
     deducted = F.coalesce(ratio * F.col("applied_amount"), F.lit(0.0))
     rows = rows.withColumn("refund_deducted", deducted)

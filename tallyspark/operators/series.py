@@ -16,7 +16,8 @@ TOTAL = "total"
 LAGS = (1, 2, 7, 14, 28)
 ROLLING = (7, 14, 30)
 SMOOTHING = 0.15
-SMOOTHING_DAYS = 256  # 0.85 ** 256 is below 1e-18: older days cannot change a double
+BLOCK_DAYS = 512
+RECENT_DAYS = 56  # the averages below look back eight weeks at most
 MIN_DAYS, MIN_NONZERO_DAYS = 45, 10
 KEYS = ("series_id", "line")
 
@@ -119,12 +120,21 @@ def array_median(values: Column) -> Column:
     return F.when(F.size(values) > 0, let(F.array_sort(values), middle))
 
 
-def smoothed_level(values: Column) -> Column:
-    """Exponentially weighted mean of the values, newest last."""
+def with_smoothed_level(series: DataFrame) -> DataFrame:
+    """``level``: exponentially weighted mean of all days so far. Needs the day number ``_i`` (a double, from 0).
+
+    Weights are running sums inside blocks of days, so no power leaves the range of a double; the sums of the blocks before
+    are carried along, one number each.
+    """
     keep = 1 - SMOOTHING
-    weighted = F.transform(F.reverse(values), lambda x, i: x * F.pow(F.lit(keep), i))
-    whole = (1 - F.pow(F.lit(keep), F.size(values))) / SMOOTHING
-    return _sum(weighted) / whole
+    place = F.col("_i") % BLOCK_DAYS
+    inside = Window.partitionBy(*KEYS, F.floor(F.col("_i") / BLOCK_DAYS)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    before = _by_day().rowsBetween(Window.unboundedPreceding, -1)
+    work = series.withColumn("_in", F.sum(F.col("revenue") * F.pow(F.lit(keep), -place)).over(inside) * F.pow(F.lit(keep), place))
+    work = work.withColumn("_blocks", F.collect_list(F.when(place == BLOCK_DAYS - 1, F.col("_in"))).over(before))
+    carried = F.aggregate("_blocks", F.lit(0.0), lambda acc, x: acc * keep**BLOCK_DAYS + x) * F.pow(F.lit(keep), place + 1)
+    whole = (1 - F.pow(F.lit(keep), F.col("_i") + 1)) / SMOOTHING
+    return work.withColumn("level", (F.col("_in") + carried) / whole).drop("_in", "_blocks")
 
 
 def running_stats(series: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -135,7 +145,7 @@ def running_stats(series: DataFrame, keep: Column | None = None) -> DataFrame:
     """
     w = _by_day()
     past = w.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = series.withColumn("_i", (F.row_number().over(w) - 1).cast("double"))
+    numbered = with_smoothed_level(series.withColumn("_i", (F.row_number().over(w) - 1).cast("double")))
     effects = [F.avg(F.when(F.weekday("date") == k, F.col("revenue"))).over(past) for k in range(7)]
     month = Window.partitionBy(*KEYS, month_key(F.col("date"))).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     windowed = numbered.withColumns(
@@ -149,7 +159,7 @@ def running_stats(series: DataFrame, keep: Column | None = None) -> DataFrame:
             "intercept": F.regr_intercept("revenue", "_i").over(past),
             **{f"_w{k}": e for k, e in enumerate(effects)},
             "recent_7": F.avg("revenue").over(w.rowsBetween(-6, 0)),
-            "_tail": tail(SMOOTHING_DAYS),
+            "_tail": tail(RECENT_DAYS),
             # the month of the next day up to now: a running month mean covers both "month to date" and, on the
             # last day of a month, "the whole month before"
             "mtd_pace": F.avg("revenue").over(month),
@@ -171,7 +181,6 @@ def running_stats(series: DataFrame, keep: Column | None = None) -> DataFrame:
     out = windowed.withColumns(
         {
             "weekday_effects": F.array(*[F.coalesce(F.col(f"_w{k}") - mean, F.lit(0.0)) for k in range(7)]),
-            "level": smoothed_level(values),
             "recent_14_weighted": linear_weighted(newest(14)),
             "recent_21_trimmed": trimmed_weighted(newest(21)),
             "same_weekday_median": array_median(weekdays(8)),

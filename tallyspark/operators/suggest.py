@@ -13,8 +13,7 @@ from tallyspark.operators.resolve import LOG_NO_MATCH
 from tallyspark.roles import UNKNOWN, UNMATCHED
 from tallyspark.rules import BusinessRules
 
-# How many candidates each rule kind looks at, and the rows a candidate needs.
-TOP_NAMES, TOP_PREFIXES, TOP_DEPTS = 20, 30, 15
+# The rows a candidate needs.
 MIN_ROWS, RISKY_ROWS = 3, 20
 CRUISE_TEXT = "(?i)郵輪|游輪|cruise"
 
@@ -33,40 +32,41 @@ def _row(rule: str, candidate: Column, rows: Column, confidence: Column, risk: s
     ]
 
 
-def _top(df: DataFrame, column: Column, limit: int) -> DataFrame:
-    counts = df.select(column.alias("candidate")).where(F.col("candidate") != "").groupBy("candidate").agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), "candidate").limit(limit)
+def _open(rows: DataFrame, candidate: Column, known: list[str], weight: Column | None = None) -> DataFrame:
+    """Rows behind every candidate that no rule knows yet. Known ones go before anything is counted."""
+    named = rows.select(candidate.alias("candidate"), (F.lit(1) if weight is None else weight).alias("_w")).where(F.col("candidate") != "")
+    return named.where(~F.col("candidate").isin(*known)).groupBy("candidate").agg(F.sum("_w").alias("n"))
 
 
-def suggestions(raw: DataFrame, name_log: DataFrame, rules: BusinessRules) -> DataFrame:
-    """Unknown sellers, unknown order prefixes, risky exclusions and cruise departments, best first."""
-    n = F.col("n")
-    open_names = name_log.where(F.col("status") == LOG_NO_MATCH)
-    names = open_names.groupBy(candidate_text(F.col("original")).alias("candidate")).agg(F.sum("rows").alias("n"))
-    names = names.where(F.col("candidate") != "").orderBy(F.desc("n"), "candidate").limit(TOP_NAMES)
-    names = names.where((n >= MIN_ROWS) & ~F.col("candidate").isin(*rules.specialists))
-    out = names.select(*_row("SALES_REP_LIST", F.col("candidate"), n, F.least(F.lit(92), 58 + n * 6).cast("double"), "中"))
-
-    key = clean_document_number(F.col("order_id"))
-    tag = F.coalesce(F.trim("source_tag"), F.lit(""))
-    branch = F.coalesce(F.trim("branch"), F.lit(""))
-    unknown = (tag == UNMATCHED) | branch.isin("", UNKNOWN, "nan", "None")
-    prefixes = _top(raw.where(unknown), id_prefix(key), TOP_PREFIXES)
-    known = [p.upper() for p in (*rules.branch_map, *rules.exclude_prefixes)]
-    prefixes = prefixes.where(~F.upper("candidate").isin(*known))
-    sure = F.least(F.lit(82), 45 + n * 5).cast("double")
-    out = out.unionByName(prefixes.select(*_row("BRANCH_MAPPING", F.upper("candidate"), n, sure, "中", sure >= 75)))
-    risky = F.least(F.lit(78), 42 + n * 2).cast("double")
-    out = out.unionByName(
-        prefixes.where(n >= RISKY_ROWS).select(*_row("EXCLUDE_PREFIXES", F.upper("candidate"), n, risky, "高", risky >= 75))
-    )
+def suggestions(raw: DataFrame, name_log: DataFrame, rules: BusinessRules, per_rule: int | None = None) -> DataFrame:
+    """Unknown sellers, unknown order prefixes, risky exclusions and cruise departments, best first.
 
+    All candidates are returned; ``per_rule`` cuts a view to the most frequent ones of each rule.
+    """
+    n = F.col("n")
     texts = [c for c in ("source_tag", "source_name", "tour_name", "dest_category", "dest_level1", "dest_level2") if c in raw.columns]
+    branch = F.coalesce(F.trim("branch"), F.lit(""))
+    unknown = (F.coalesce(F.trim("source_tag"), F.lit("")) == UNMATCHED) | branch.isin("", UNKNOWN, "nan", "None")
+    taken = [p.upper() for p in (*rules.branch_map, *rules.exclude_prefixes)]
+    names = _open(name_log.where(F.col("status") == LOG_NO_MATCH), candidate_text(F.col("original")), list(rules.specialists), F.col("rows"))
+    prefixes = _open(raw.where(unknown), F.upper(id_prefix(clean_document_number(F.col("order_id")))), taken)
+    # rule, candidates, base and step of the confidence, its ceiling, risk, and where a reader may act on it
+    kinds = [
+        ("SALES_REP_LIST", names.where(n >= MIN_ROWS), 58, 6, 92, "中", 70),
+        ("BRANCH_MAPPING", prefixes, 45, 5, 82, "中", 75),
+        ("EXCLUDE_PREFIXES", prefixes.where(n >= RISKY_ROWS), 42, 2, 78, "高", 75),
+    ]
     if "dept" in raw.columns and texts:
         signal = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in texts])
-        depts = _top(raw.where(signal.rlike(CRUISE_TEXT)), candidate_text(F.col("dept")), TOP_DEPTS)
-        depts = depts.where((n >= MIN_ROWS) & ~F.col("candidate").isin(*rules.cruise_depts))
-        out = out.unionByName(depts.select(*_row("CRUISE_DEPTS", F.col("candidate"), n, F.least(F.lit(90), 60 + n * 5).cast("double"), "低")))
+        depts = _open(raw.where(signal.rlike(CRUISE_TEXT)), candidate_text(F.col("dept")), list(rules.cruise_depts))
+        kinds.append(("CRUISE_DEPTS", depts.where(n >= MIN_ROWS), 60, 5, 90, "低", 70))
+    out = None
+    for rule, candidates, base, step, ceiling, risk, enough in kinds:
+        sure = F.least(F.lit(ceiling), base + n * step).cast("double")
+        if per_rule is not None:
+            candidates = candidates.orderBy(F.desc("n"), "candidate").limit(per_rule)
+        rows = candidates.select(*_row(rule, F.col("candidate"), n, sure, risk, sure >= enough))
+        out = rows if out is None else out.unionByName(rows)
     once = first_per_key(out, ["rule_type", "candidate"], [F.col("suggestion_id")])
     return once.orderBy(F.desc("actionable"), F.desc("confidence"), F.desc("rows"), "suggestion_id")
 

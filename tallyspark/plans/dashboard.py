@@ -33,8 +33,10 @@ def facts_token(facts: dict, columns: list[str]) -> DataFrame:
     return state_token(prints, facts["rules"].fingerprint())
 
 
-def dashboard_summary(facts: dict, period: Period = Period(), entity: str | None = None, seller: str | None = None) -> dict[str, DataFrame]:
+def dashboard_summary(facts: dict, period: Period = Period(), entity: str | None = None, seller: str | None = None, rows: int | None = None) -> dict[str, DataFrame]:
+    """``rows`` cuts the product mix for display."""
     grid = facts["facts"]
+    mix = d.of_channel(grid, "specialist").orderBy("entity", "day")
     view = d.filtered(grid, period, entity, seller)
     return {
         "scope_audit": facts["audit"],
@@ -43,7 +45,7 @@ def dashboard_summary(facts: dict, period: Period = Period(), entity: str | None
         "data_freshness": freshness(facts["official"], facts["audit"]),
         "branch_ranking": d.ranking(d.of_channel(view, "branch"), top=20, share_after_top=True),
         "specialist_ranking": d.ranking(d.of_channel(view, "specialist"), top=20, share_after_top=True),
-        "product_mix": d.of_channel(grid, "specialist").orderBy("entity", "day").limit(50),
+        "product_mix": mix if rows is None else mix.limit(rows),
     }
 
 

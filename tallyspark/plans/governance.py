@@ -84,7 +84,6 @@ def recommendations(matrix: DataFrame) -> DataFrame:
 
 # --- feature snapshots --------------------------------------------------------------------------------------
 
-SNAPSHOT_ROWS = 30
 SNAPSHOT_COLUMNS = (
     "cutoff",
     "actual_date",
@@ -124,11 +123,12 @@ HEALTH_FEATURES = (
 READY, WATCHING, AUDIT = "可用", "觀察", "需稽核"
 
 
-def feature_snapshot(signals: DataFrame, events: DataFrame) -> DataFrame:
-    """The newest signal rows with their event signal."""
+def feature_snapshot(signals: DataFrame, events: DataFrame, rows: int | None = None) -> DataFrame:
+    """Signal rows with their event signal, newest first; ``rows`` cuts a view for display."""
     extra = events.select("cutoff", "actual_date", "event_class", "event_action", "order_momentum")
     joined = signals.select(*SNAPSHOT_COLUMNS).join(extra, ["cutoff", "actual_date"], "left")
-    return joined.orderBy(F.desc("actual_date"), F.desc("cutoff")).limit(SNAPSHOT_ROWS)
+    ordered = joined.orderBy(F.desc("actual_date"), F.desc("cutoff"))
+    return ordered if rows is None else ordered.limit(rows)
 
 
 def feature_health(snapshot: DataFrame, parity: bool = False) -> DataFrame:

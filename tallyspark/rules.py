@@ -56,8 +56,6 @@ EXCLUDED_RECEIPT_TYPES = ("掛賬核銷",)
 EXCLUDED_PAY_METHODS = ("TT 退款轉團款",)
 SCOPE_LABEL = "不含掛賬核銷與TT退款轉團款"
 
-MAX_RULES = 10_000  # rules are literals inside expressions; larger tables belong in a join
-
 
 @dataclass(frozen=True)
 class BusinessRules:
@@ -72,9 +70,6 @@ class BusinessRules:
     excluded_methods: tuple[str, ...] = EXCLUDED_PAY_METHODS
 
     def __post_init__(self):
-        sizes = (self.branch_map, self.exclude_prefixes, self.target_branches, self.specialists, self.cruise_depts)
-        if any(len(v) > MAX_RULES for v in (*sizes, self.overrides)):
-            raise ValueError(f"rule lists are limited to {MAX_RULES} entries")
         names = [n for n in self.branch_map.values() if n != self.specialist_desk]
         if len(names) != len(set(names)):
             raise ValueError("two branch codes share one name; the daily grid would count it twice")

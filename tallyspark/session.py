@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 RUNTIME_CONF = {
@@ -23,12 +21,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g", checkpoints: str = "/tmp/checkpoints") -> SparkSession:
+    """A session for tests and benches on one machine."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tallyspark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", checkpoints)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -38,20 +38,10 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return tune(spark)
 
 
-def spread(df):
-    """Give a scan of few files one partition per core.
-
-    An upload is often a single sheet or a single row group, which one task would read and then carry through
-    every projection. Inputs of many files are left as they are, so nothing large is shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def cut_lineage(df):
-    """Materialise ``df`` on the shared checkpoint folder, so a lost executor costs no recomputation.
+    """Materialise ``df`` in the folder of ``spark.checkpoint.dir``, so a lost executor costs no recomputation.
 
-    The folder comes from ``spark.checkpoint.dir``; a private one is made only in local mode.
+    On one machine, where it may be unset, the warehouse folder is taken instead.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -59,7 +49,7 @@ def cut_lineage(df):
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="tallyspark-checkpoint-")
+                raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -453,7 +453,7 @@ def a30(t):
     return rounded(out.select("class_name", "samples", "target_days", "true_positive", "false_positive", "false_negative", "precision", "wape"), 4)
 
 
-@query("K07_latest_snapshots", f"WITH {_OUT} SELECT k::VARCHAR AS cutoff, risk_level, CASE WHEN k % 3 = 0 THEN 'Event Normal' END AS event_class FROM sig ORDER BY k DESC LIMIT 30")
+@query("K07_latest_snapshots", f"WITH {_OUT} SELECT k::VARCHAR AS cutoff, risk_level, CASE WHEN k % 3 = 0 THEN 'Event Normal' END AS event_class FROM sig")
 def k07(t):
     rows = _signals(t).withColumns({"cutoff": F.col("k"), "actual_date": F.col("k"), "feature_max_date": F.col("k"), "total_7": F.lit(1.0), "total_14": F.lit(1.0)})
     events = rows.where(F.col("k") % 3 == 0).select("cutoff", "actual_date", F.lit("Event Normal").alias("event_class"), F.lit("Hold").alias("event_action"), F.lit(1.0).alias("order_momentum"))

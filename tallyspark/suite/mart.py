@@ -468,7 +468,7 @@ def c05(t):
     "C06_dashboard_summary",
     f"""WITH {FACTS_SQL} SELECT 'scope_audit' AS dataset, 1 AS rows UNION ALL SELECT unnest(['kpis', 'revenue_totals', 'data_freshness']), 1
 UNION ALL SELECT 'branch_ranking', least(20, count(DISTINCT entity)) FROM branch_facts UNION ALL SELECT 'specialist_ranking', least(20, count(DISTINCT entity)) FROM specialist_facts
-UNION ALL SELECT 'product_mix', least(50, count(*)) FROM specialist_facts""",
+UNION ALL SELECT 'product_mix', count(*) FROM specialist_facts""",
 )
 def c06(t):
     facts = plan.build_facts(t.receipts(), RULES, TIES)

@@ -281,38 +281,14 @@ def s03(t):
     return union.groupBy("source_name").agg(F.count(F.lit(1)).alias("n"), F.count("days").alias("with_days"), F.count("tour_name").alias("with_name"))
 
 
-@query("S04_key_column", "SELECT * FROM (VALUES ('preferred', 'o_orderkey'), ('alias', '訂 單 號'), ('hint', 'x單'), ('third', 'o_orderstatus'), ('first', 'o_orderkey')) AS v(rule, chosen) WHERE (SELECT count(*) FROM orders) > 0")
-def s04(t):
-    cols = t.orders.columns
-    chosen = {
-        "preferred": tabular.resolve_key_column(cols, "o_orderkey"),
-        "alias": tabular.resolve_key_column([*cols, "訂 單 號"], "none"),
-        "hint": tabular.resolve_key_column([*cols, "x單"], "none"),
-        "third": tabular.resolve_key_column(cols, "none"),
-        "first": tabular.resolve_key_column(cols[:1], "none"),
-    }
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(v).alias("chosen")) for k, v in chosen.items()]))
-    return t.orders.limit(1).select(rows.alias("r")).select("r.*")
-
-
 @query("S12_exclusion_ids", f"WITH {_KEYS_SQL} SELECT DISTINCT code AS order_id FROM main")
 def s12(t):
     return tabular.exclusion_ids(_main(t).select(F.col("order_id").alias("交易號碼")))
 
 
-@query("S32_synthetic_upload", "SELECT count(*) AS rows, count(*) AS matched, count(*) * 1000.0 + count(*) * (count(*) - 1) / 2.0 AS amount FROM region")
-def s32(t):
-    # as many dry-run rows as regions, through the whole ingest
-    main, product = tabular.synthetic_upload(t.spark, t.region.count())
-    rules = replace(INGEST_RULES, exclude_prefixes=())
-    product = product.withColumns({"source_name": F.lit("旅行團"), "src_ordinal": F.monotonically_increasing_id()})
-    out = process_uploads(main, product, rules)
-    return out["tour"].agg(F.count(F.lit(1)).alias("rows"), F.count("tour_code").alias("matched"), F.sum("amount").alias("amount"))
-
-
 # --- suggestions ---------------------------------------------------------------------------------------------
 
-_SUGGEST_SQL = f"""{RECEIPTS_SQL}, px AS (SELECT substring(regexp_replace(upper(order_id), '[^A-Z0-9]', '', 'g'), 1, 2) AS candidate, count(*) AS n FROM receipts WHERE source_tag = '未匹配' GROUP BY 1 ORDER BY n DESC, candidate LIMIT 30),
+_SUGGEST_SQL = f"""{RECEIPTS_SQL}, px AS (SELECT substring(regexp_replace(upper(order_id), '[^A-Z0-9]', '', 'g'), 1, 2) AS candidate, count(*) AS n FROM receipts WHERE source_tag = '未匹配' GROUP BY 1),
 open_px AS (SELECT * FROM px WHERE CAST(candidate AS INTEGER) >= 25), dp AS (SELECT dept AS candidate, count(*) AS n FROM receipts WHERE tour_name LIKE '%機票%' AND source_tag LIKE '%酒店%' GROUP BY 1),
 rows_ AS (SELECT 'BRANCH_MAPPING' AS rule_type, candidate, n, least(82, 45 + n * 5)::DOUBLE AS confidence, '中' AS risk FROM open_px UNION ALL SELECT 'EXCLUDE_PREFIXES', candidate, n, least(78, 42 + n * 2)::DOUBLE, '高' FROM open_px WHERE n >= 20)
 SELECT rule_type || '-' || substring(sha1(rule_type || '|' || candidate), 1, 10) AS suggestion_id, rule_type, candidate, n AS rows, round(confidence, 1) AS confidence, CASE WHEN confidence >= 85 THEN '高信心' WHEN confidence >= 70 THEN '中信心' ELSE '觀察' END AS confidence_label,
@@ -326,7 +302,7 @@ def c10(t):
     return suggest.suggestions(raw, log, RULES)
 
 
-@query("K08_suggested_names", f"""WITH {RECEIPTS_SQL} SELECT salesperson AS candidate, count(*) AS rows, least(92, 58 + count(*) * 6)::DOUBLE AS confidence FROM receipts WHERE supplier_key % 60 >= 5 GROUP BY 1 ORDER BY count(*) DESC, salesperson LIMIT 20""")
+@query("K08_suggested_names", f"""WITH {RECEIPTS_SQL} SELECT salesperson AS candidate, count(*) AS rows, least(92, 58 + count(*) * 6)::DOUBLE AS confidence FROM receipts WHERE supplier_key % 60 >= 5 GROUP BY 1""")
 def k08(t):
     raw = t.receipts("order_id", "branch", "source_tag", "salesperson")
     log = raw.where(~F.col("salesperson").isin(*SPECIALISTS)).groupBy(F.col("salesperson").alias("original")).agg(F.count(F.lit(1)).alias("rows"))

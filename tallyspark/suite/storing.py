@@ -173,7 +173,7 @@ def k04(t):
     return rounded(best.select("order_id", scope.is_excluded_receipt(best).alias("is_excluded"), "amount"), 2)
 
 
-@query("K05_largest_order_drift", f"WITH {_ORDERS_SQL} SELECT order_id, delta AS delta_amount, abs(delta - 100) < 1 AS explains_delta FROM m ORDER BY explains_delta DESC, abs(delta) DESC, order_id LIMIT 50")
+@query("K05_largest_order_drift", f"WITH {_ORDERS_SQL} SELECT order_id, delta AS delta_amount, abs(delta - 100) < 1 AS explains_delta FROM m ORDER BY explains_delta DESC, abs(delta) DESC, order_id")
 def k05(t):
     live, candidate = (diff.drift_frame(f) for f in _drift_sides(t))
     return diff.largest_order_diffs(diff.order_diffs(live, candidate, 100.0)).select("order_id", "delta_amount", "explains_delta")
@@ -181,7 +181,7 @@ def k05(t):
 
 @query(
     "C14_drift_diagnosis",
-    f"""WITH {_ORDERS_SQL}, top AS (SELECT *, abs(delta - 100) < 1 AS e FROM m ORDER BY e DESC, abs(delta) DESC, order_id LIMIT 50), r AS (SELECT t.order_id, t.delta, s.amount, s.receipt_no, ({_BAD}) AS bad, s.is_live, bool_or(NOT s.is_live) OVER (PARTITION BY t.order_id) AS has_new FROM top t JOIN sides s USING (order_id))
+    f"""WITH {_ORDERS_SQL}, top AS (SELECT * FROM m), r AS (SELECT t.order_id, t.delta, s.amount, s.receipt_no, ({_BAD}) AS bad, s.is_live, bool_or(NOT s.is_live) OVER (PARTITION BY t.order_id) AS has_new FROM top t JOIN sides s USING (order_id))
 SELECT order_id, delta AS delta_amount, round(coalesce(max(amount) FILTER (bad), max(amount)), 2) AS amount FROM r WHERE NOT has_new OR NOT is_live GROUP BY 1, 2""",
 )
 def c14(t):
@@ -418,7 +418,7 @@ def a42(t):
     return exclusions.status_counts(exclusions.rule_states(rules, events))
 
 
-@query("C36_exclusion_read_model", f"WITH {_REG_SQL} SELECT receipt_no, order_id AS source_order_no, 'revoked' AS status, 4 AS event_count FROM ids WHERE k % 7 = 0 ORDER BY receipt_no, source_order_no LIMIT 100")
+@query("C36_exclusion_read_model", f"WITH {_REG_SQL} SELECT receipt_no, order_id AS source_order_no, 'revoked' AS status, 4 AS event_count FROM ids WHERE k % 7 = 0")
 def c36(t):
     rules, events = _registry_facts(t)
     return exclusions.read_model(rules, events)["revoked"].select("receipt_no", "source_order_no", "status", "event_count")

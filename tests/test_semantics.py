@@ -204,7 +204,16 @@ def test_mismatch_is_a_collision_not_a_drop(spark, order, kind, reason):
 
 def test_matched_gate_skips_the_detail(spark):
     df = receipts(spark, [("1", 10.0, "a", "b", True)] * 5)
-    assert diff.drift_diagnosis(df, df, {"status": "matched", "delta_amount": 0.0}) == {"status": "no_drift", "detail_mode": "skipped_core_matched"}
+    found = diff.drift_diagnosis(df, df, {"status": "matched", "delta_amount": 0.0})
+    assert set(found) == {"state"} and tuple(found["state"].first()) == ("no_drift", "skipped_core_matched")
+
+
+def test_every_drifting_order_has_a_driver_and_the_bundle_is_written(spark, tmp_path):
+    live = receipts(spark, [(f"N{i}", 50.0 + i, "旅費", "現金", True) for i in range(80)]).withColumn("receipt_no", F.concat(F.lit("R"), "order_id"))
+    found = diff.drift_diagnosis(live, live.withColumn("amount", F.col("amount") + 9), {"status": "drift", "delta_amount": 720.0})
+    assert found["top_drivers"].count() == found["order_diffs"].count() == found["receipt_diffs"].count() == 80
+    tabular.write_bundle(found, str(tmp_path / "drift"))
+    assert {p.name for p in (tmp_path / "drift").iterdir()} >= set(found)
 
 
 def test_new_excluded_receipt_is_the_driver(spark):
