@@ -8,6 +8,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,19 +18,18 @@ from tallyspark.llm.common import materialised, prepare
 CAPACITY = 2048
 END_ID = 0
 CACHED_WORDS = 600_000
+TOGETHER = 500
+MARKS = ".,;:!?"
 RANKED_TOGETHER = 100_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class WordIds:
-    """Ids of words as little-endian unsigned 32-bit bytes, tokenised when first met.
+    """Ids of texts as little-endian unsigned 32-bit bytes, by a table of words that are tokenised when first met.
 
-    Two generations of at most ``CACHED_WORDS`` words each: a full one becomes the old one, from which words still in
-    use are taken over, so memory is bounded and frequent words stay.
+    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in turn. There are two
+    generations of words: when the new one is full it becomes the old one, from which words still in use are taken over, so
+    memory is bounded and frequent words stay.
     """
 
     def __init__(self, path: str):
@@ -37,55 +37,89 @@ class WordIds:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Adds ``words``, which are not known; returns all that this text needs."""
-        if len(self.known) + len(words) > CACHED_WORDS:
+    def _tokenise(self, words: list[str]) -> None:
+        """Adds ``words``. Those of letters alone are one unit with one closing token, so many share a call."""
+        plain = [w for w in words if w.isalpha() and w.lower().isalpha()]
+        other = [w for w in words if not (w.isalpha() and w.lower().isalpha())]
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            closed = np.flatnonzero(self.ends[ids]) + 1
+            if len(closed) != len(some):
+                other += some
+                continue
+            raw, bounds = ids.tobytes(), [0, *(4 * closed).tolist()]
+            self.known.update(zip(some, [raw[x:y] for x, y in zip(bounds, bounds[1:])]))
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def _learn(self, words: set[str]) -> None:
+        old, known = self.old, self.known
+        new, marked = set(), []
+        for w in words:
+            ids = old.get(w)
+            if ids is not None:
+                known[w] = ids
+                continue
+            stem = w.rstrip(MARKS)
+            # marks after letters are a unit of their own
+            if len(stem) < len(w) and stem.isalpha():
+                marked.append((w, stem, w[len(stem) :]))
+                new.add(stem)
+                new.add(w[len(stem) :])
+            else:
+                new.add(w)
+        self._tokenise([w for w in new if w not in known])
+        known.update((w, known[stem] + known[mark]) for w, stem, mark in marked)
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        lists = []
+        for text in texts:
+            # other kinds of white space stay inside a word, where the tokenizer itself drops them
+            for blank in "\t\n\x0b\x0c\r":
+                if blank in text:
+                    text = text.replace(blank, " ")
+            lists.append(text.split(" "))
+        words = set().union(*lists)
+        unknown = words.difference(self.known)
+        if len(self.known) + len(unknown) > CACHED_WORDS:
             self.known, self.old = {}, self.known
-        met = {w: ids for w in words if (ids := self.old.get(w)) is not None}
-        new = [w for w in words if w not in met]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            met[w] = _pack_ids(e.ids)
-        self.known.update((w, ids) for w, ids in met.items() if len(w) <= 64)
-        return met
+            unknown = words
+        self._learn(unknown)
+        look = self.known.__getitem__
+        out = [b"".join(map(look, ws)) for ws in lists]
+        for w in unknown:
+            if len(w) > 64:
+                del self.known[w]
+        return out
 
     def __call__(self, text: str) -> bytes:
-        """Ids of ``text``: the tokenizer drops white space and no token spans it, so they are those of its words in turn."""
-        # other kinds of white space stay inside a word, where the tokenizer itself drops them
-        for blank in "\t\n\x0b\x0c\r":
-            if blank in text:
-                text = text.replace(blank, " ")
-        words = text.split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            unknown = list(set(words).difference(self.known))
-            known = self.known
-            met = self._learn(unknown)
-            if any(len(w) > 64 for w in unknown) or self.known is not known:
-                return b"".join([met[w] if w in met else known[w] for w in words])
-            return b"".join(map(self.known.__getitem__, words))
+        return self.batch([text])[0]
 
 
 _WORDS: dict[str, WordIds] = {}
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """Ids of ``text`` by the tokenizer at ``path``, as little-endian unsigned 32-bit bytes."""
-    words = _WORDS.get(path)
-    if words is None:
-        words = _WORDS[path] = WordIds(path)
-    return words(text)
+def words_by(path: str) -> WordIds:
+    """The table of the tokenizer at ``path``, one for each worker process."""
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path]
 
 
 def _piece_rows(path: str, capacity: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("_text").to_pylist()):
-                ids = token_bytes(text, path) + END_ID.to_bytes(4, "little")
+            texts = b.column("_text").to_pylist()
+            for doc, ids in zip(b.column("doc_id").to_pylist(), words_by(path).batch(texts)):
+                ids += END_ID.to_bytes(4, "little")
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part))):
