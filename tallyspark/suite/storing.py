@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.keys import attach_one_row
 from tallyspark.operators import diff, exclusions, gates, quality, scope
+from tallyspark.plans import preflight
 from tallyspark.sources import store
-from tallyspark.suite.base import RECEIPTS_SQL, query, rounded, texted
+from tallyspark.suite.base import DESK, RECEIPTS_SQL, query, rounded, texted
 from tallyspark.suite.cleaning import KIND_SQL, _SHIFT_SQL, shifted_sheet
 from tallyspark.suite.mart import FACTS_SQL, _BOTH, _TOTAL, _facts
 
@@ -483,18 +484,57 @@ def c16(t):
     return out.select("candidates", "stands", (F.length("fingerprint") == 64).alias("has_print"))
 
 
+_DRY_ROLES = ("order_id", "order_key", "receipt_no", "receipt_time", "unified_date", "amount", "receipt_type", "pay_method", "branch", "sub_branch", "salesperson", "is_tour")
+
+
+def _expected(months):
+    """Registry rows that expect the months as they are."""
+    return months.select(
+        "month", F.round("combined_revenue", 2).alias("expected_total"), F.lit("blocking").alias("mode"), F.lit(False).alias("legacy_core"),
+        F.lit(1.0).alias("tolerance"), F.lit(scope.SCOPE_LABEL).alias("scope"), F.lit("v1").alias("version"),
+    )
+
+
+def _months_sql(rows):
+    return f"SELECT strftime(unified_date, '%Y-%m') AS month, sum(amount) AS v FROM {rows} WHERE order_id NOT IN (SELECT order_id FROM {rows} WHERE {_BAD}) GROUP BY 1"
+
+
+@query(
+    "C15_upload_preflight",
+    f"""WITH {_ORDERS_SQL}, l AS ({_months_sql("live")}), c AS ({_months_sql("merged")}), e AS (SELECT abs(coalesce(c.v, 0) - round(l.v, 2)) >= 1 AS off FROM l LEFT JOIN c USING (month)),
+p AS (SELECT receipt_no, order_id, count(*) AS n FROM merged WHERE ({_BAD}) AND order_id IN (SELECT order_id FROM m) GROUP BY receipt_no, order_id, receipt_type = '掛賬核銷')
+SELECT CASE WHEN (SELECT count(*) FILTER (off) FROM e) = 0 THEN 'ready' WHEN (SELECT bool_and(n = 1) FROM p) THEN 'proposal' ELSE 'blocked' END AS status, (SELECT count(*) FILTER (off) FROM e) AS drifting_months,
+ (SELECT count(*) FROM m) AS drifting_orders, (SELECT count(*) FROM p) AS candidates, (SELECT count(*) FROM merged) AS rows""",
+)
+def c15(t):
+    live, incoming = _upload(t, *_DRY_ROLES)
+    live, incoming = live.drop("order_key"), incoming.drop("order_key")
+    found = preflight.upload_preflight(live, incoming, _expected(preflight.monthly_revenue(live, DESK)), DESK, {"batch": "b1"})
+    row = attach_one_row(found["verdict"], found["candidate"].agg(F.count(F.lit(1)).alias("rows")))
+    return row.select("status", "drifting_months", "drifting_orders", "candidates", "rows")
+
+
+# every fifth quarantined receipt goes back; of those, every tenth as an ordinary one, which moves its month
+_BACK_SQL = f"""{_REG_SQL}, chosen AS (SELECT receipt_no, k FROM ids WHERE k % 5 = 0), kept AS (SELECT order_id, receipt_no, unified_date, amount, receipt_type, pay_method FROM receipts WHERE receipt_no NOT IN (SELECT receipt_no FROM chosen)),
+back AS (SELECT order_id, receipt_no, unified_date, amount, CASE WHEN k % 10 = 0 THEN 'XX' ELSE receipt_type END AS receipt_type, pay_method FROM receipts JOIN chosen USING (receipt_no)),
+cand AS (SELECT * FROM kept WHERE order_id NOT IN (SELECT order_id FROM back) UNION ALL SELECT * FROM back)"""
+
+
 @query(
     "C35_revocation_preview",
-    f"""WITH {_REG_SQL}, kept AS (SELECT * FROM receipts WHERE receipt_no NOT IN (SELECT receipt_no FROM ids WHERE k % 5 = 0)) SELECT (SELECT count(*) FROM kept WHERE order_id NOT IN (SELECT order_id FROM ids WHERE k % 5 = 0)) + (SELECT count(*) FROM ids WHERE k % 5 = 0) AS rows""",
+    f"""WITH {_BACK_SQL}, l AS ({_months_sql("kept")}), c AS ({_months_sql("cand")}), e AS (SELECT abs(coalesce(c.v, 0) - round(l.v, 2)) >= 1 AS off FROM l LEFT JOIN c USING (month))
+SELECT (SELECT count(*) FROM cand) AS rows, count(*) FILTER (off) AS drifting_months, CASE WHEN count(*) FILTER (off) = 0 THEN 'ready' ELSE 'blocked' END AS status FROM e""",
 )
 def c35(t):
-    """Quarantined receipts go back through the upsert; the gate would run on the result."""
+    """Quarantined receipts go back through the upsert, and the gate runs on the result."""
     rules, _ = _registry_facts(t)
-    chosen = rules.where(F.col("k") % 5 == 0)
-    rows = t.receipts("receipt_no", "order_id", "amount")
-    kept = rows.join(chosen.select("receipt_no"), "receipt_no", "left_anti")
-    payload = F.to_json(F.struct("receipt_no", F.col("source_order_no").alias("order_id"), F.lit(1.0).alias("amount")))
-    evidence = chosen.select(payload.alias("prepared_payload"), F.lit("others_data").alias("target_table"))
-    back = exclusions.restored_receipts(evidence, "receipt_no string, order_id string, amount double").drop("target_table")
-    return store.upsert(kept, back).agg(F.count(F.lit(1)).alias("rows"))
+    chosen = rules.where(F.col("k") % 5 == 0).select("receipt_no", "k")
+    names = ("order_id", "receipt_no", "unified_date", "amount", "receipt_type", "pay_method", "branch")
+    rows = t.receipts(*names)
+    kept = rows.join(chosen, "receipt_no", "left_anti").select(*names)
+    put = rows.join(chosen, "receipt_no").withColumn("receipt_type", F.when(F.col("k") % 10 == 0, F.lit("XX")).otherwise(F.col("receipt_type")))
+    evidence = put.select(F.to_json(F.struct(*names)).alias("prepared_payload"), F.lit("others_data").alias("target_table"))
+    schema = "order_id string, receipt_no string, unified_date date, amount double, receipt_type string, pay_method string, branch string"
+    found = preflight.revocation_preflight(kept, evidence, schema, _expected(preflight.monthly_revenue(kept, DESK)), DESK)
+    return found["verdict"].select("rows", "drifting_months", "status")
 
