@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by ``order``, remaining columns breaking ties.
@@ -24,21 +22,6 @@ def nulls_last(c: Column) -> list[Column]:
     return [c.isNull(), c]
 
 
-def salted_join(
-    facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left", salts: int = SALTS
-) -> DataFrame:
-    """Join many fact rows to at most one lookup row per key, spreading each key over ``salts`` tasks.
-
-    The salt is a hash of the whole row, so a retried task sends every row where it went before. Null keys never
-    match. Small lookups are still broadcast by Spark's own size check, and the session's skew-join setting splits
-    what a salt cannot (rows equal in every column).
-    """
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")
-    left = facts.withColumn("_salt", spread)
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
 def attach_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Put the columns of a one-row frame on every row, as a scalar subquery instead of a join."""
     names = row.columns

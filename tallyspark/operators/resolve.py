@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions.dates import time_of
-from tallyspark.functions.keys import first_per_key, salted_join
+from tallyspark.functions.keys import first_per_key
 from tallyspark.functions.text import branch_text, match_key
 from tallyspark.operators.filters import period_column, rule_period
 from tallyspark.roles import UNKNOWN
@@ -117,7 +117,7 @@ def standardize_names(
     """
     found = name_matches(df, column, standard)
     lookup = found if names is None else name_matches(names, column, standard)
-    fixed = salted_join(df, lookup.select(column, "standard_name"), [column], "left")
+    fixed = df.join(lookup.select(column, "standard_name"), column, "left")
     fixed = fixed.withColumn(column, F.coalesce("standard_name", F.col(column))).drop("standard_name")
     log = found.where(F.col("found_by") != "listed").select(
         F.lit(column).alias("field"),
@@ -191,7 +191,7 @@ def override_by_operator(df: DataFrame, rules: BusinessRules, operators: DataFra
     ``operators`` may give the operator texts from an earlier, cheaper frame.
     """
     matched = operator_matches(df if operators is None else operators, rules.specialists).select("operator", "specialist")
-    joined = salted_join(df, matched.where(F.col("specialist").isNotNull()), ["operator"], "left")
+    joined = df.join(matched.where(F.col("specialist").isNotNull()), "operator", "left")
     settled = (F.trim("branch") == rules.specialist_desk) & (F.trim("salesperson") == F.col("specialist"))
     changes = F.col("specialist").isNotNull() & ~F.coalesce(settled, F.lit(False))
     flagged = joined.withColumn("_changes", changes)
@@ -315,7 +315,7 @@ def repair_stored_branches(df: DataFrame, rules: BusinessRules, date_column: str
     ``is_repaired`` marks the rows that changed.
     """
     matched = operator_matches(df, rules.specialists).select("operator", "specialist")
-    work = salted_join(df, matched.where(F.col("specialist").isNotNull()), ["operator"], "left")
+    work = df.join(matched.where(F.col("specialist").isNotNull()), "operator", "left")
     sub = branch_text(F.col("sub_branch"))
     target = reassignment_target(work, rules.overrides, date_column)
     wanted = F.when(F.col("specialist").isNotNull(), F.lit(rules.specialist_desk)).otherwise(F.coalesce(target, sub))
