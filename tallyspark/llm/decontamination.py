@@ -16,8 +16,8 @@ K1, B = 1.2, 0.75
 UNIT_WORDS = 128  # longer items are cut into units of so many words
 SHARD_UNITS = 1024  # mean number of units in one index, so an index has a bounded size
 BLOCK = 8
-SCORE = 0.6  # share of an item's own score that a passage must reach
-OVERLAP = 0.6  # share of the word triples of the question, and of the answer, that the passage must have
+SCORE = 0.5  # share of an item's own score that a passage must reach
+OVERLAP = 0.4  # share of the word triples of the question, and of the answer, that the passage must have
 GRAM = 3
 BATCH_CELLS = 4_000_000
 LEAK = "array<struct<item_id:long,unit:int,score:double,question_overlap:double,answer_overlap:double,first_word:long>>"
