@@ -96,10 +96,10 @@ def u05(t):
     return rounded(texted(s.add_series(a, c)), 2)
 
 
-@query("U02_day_sets", f"WITH {RECEIPTS_SQL} SELECT DISTINCT unified_date::VARCHAR AS day FROM receipts WHERE part_key % 20 = 0 OR supplier_key % 20 = 0")
+@query("U02_day_sets", f"WITH {RECEIPTS_SQL} SELECT DISTINCT unified_date::VARCHAR AS day FROM receipts")
 def u02(t):
-    rows = t.receipts("unified_date", "part_key", "supplier_key")
-    a, c = rows.where(F.col("part_key") % 20 == 0), rows.where(F.col("supplier_key") % 20 == 0)
+    rows = t.receipts("unified_date", "branch")
+    a, c = rows.where(F.col("branch") == DESK), rows.where(F.col("branch") != DESK)
     return texted(a.select(F.col("unified_date").alias("day")).union(c.select("unified_date")).distinct())
 
 
@@ -183,10 +183,13 @@ def _tracks(t, horizons=(1,)):
     return fc.closed_form_tracks(fc.stats_at(series, pairs))
 
 
-@query("R03_closed_form_tracks", f"WITH {_PRED} SELECT line, c::VARCHAR AS cutoff, CAST(hh AS INTEGER) AS horizon, round(CASE WHEN hh = 1 THEN smoothed END, 2) AS smoothed, round(trend, 2) AS trend, round(bounded, 2) AS bounded FROM pred")
+_SMOOTH = """sm AS (SELECT line, c, 0 AS hh, level, NULL::DOUBLE AS value FROM st UNION ALL SELECT sm.line, sm.c, sm.hh + 1, sm.level * 0.85 + greatest(0, sm.level + coalesce(m - mean, 0) * 0.9) * 0.15, greatest(0, sm.level + coalesce(m - mean, 0) * 0.9)
+ FROM sm JOIN st ON st.line = sm.line AND st.c = sm.c LEFT JOIN eff ON eff.line = sm.line AND eff.c = sm.c AND eff.w = isodow(sm.c + sm.hh + 1) - 1 WHERE sm.hh < 7)"""
+
+
+@query("R03_closed_form_tracks", f"WITH RECURSIVE {_PRED}, {_SMOOTH} SELECT line, c::VARCHAR AS cutoff, CAST(hh AS INTEGER) AS horizon, round(sm.value, 2) AS smoothed, round(trend, 2) AS trend, round(bounded, 2) AS bounded FROM pred JOIN sm USING (line, c, hh)")
 def r03(t):
-    out = _tracks(t, (7,)).select("line", "cutoff", "horizon", F.when(F.col("horizon") == 1, F.col("smoothed")).alias("smoothed"), "trend", "bounded")
-    return rounded(texted(out), 2)
+    return rounded(texted(_tracks(t, (7,)).select("line", "cutoff", "horizon", "smoothed", "trend", "bounded")), 2)
 
 
 @query(
@@ -200,18 +203,50 @@ def r07(t):
     return rounded(texted(out.select("strategy", "cutoff", "smoothed", "trend", "bounded")), 2)
 
 
+# the days ahead with their flags, and what the history says at each step of the recursion
+_AHEAD = f"""ahead AS (SELECT c, CAST(hh AS INTEGER) AS hh, f, day(f) <= 3 OR date_diff('day', f, last_day(f)) <= 3 AS edge, isodow(f) >= 6 AS we, EXISTS (SELECT 1 FROM hol WHERE hol.d = f) AS ho, EXISTS (SELECT 1 FROM hol WHERE abs(date_diff('day', hol.d, f)) <= 3) AS nh,
+ EXISTS (SELECT 1 FROM expo WHERE abs(date_diff('day', expo.d, f)) <= 7) AS ne, EXISTS (SELECT 1 FROM hol WHERE date_diff('day', hol.d, f) BETWEEN 1 AND 3) AS post, EXISTS (SELECT 1 FROM hol WHERE date_diff('day', f, hol.d) BETWEEN 1 AND 3) AS pre
+ FROM (SELECT c, hh, c + CAST(hh AS INTEGER) AS f FROM cut, hz)), start AS (SELECT c, list(v ORDER BY d) AS vals FROM h WHERE line = 'total' GROUP BY 1)"""
+_AVERAGES = "list_avg(vals[len(vals) - 6:]) AS r7, list_sum([vals[len(vals) - 14 + i] * i FOR i IN range(1, 15)]) / 105 AS w14, list_avg([vals[len(vals) + 1 - 7 * k] FOR k IN [1, 2, 3, 4]]) AS same, list_avg(vals[len(vals) - day(f - 1) + 1:]) AS pace"
+_HYBRID = "CASE WHEN edge THEN 0.55 * pace + 0.45 * w14 WHEN nh THEN 0.60 * same + 0.40 * w14 WHEN ne THEN 0.50 * same + 0.30 * w14 + 0.20 * r7 WHEN we THEN 0.65 * same + 0.35 * w14 ELSE 0.45 * same + 0.35 * w14 + 0.20 * r7 END"
+
+
 @query(
-    "R05_baseline_tracks_next_day",
-    f"""WITH {STATS_SQL}, {_CAL_SQL}, t AS (SELECT *, c + 1 AS f FROM st WHERE line = 'total'), x AS (SELECT *, day(f) <= 3 OR date_diff('day', f, last_day(f)) <= 3 AS edge, EXISTS (SELECT 1 FROM hol WHERE abs(date_diff('day', hol.d, f)) <= 3) AS nh, EXISTS (SELECT 1 FROM expo WHERE abs(date_diff('day', expo.d, f)) <= 7) AS ne FROM t),
-y AS (SELECT c, r7 AS recent_7d, w14 AS recent_14d_weighted, coalesce(wd4, w14) AS same_weekday_4w, mtd AS mtd_pace, CASE WHEN edge THEN 0.55 * mtd + 0.45 * w14 WHEN nh THEN 0.60 * wd4 + 0.40 * w14 WHEN ne THEN 0.50 * wd4 + 0.30 * w14 + 0.20 * r7 WHEN isodow(f) >= 6 THEN 0.65 * wd4 + 0.35 * w14 ELSE 0.45 * wd4 + 0.35 * w14 + 0.20 * r7 END AS hybrid FROM x)
-SELECT c::VARCHAR AS cutoff, model, round(prediction, 4) AS prediction FROM y UNPIVOT (prediction FOR model IN (recent_7d, recent_14d_weighted, same_weekday_4w, mtd_pace, hybrid))""",
+    "R05_baseline_tracks",
+    f"""WITH RECURSIVE {_PRED}, {_CAL_SQL}, {_AHEAD}, rec AS (SELECT c, 0 AS hh, vals, NULL::DOUBLE[] AS made FROM start UNION ALL
+ SELECT c, hh, list_append(vals, greatest(0, hybrid)), [r7, w14, same, pace, greatest(0, hybrid)] FROM (SELECT *, {_HYBRID} AS hybrid FROM (SELECT rec.c, ahead.hh, vals, edge, nh, ne, we, {_AVERAGES} FROM rec JOIN ahead ON ahead.c = rec.c AND ahead.hh = rec.hh + 1)))
+SELECT c::VARCHAR AS cutoff, hh AS horizon, unnest(['recent_7d', 'recent_14d_weighted', 'same_weekday_4w', 'mtd_pace', 'hybrid']) AS model, round(unnest(made), 4) AS prediction FROM rec WHERE hh > 0""",
 )
 def r05(t):
+    return _recursive(t, "baseline")
+
+
+_ADJUST = """least(base, greatest(q25 * 0.85, least(q75, CASE WHEN low <> 0 THEN low * 1.2 ELSE q75 END))) AS cap, low <= greatest(q25, q50 * 0.72) AS weak, base >= q75 AND low <= q50 AS proud,
+ CASE WHEN ho THEN 0.45 * base + 0.55 * least(base, greatest(q25 * 0.75, low)) WHEN nh THEN 0.65 * base + 0.35 * least(base, greatest(q25, low)) WHEN ne THEN 0.78 * base + 0.22 * least(base, greatest(q50, low)) ELSE base END AS damped"""
+_RISK = "(CASE WHEN ho THEN 2 WHEN nh THEN 1 ELSE 0 END + edge::INTEGER + weak::INTEGER + proud::INTEGER + (base >= q90 AND same <= q50)::INTEGER)"
+
+
+@query(
+    "R06_adjusted_tracks",
+    f"""WITH RECURSIVE {_PRED}, {_CAL_SQL}, {_AHEAD}, prof AS (SELECT c, {', '.join(f"coalesce(quantile_cont(v, {q}) FILTER (v > 0), quantile_cont(v, {q})) AS q{int(q * 100)}" for q in (0.25, 0.5, 0.75, 0.9, 0.95))} FROM h WHERE line = 'total' GROUP BY 1),
+rec AS (SELECT c, 0 AS hh, vals, NULL::DOUBLE[] AS made FROM start UNION ALL
+ SELECT c, hh, list_append(vals, greatest(0, cautious)), [greatest(0, CASE WHEN weak OR proud OR edge THEN cap ELSE base END), greatest(0, damped), greatest(0, CASE WHEN post AND NOT we THEN greatest(base, q90, least(CASE WHEN q95 <> 0 THEN q95 * 1.2 ELSE q90 END, greatest(same, w14, pace) * 1.35)) WHEN pre AND NOT ho THEN 0.55 * base + 0.45 * least(base, greatest(q25, low)) ELSE damped END), greatest(0, cautious)]
+ FROM (SELECT *, CASE WHEN {_RISK} >= 3 THEN least(base, greatest(q25 * 0.8, 0.7 * low + 0.3 * w14)) WHEN {_RISK} = 2 THEN 0.45 * cap + 0.55 * damped WHEN {_RISK} = 1 THEN 0.75 * base + 0.25 * CASE WHEN low <> 0 THEN least(base, low) ELSE base END ELSE base END AS cautious
+  FROM (SELECT *, {_ADJUST} FROM (SELECT *, greatest(0, list_median([same, w14, pace])) AS low
+   FROM (SELECT rec.c, ahead.hh, vals, edge, ho, nh, ne, we, post, pre, greatest(0, bounded) AS base, prof.* EXCLUDE (c), {_AVERAGES} FROM rec JOIN ahead ON ahead.c = rec.c AND ahead.hh = rec.hh + 1 JOIN prof ON prof.c = rec.c JOIN pred ON pred.c = rec.c AND pred.hh = ahead.hh AND pred.line = 'total')))))
+SELECT c::VARCHAR AS cutoff, hh AS horizon, unnest(['low_day_cap', 'holiday_dampening', 'directional_holiday', 'risk_adjusted']) AS model, round(unnest(made), 4) AS prediction FROM rec WHERE hh > 0""",
+)
+def r06_tracks(t):
+    return _recursive(t, "daily_adjustment")
+
+
+def _recursive(t, strategy):
+    """Recursive tracks of a week ahead from each of the last thirty days."""
     series = _series(t)
-    pairs = s.cutoff_days(series, 30, (1,))
+    pairs = s.cutoff_days(series, 30, (1,)).withColumn("horizon", F.lit(7))
     stats = fc.stats_at(series, pairs)
     out = fc.recursive_tracks(series, stats, pairs, fc.strategy_tracks(fc.closed_form_tracks(stats)), _calendar(t))
-    return rounded(texted(out.where(F.col("strategy") == "baseline").select("cutoff", "model", "prediction")), 4)
+    return rounded(texted(out.where(F.col("strategy") == strategy).select("cutoff", "horizon", "model", "prediction")), 4)
 
 
 @query(
