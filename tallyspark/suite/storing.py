@@ -359,19 +359,21 @@ def field_completeness(t):
     return rounded(quality.field_completeness(_quality_rows(t)), 6)
 
 
-@query("U04_missing_days", f"WITH {RECEIPTS_SQL}, s AS (SELECT unnest(generate_series(min(unified_date), max(unified_date), INTERVAL 1 DAY))::DATE AS d FROM receipts WHERE part_key % 50 = 0) SELECT d::VARCHAR AS day FROM s WHERE d NOT IN (SELECT unified_date FROM receipts WHERE part_key % 50 = 0)")
+@query("U04_missing_days", f"WITH {RECEIPTS_SQL}, s AS (SELECT branch, salesperson, unnest(generate_series(min(unified_date), max(unified_date), INTERVAL 1 DAY))::DATE AS d FROM receipts GROUP BY 1, 2) SELECT branch, salesperson, d::VARCHAR AS day FROM s ANTI JOIN receipts r ON r.branch = s.branch AND r.salesperson = s.salesperson AND r.unified_date = s.d")
 def u04(t):
-    days = t.receipts("unified_date", "part_key").where(F.col("part_key") % 50 == 0).select("unified_date").distinct()
-    span = days.agg(F.min("unified_date").alias("a"), F.max("unified_date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("unified_date"))
-    return texted(span.join(days, "unified_date", "left_anti").withColumnRenamed("unified_date", "day"))
+    """Days without a receipt, of every seller of every branch."""
+    who = ["branch", "salesperson"]
+    days = t.receipts(*who, "unified_date").distinct()
+    span = days.groupBy(*who).agg(F.min("unified_date").alias("a"), F.max("unified_date").alias("b")).select(*who, F.explode(F.sequence("a", "b")).alias("unified_date"))
+    return texted(span.join(days, [*who, "unified_date"], "left_anti").withColumnRenamed("unified_date", "day"))
 
 
 # --- exclusions ----------------------------------------------------------------------------------------------
 
-# rules: one per excluded receipt of every third part; every tenth of them names a wrong order, every eleventh a wrong kind
+# rules: one per excluded receipt; every tenth of them names a wrong order, every eleventh a wrong kind
 _RULES_SQL = f"""{_SHIFT_SQL}, typed AS (SELECT *, {KIND_SQL} AS kind, CASE WHEN moved THEN base_amount ELSE seen_amount END AS observed FROM sheet),
 per AS (SELECT receipt_no, min(order_id) AS order_id, max(kind) AS kind, CAST(split_part(receipt_no, '-', 1) AS BIGINT) AS k FROM typed WHERE kind <> '' GROUP BY receipt_no),
-rules AS (SELECT k AS id, receipt_no, CASE WHEN k % 10 = 0 THEN 'X' ELSE order_id END AS ro, CASE WHEN k % 11 = 0 THEN 'receipt_type:X' ELSE kind END AS rk FROM per WHERE k % 3 = 0),
+rules AS (SELECT k AS id, receipt_no, CASE WHEN k % 10 = 0 THEN 'X' ELSE order_id END AS ro, CASE WHEN k % 11 = 0 THEN 'receipt_type:X' ELSE kind END AS rk FROM per),
 v AS (SELECT t.*, r.id, CASE WHEN r.ro <> t.order_id THEN 'source_order_mismatch' WHEN r.rk <> t.kind THEN 'exclusion_kind_mismatch' ELSE 'match' END AS verdict FROM typed t JOIN rules r USING (receipt_no))"""
 
 
@@ -379,7 +381,7 @@ def _rules(t):
     rows = exclusions.with_identity(shifted_sheet(t)).where(F.col("_kind") != "")
     per = rows.groupBy(F.col("_receipt").alias("receipt_no")).agg(F.min("_order").alias("o"), F.max("_kind").alias("kk"))
     k = F.split("receipt_no", "-")[0].cast("long")
-    per = per.withColumn("id", k).where(F.col("id") % 3 == 0)
+    per = per.withColumn("id", k)
     return per.select(
         "id", "receipt_no", F.when(F.col("id") % 10 == 0, F.lit("X")).otherwise(F.col("o")).alias("source_order_no"),
         F.when(F.col("id") % 11 == 0, F.lit("receipt_type:X")).otherwise(F.col("kk")).alias("exclusion_kind"), F.lit("active").alias("status"),
@@ -465,20 +467,20 @@ def j30(t):
 
 @query(
     "J31_proposal_evidence",
-    f"""WITH {RECEIPTS_SQL}, ex AS (SELECT *, CASE WHEN receipt_type = '掛賬核銷' THEN 'receipt_type:掛賬核銷' WHEN pay_method = 'TT 退款轉團款' THEN 'payment_method:TT 退款轉團款' ELSE '' END AS kind FROM receipts), drv AS (SELECT DISTINCT order_id FROM ex WHERE kind <> '' AND order_key % 4 = 0)
+    f"""WITH {RECEIPTS_SQL}, ex AS (SELECT *, CASE WHEN receipt_type = '掛賬核銷' THEN 'receipt_type:掛賬核銷' WHEN pay_method = 'TT 退款轉團款' THEN 'payment_method:TT 退款轉團款' ELSE '' END AS kind FROM receipts), drv AS (SELECT DISTINCT order_id FROM ex WHERE kind <> '')
 SELECT receipt_no, order_id AS source_order_no, kind AS exclusion_kind, count(*) = 1 AS is_unambiguous FROM ex WHERE kind <> '' AND order_id IN (SELECT order_id FROM drv) GROUP BY 1, 2, 3""",
 )
 def j31(t):
     rows = t.receipts("receipt_no", "order_id", "order_key", "amount", "receipt_type", "pay_method", "branch", "is_tour")
-    drivers = rows.where(scope.is_excluded_receipt(rows) & (F.col("order_key") % 4 == 0)).withColumn("delta_amount", F.col("amount"))
+    drivers = rows.where(scope.is_excluded_receipt(rows)).withColumn("delta_amount", F.col("amount"))
     found = exclusions.proposal(drivers, rows.drop("is_tour"), rows)
     return found.select("receipt_no", "source_order_no", "exclusion_kind", "is_unambiguous")
 
 
-@query("C16_exclusion_proposal", f"WITH {RECEIPTS_SQL}, ex AS (SELECT receipt_no, order_id, count(*) AS n FROM receipts WHERE receipt_type = '掛賬核銷' AND order_key % 4 = 0 GROUP BY 1, 2) SELECT count(*) FILTER (n = 1) AS candidates, true AS stands, true AS has_print FROM ex")
+@query("C16_exclusion_proposal", f"WITH {RECEIPTS_SQL}, ex AS (SELECT receipt_no, order_id, count(*) AS n FROM receipts WHERE receipt_type = '掛賬核銷' GROUP BY 1, 2) SELECT count(*) FILTER (n = 1) AS candidates, true AS stands, true AS has_print FROM ex")
 def c16(t):
     rows = t.receipts("receipt_no", "order_id", "order_key", "amount", "receipt_type", "branch", "is_tour")
-    drivers = rows.where((F.col("receipt_type") == "掛賬核銷") & (F.col("order_key") % 4 == 0)).withColumn("delta_amount", F.col("amount"))
+    drivers = rows.where(F.col("receipt_type") == "掛賬核銷").withColumn("delta_amount", F.col("amount"))
     found = exclusions.proposal(drivers, rows.drop("is_tour"), rows).where("is_unambiguous")
     out = exclusions.proposal_fingerprint(found, {"checkKey": "combined_revenue", "batch": "b1"})
     return out.select("candidates", "stands", (F.length("fingerprint") == 64).alias("has_print"))
