@@ -61,19 +61,19 @@ def refund_frame(spark, data):
 
 
 def test_refund_is_spread_in_proportion(spark):
-    df = spark.createDataFrame([("A", 100.0, "r1"), ("A", 50.0, "r2")], "order_id string, amount double, receipt_no string")
-    out = refunds.apply_refunds(df, refund_frame(spark, [("A", "30", "已退款"), ("A.0", "20", "待退款"), ("Z", "10", "已退款")]))
-    assert [round(r[0], 2) for r in out["receipts"].orderBy("receipt_no").select("amount").collect()] == [66.67, 33.33]
+    df = spark.createDataFrame([("Q8", 42.0, "x1"), ("Q8", 21.0, "x2"), ("Q8", 7.0, "x3")], "order_id string, amount double, receipt_no string")
+    out = refunds.apply_refunds(df, refund_frame(spark, [("Q8", "4.50", "已退款"), ("Q8.0", "2.50", "待退款"), ("V3", "9", "已退款")]))
+    assert [round(r[0], 2) for r in out["receipts"].orderBy("receipt_no").select("amount").collect()] == [37.8, 18.9, 6.3]
     m = out["metrics"].first()
-    assert (m.refund_total, m.applied_amount, m.unmatched_orders) == (60.0, 50.0, 1)
-    assert rows(out["unmatched"]) == [("Z",)]
+    assert (m.refund_total, m.applied_amount, m.unmatched_orders) == (16.0, 7.0, 1)
+    assert rows(out["unmatched"]) == [("V3",)]
 
 
 def test_refund_beyond_the_order_is_capped(spark):
-    df = spark.createDataFrame([("A", 100.0)], "order_id string, amount double")
-    out = refunds.apply_refunds(df, refund_frame(spark, [("A", "120", "已退款")]))
+    df = spark.createDataFrame([("H2", 64.0), ("H2", 16.0)], "order_id string, amount double")
+    out = refunds.apply_refunds(df, refund_frame(spark, [("H2", "93.5", "已退款")]))
     m = out["metrics"].first()
-    assert (out["receipts"].first().amount, m.applied_amount, m.excess_amount) == (0.0, 100.0, 20.0)
+    assert ([r.amount for r in out["receipts"].collect()], m.applied_amount, m.excess_amount) == ([0.0, 0.0], 80.0, 13.5)
 
 
 def test_negative_receipts_are_lifted_only_under_parity(spark):
