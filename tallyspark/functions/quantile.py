@@ -35,7 +35,7 @@ def _ranked_bracket(df: DataFrame, groups: list[str], value: str, share: float)
     folded = (
         marked.withColumn("_side", side)
         .groupBy(*groups, "_n", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_at"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_max"), F.min("_v").alias("_min"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.sum("_v").alias("_s"), F.max("_v").alias("_max"), F.min("_v").alias("_min"))
         .withColumn("_v", F.when(F.col("_side") < 0, F.col("_max")).otherwise(F.col("_min")))
     )
     order = Window.partitionBy(*groups, "_n").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -58,20 +58,20 @@ def top_share_sum(df: DataFrame, value: str, share: float, count_of: Callable[[C
     """Sum of the ``count_of(n)`` largest values: one row ``(top_rows, top_sum, all_sum, all_rows)``."""
     k = count_of(F.col("_n"))
     ranked = _ranked_bracket(df, [], value, 1 - share)
-    cut = ranked.groupBy("_n").agg(F.min(F.when(F.col("_cum") > F.col("_n") - k, F.col("_v"))).alias("_cut"))
-    edge = cut.select(F.struct("_n", "_cut").alias("s")).scalar()
-    data = df.select(F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    sums = data.withColumn("_e", edge).agg(
-        F.max("_e._n").alias("_n"),
-        F.max("_e._cut").alias("_cut"),
-        F.count(F.when(F.col("_v") > F.col("_e._cut"), 1)).alias("_above"),
-        F.coalesce(F.sum(F.when(F.col("_v") > F.col("_e._cut"), F.col("_v"))), F.lit(0.0)).alias("_above_sum"),
-        F.coalesce(F.sum("_v"), F.lit(0.0)).alias("all_sum"),
-        F.count(F.lit(1)).alias("all_rows"),
+    # the wanted rank is in the bracket or next to it, so all rows over the bracket are among the largest
+    cut = F.min(F.when(F.col("_cum") > F.col("_n") - k, F.col("_v"))).over(Window.partitionBy("_n"))
+    marked = ranked.withColumn("_cut", cut).withColumn("_above", (F.col("_v") > F.col("_cut")) | (F.col("_side") > 0))
+    sums = marked.agg(
+        F.max("_n").alias("_n"),
+        F.max("_cut").alias("_cut"),
+        F.coalesce(F.sum(F.when(F.col("_above"), F.col("_c"))), F.lit(0)).alias("_taken"),
+        F.coalesce(F.sum(F.when(F.col("_above"), F.col("_s"))), F.lit(0.0)).alias("_taken_sum"),
+        F.coalesce(F.sum("_s"), F.lit(0.0)).alias("all_sum"),
+        F.coalesce(F.sum("_c"), F.lit(0)).alias("all_rows"),
     )
     return sums.select(
         F.coalesce(k, F.lit(0)).alias("top_rows"),
-        F.coalesce(F.col("_above_sum") + (k - F.col("_above")) * F.col("_cut"), F.lit(0.0)).alias("top_sum"),
+        F.coalesce(F.col("_taken_sum") + (k - F.col("_taken")) * F.col("_cut"), F.lit(0.0)).alias("top_sum"),
         "all_sum",
         "all_rows",
     )

@@ -25,16 +25,34 @@ def _usable(df: DataFrame, name: str) -> Column:
     return c.isNotNull() & (F.trim(c.cast("string")) != "")
 
 
-def date_coverage(df: DataFrame, time: str = "receipt_time") -> DataFrame:
-    """Span, days present and missing, unparseable rows. Rows shrink to one per day first."""
-    daily = df.groupBy(F.to_date(time_of(df, time)).alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+def daily_profile(df: DataFrame, required=REQUIRED, time: str = "receipt_time") -> DataFrame:
+    """One row per day with every count the dimensions of dates, fields and amounts need.
+
+    The counts travel as one array, so that whatever reads them reads the same aggregate, and the rows are read once.
+    """
+    present = [c for c in required if c in df.columns]
+    value = try_double(F.col("amount")) if "amount" in df.columns else F.lit(None).cast("double")
+    filled = F.coalesce(value, F.lit(0.0))
+    conditions = [F.lit(True), value.isNull(), filled == 0, filled < 0, *[_usable(df, c) for c in present]]
+    counts = F.array(*[F.count(F.when(c, 1)) for c in conditions])
+    day = F.to_date(time_of(df, time)) if time in df.columns else F.lit(None).cast("date")
+    return df.groupBy(day.alias("day")).agg(F.struct(counts.alias("n"), F.sum(filled).alias("amount")).alias("p"))
+
+
+def _total(i: int) -> Column:
+    return F.coalesce(F.sum(F.col("p.n")[i]), F.lit(0))
+
+
+def date_coverage(df: DataFrame, time: str = "receipt_time", profile: DataFrame | None = None) -> DataFrame:
+    """Span, days present and missing, unparseable rows."""
+    daily = daily_profile(df, time=time) if profile is None else profile
     has_day = F.col("day").isNotNull()
     row = daily.agg(
         F.min("day").alias("min_date"),
         F.max("day").alias("max_date"),
         F.count("day").alias("valid_days"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.when(~has_day, F.col("rows"))), F.lit(0)).alias("invalid_rows"),
+        _total(0).alias("total_rows"),
+        F.coalesce(F.sum(F.when(~has_day, F.col("p.n")[0])), F.lit(0)).alias("invalid_rows"),
     )
     span = F.datediff("max_date", "min_date") + 1
     missing = F.when(F.col("valid_days") > 0, span - F.col("valid_days")).otherwise(F.lit(0))
@@ -44,10 +62,11 @@ def date_coverage(df: DataFrame, time: str = "receipt_time") -> DataFrame:
     return row.withColumn("score", F.when(F.col("valid_days") > 0, value).otherwise(F.lit(0.0)))
 
 
-def field_completeness(df: DataFrame, required=REQUIRED) -> DataFrame:
+def field_completeness(df: DataFrame, required=REQUIRED, profile: DataFrame | None = None) -> DataFrame:
     """One row per required field; absent fields are listed but not scored."""
     present = [c for c in required if c in df.columns]
-    counts = df.agg(F.count(F.lit(1)).alias("total_rows"), *[F.count(F.when(_usable(df, c), 1)).alias(c) for c in present])
+    daily = daily_profile(df, required) if profile is None else profile
+    counts = daily.agg(_total(0).alias("total_rows"), *[_total(4 + i).alias(c) for i, c in enumerate(present)])
     entries = [
         F.struct(
             F.lit(c).alias("field"),
@@ -100,19 +119,19 @@ def scope_health(audit: DataFrame) -> DataFrame:
     return row.withColumn("score", score(100 - F.least(F.col("excluded_amount_rate") / 0.25, F.lit(1.0)) * 20))
 
 
-def amount_health(df: DataFrame, concentration: bool = True) -> DataFrame:
+def amount_health(df: DataFrame, concentration: bool = True, profile: DataFrame | None = None) -> DataFrame:
     """Missing, zero and negative amounts, and how much the largest 5 % of rows hold.
 
     ``concentration=False`` is the service variant: no concentration penalty, zero and negative counted once.
     """
     value = try_double(F.col("amount"))
-    filled = F.coalesce(value, F.lit(0.0))
-    row = df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count(F.when(value.isNull(), 1)).alias("missing_rows"),
-        F.count(F.when(filled == 0, 1)).alias("zero_rows"),
-        F.count(F.when(filled < 0, 1)).alias("negative_rows"),
-        F.coalesce(F.sum(filled), F.lit(0.0)).alias("total_amount"),
+    daily = daily_profile(df) if profile is None else profile
+    row = daily.agg(
+        _total(0).alias("total_rows"),
+        _total(1).alias("missing_rows"),
+        _total(2).alias("zero_rows"),
+        _total(3).alias("negative_rows"),
+        F.coalesce(F.sum("p.amount"), F.lit(0.0)).alias("total_amount"),
     )
     missing = safe_rate(F.col("missing_rows"), F.col("total_rows"))
     weak = safe_rate(F.col("zero_rows") + F.col("negative_rows"), F.col("total_rows"))
@@ -129,8 +148,9 @@ def amount_health(df: DataFrame, concentration: bool = True) -> DataFrame:
 
 def scorecard(raw: DataFrame, audit: DataFrame, concentration: bool = True) -> dict[str, DataFrame]:
     """Five dimensions and their mean. ``concentration`` chooses the detailed or the service variant."""
-    dates, fields, entity = date_coverage(raw), field_completeness(raw), entity_health(raw)
-    scope, amount = scope_health(audit), amount_health(raw, concentration)
+    profile = daily_profile(raw)
+    dates, fields, entity = date_coverage(raw, profile=profile), field_completeness(raw, profile=profile), entity_health(raw)
+    scope, amount = scope_health(audit), amount_health(raw, concentration, profile)
     field_score = fields.agg(score(F.avg(F.col("complete_rate") * 100)).alias("score"))
     parts = (
         (dates, F.concat(F.lit("latest "), F.date_format("max_date", "yyyy-MM-dd"), F.lit(" / missing "), F.col("missing_days").cast("string"))),
