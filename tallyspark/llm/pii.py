@@ -255,10 +255,14 @@ def fit(rows: list[tuple[str, str, int]], steps: int = 300) -> SkipChainField:
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> SkipChainField:
-    """Field trained on at most ``sample`` documents that have a digit or an at sign, labelled by the exact patterns."""
+    """Field trained on at most ``sample`` different texts that have a digit or an at sign, labelled by the exact patterns.
+
+    They are those with the smallest hashes. The hashes are compared first, so only the texts taken are moved.
+    """
     prepare(docs.sparkSession)
-    texts = docs.select(F.col(f"`{text_col}`").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    picked = texts.orderBy(F.xxhash64("text"), "text").limit(sample).repartition(8)
+    texts = docs.select(F.col(f"`{text_col}`").alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
+    edge = texts.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    picked = texts.where(F.col("h") <= F.lit(edge).cast("long")).groupBy("h").agg(F.min("text").alias("text"))
     rows = picked.mapInArrow(_statistics, "kind string, what string, n long")
     return fit([tuple(r) for r in rows.groupBy("kind", "what").agg(F.sum("n").alias("n")).collect()])
 
