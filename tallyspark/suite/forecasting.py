@@ -528,6 +528,11 @@ def a43(t):
 _REPORTS: dict = {}
 
 
+def forget_reports() -> None:
+    """Let the next query build its report anew."""
+    _REPORTS.clear()
+
+
 def _report(t) -> rep.BacktestReport:
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _REPORTS:
