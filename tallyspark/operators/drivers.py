@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.category import product_line
@@ -99,12 +99,11 @@ def contributions(frame: DataFrame, periods: DataFrame, dimensions=DIMENSIONS) -
 
 
 def top_drivers(table: DataFrame, limit: int = TOP_DRIVERS, dimensions=DIMENSIONS) -> DataFrame:
-    """The largest moves of each dimension; a sorted limit per dimension, never one big sorted group."""
-    out = None
-    for name in dimensions:
-        part = table.where(F.col("dimension") == name).orderBy(F.desc(F.abs("delta")), "driver").limit(limit)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The largest moves of each dimension. The rank is limited, so every task drops all but its own largest rows before
+    any are moved."""
+    order = Window.partitionBy("dimension").orderBy(F.desc(F.abs("delta")), "driver")
+    ranked = table.where(F.col("dimension").isin(*dimensions)).withColumn("_rank", F.row_number().over(order))
+    return ranked.where(F.col("_rank") <= limit).drop("_rank")
 
 
 def change_summary(frame: DataFrame, periods: DataFrame) -> DataFrame:
