@@ -420,11 +420,10 @@ def proposed_state(changes: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def state_fingerprint(state: DataFrame) -> DataFrame:
-    """Order-independent print of a refund state: equal states, equal prints."""
-    h = F.conv(F.substring(state_hash(), 1, 15), 16, 10).cast("decimal(20,0)")
-    return state.agg(F.count(F.lit(1)).alias("refunds"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("_s")).select(
-        "refunds", F.sha2(F.concat_ws("|", F.col("refunds").cast("string"), "_s"), 256).alias("state_print")
-    )
+    """Order-independent print of a refund state: equal states, equal prints. Four sums over 60 bits of each row's hash."""
+    sums = [F.coalesce(F.sum(F.conv(F.substring("_h", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(f"_s{i}") for i in range(4)]
+    folded = state.select(state_hash().alias("_h")).agg(F.count(F.lit(1)).alias("refunds"), *sums)
+    return folded.select("refunds", F.sha2(F.concat_ws("|", F.col("refunds").cast("string"), *[f"_s{i}" for i in range(4)]), 256).alias("state_print"))
 
 
 def state_refunds(state: DataFrame) -> DataFrame:

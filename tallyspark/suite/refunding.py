@@ -196,7 +196,7 @@ def c21(t):
     return attach_one_row(found["counts"], found["verdict"].select("status", "formal_revenue_minor"))
 
 
-_STATE_SQL = f"""{_OBS_SQL}, state AS (SELECT refund_no, source_receipt_no, minor, refund_status FROM cur WHERE refund_no NOT IN (SELECT refund_no FROM chg WHERE change IN ('NEW', 'STATUS_CHANGED')) UNION ALL SELECT refund_no, source_receipt_no, minor, refund_status FROM chg WHERE change IN ('NEW', 'STATUS_CHANGED')),
+_STATE_SQL = f"""{_OBS_SQL}, state AS (SELECT refund_no, source_receipt_no, minor, refund_status, refund_date FROM cur WHERE refund_no NOT IN (SELECT refund_no FROM chg WHERE change IN ('NEW', 'STATUS_CHANGED')) UNION ALL SELECT refund_no, source_receipt_no, minor, refund_status, refund_date FROM chg WHERE change IN ('NEW', 'STATUS_CHANGED')),
 sref AS (SELECT regexp_replace(source_receipt_no, '\\.0$', '') AS order_id, minor, refund_status FROM state), so AS (SELECT upper(order_id) AS order_id, sum(minor) AS m FROM sref GROUP BY 1), sp AS (SELECT upper(order_id) AS order_id, sum(minor) AS m FROM sref WHERE refund_status = '已退款' GROUP BY 1),
 fo AS (SELECT order_id, CAST(round(sum(amount) * 100) AS BIGINT) AS orig FROM official GROUP BY 1)"""
 
@@ -263,12 +263,19 @@ def a40(t):
     return refunds.ledger_rows(_state(t), t.official("order_id", "amount", "receipt_no"), "v1", ["order_id", "receipt_no"])["metrics"].drop("version_id")
 
 
-@query("C38_state_print", f"WITH {_STATE_SQL} SELECT count(*) AS refunds, true AS stable, true AS moves FROM state")
+_PRINT_SQL = """SELECT '{"currencyCode":"HKD","refundAmountMinor":' || minor || ',"refundDate":' || coalesce('"' || refund_date || '"', 'null') || ',"refundOrderNo":"' || refund_no || '","refundStatus":"' || refund_status || '","sourceReceiptNo":"' || source_receipt_no || '"}' AS j FROM state"""
+_PRINT_SUMS = ", ".join(f"coalesce(sum(CAST('0x' || substr(h, {15 * i + 1}, 15) AS UBIGINT)), 0)::VARCHAR" for i in range(4))
+
+
+@query("C38_state_print", f"WITH {_STATE_SQL}, j AS ({_PRINT_SQL}), h AS (SELECT sha256(j) AS h FROM j) SELECT count(*) AS refunds, sha256(concat_ws('|', count(*)::VARCHAR, {_PRINT_SUMS})) AS state_print FROM h")
 def c38(t):
-    state = _state(t)
-    one, again = refunds.state_fingerprint(state), refunds.state_fingerprint(state.repartition(5))
-    edited = refunds.state_fingerprint(state.withColumn("refund_amount_minor", F.col("refund_amount_minor") + 1))
-    return one.select("refunds", (F.col("state_print") == again.select("state_print").scalar()).alias("stable"), (F.col("state_print") != edited.select("state_print").scalar()).alias("moves"))
+    return refunds.state_fingerprint(_state(t))
+
+
+@query("C38_edited_state_print", f"WITH {_STATE_SQL}, j AS ({_PRINT_SQL.replace('|| minor ||', '|| (minor + 1) ||')}), h AS (SELECT sha256(j) AS h FROM j) SELECT count(*) AS refunds, sha256(concat_ws('|', count(*)::VARCHAR, {_PRINT_SUMS})) AS state_print FROM h")
+def c38_edited(t):
+    """The print of the same state with every amount a cent up, its rows dealt out anew."""
+    return refunds.state_fingerprint(_state(t).withColumn("refund_amount_minor", F.col("refund_amount_minor") + 1).repartition(5))
 
 
 @query("C39_active_read_model", f"WITH {_STATE_SQL}, a AS (SELECT '總退款' AS refund_dimension, m, orig FROM so LEFT JOIN fo USING (order_id) UNION ALL SELECT '已退款', m, orig FROM sp LEFT JOIN fo USING (order_id)) SELECT refund_dimension, count(*) AS source_orders, count(orig) AS matched_orders, round(sum(m) / 100, 2) AS refund_total, round(sum(least(m, coalesce(orig, 0))) / 100, 2) AS applied_amount FROM a GROUP BY 1")
