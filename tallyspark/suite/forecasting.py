@@ -654,4 +654,4 @@ def c40(t):
 
 @query("R04_learned_track")
 def r04(t):
-    return fc.learned_track(_report(t).series, _report(t).calendar, steps=7, trees=10)
+    return fc.learned_track(_report(t).series, _report(t).calendar, steps=7)
