@@ -20,6 +20,7 @@ SAMPLE_PER_LABEL = 2500  # rows of each label the linear weights are fitted on;
 ROUNDS = 80
 PENALTY = 1e-3
 SLICE_CHARS = 1 << 20
+PART_IDS = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -28,8 +29,8 @@ def feature_ids(text: str, seen: np.ndarray) -> np.ndarray:
 
     Upper and lower case count as one; a very long text is read in slices, so memory stays bounded.
     """
-    text = f" {text.lower()} "
     longest = max(ORDERS)
+    text = f" {text.lower()} ".ljust(longest)  # so that an empty text has features as well
     for at in range(0, len(text), SLICE_CHARS):
         codes = np.frombuffer(text[at : at + SLICE_CHARS + longest - 1].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         h = np.zeros(len(codes), np.uint64)
@@ -107,21 +108,43 @@ def fit_weights(texts: list[str], labels: np.ndarray, ratios: np.ndarray) -> Tox
     Both labels weigh the same, so a score of 0.5 is where the text itself speaks as much for one as for the other.
     """
     seen = np.zeros(1 << BITS, bool)
-    found = [feature_ids(t, seen).astype(np.int32) for t in texts]
-    ids = np.concatenate(found) if found else np.zeros(0, np.int32)
-    sizes = np.array([len(x) for x in found])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    sizes = np.zeros(len(texts), np.int64)
     squares = ratios.astype(np.float64) ** 2
-    lengths = np.sqrt(np.add.reduceat(squares[ids], starts))
+    # a part is a run of documents whose ids, and the few vectors of that length a step needs, take little memory
+    parts: list[tuple[int, int, np.ndarray]] = []
+    held: list[np.ndarray] = []
+    first = 0
+    for i, text in enumerate(texts):
+        held.append(feature_ids(text, seen).astype(np.int32))
+        sizes[i] = len(held[-1])
+        if sizes[first : i + 1].sum() >= PART_IDS or i + 1 == len(texts):
+            parts.append((first, i + 1, np.concatenate(held)))
+            held, first = [], i + 1
+
+    def by_document(values: np.ndarray) -> np.ndarray:
+        """Sum of ``values`` over the features of each document."""
+        out = np.zeros(len(texts))
+        for s, e, ids in parts:
+            out[s:e] = np.add.reduceat(values[ids], np.concatenate([[0], np.cumsum(sizes[s : e - 1])]))
+        return out
+
+    def by_feature(values: np.ndarray) -> np.ndarray:
+        """Sum of ``values`` over the documents that have each feature."""
+        out = np.zeros(1 << BITS)
+        for s, e, ids in parts:
+            out += np.bincount(ids, np.repeat(values[s:e], sizes[s:e]), minlength=1 << BITS)
+        return out
+
+    lengths = np.sqrt(by_document(squares))
     lengths[lengths == 0] = 1
     share = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))
     w = np.zeros(1 << BITS)
     ahead, shift, shift_ahead, pace = w.copy(), 0.0, 0.0, 1.0
     step = 4.0  # rows have length 1, so the loss bends by at most a quarter
     for _ in range(ROUNDS):
-        margin = np.add.reduceat((ahead * ratios)[ids], starts) / lengths + shift_ahead
+        margin = by_document(ahead * ratios) / lengths + shift_ahead
         error = (1 / (1 + np.exp(-margin)) - labels) * share
-        gradient = np.bincount(ids, np.repeat(error / lengths, sizes), minlength=1 << BITS) * ratios + PENALTY * ahead / len(labels)
+        gradient = by_feature(error / lengths) * ratios + PENALTY * ahead / len(labels)
         new, new_shift = ahead - step * gradient, shift_ahead - step * error.sum()
         following = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead, shift_ahead = new + (pace - 1) / following * (new - w), new_shift + (pace - 1) / following * (new_shift - shift)
