@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ from tallyspark.llm.common import prepare
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)  # the label of tokens that are no personal data
 SAMPLE = 3000  # documents with a digit or an at sign that the field is trained on
-ROUNDS = 12
+SETTLED = 1e-4  # messages that move less have settled
 CERTAIN = 0.9
 SMOOTHING = 0.5
 
@@ -84,7 +84,8 @@ class Tokens:
     fixed: list[bool]
     features: list[tuple[str, ...]]
     chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
+    skip: list[tuple[int, int]]  # from the last alike token
+    held: Sequence[tuple[int, int]] = ()  # from the first alike token that an exact pattern holds; not counted in training
 
 
 def _features(word: str, before: str, after: str) -> tuple[str, ...]:
@@ -122,9 +123,51 @@ def _keys(word: str) -> set[str]:
     return out
 
 
+def _number_edges(text: str, base: list[Span], t: Tokens) -> Iterator[tuple[int, int]]:
+    """Edges from the first token of an exact number (7 digits or more) to the tokens that spell its end in groups.
+
+    The digits of neighbouring tokens without letters are one row; where the row up to a token ends like a number, the
+    tokens within the common end are joined to it.
+    """
+    numbers: dict[str, tuple[str, int]] = {}
+    i = 0
+    for s, kind, e in base:
+        digits = _NOT_DIGIT.sub("", text[s:e])
+        while i < len(t.spans) and t.spans[i][1] <= s:
+            i += 1
+        if kind and len(digits) >= 7 and i < len(t.spans):
+            numbers.setdefault(digits[-7:], (digits, i))
+    if not numbers:
+        return
+    words = [text[s:e] for s, e in t.spans]
+    plain = [not any(c.isalpha() or c == "@" for c in w) for w in words]
+    joined = {j for i, j in t.chain if plain[i] and plain[j]}
+    i = 0
+    while i < len(words):
+        stop = i + 1
+        while stop in joined:
+            stop += 1
+        parts = [_NOT_DIGIT.sub("", w) if plain[i] else "" for w in words[i:stop]]
+        row, end, starts = "".join(parts), 0, []
+        for j, part in enumerate(parts):
+            starts.append(end)
+            end += len(part)
+            if end >= 7 and row[end - 7 : end] in numbers:
+                digits, first = numbers[row[end - 7 : end]]
+                same = 7
+                while same < min(end, len(digits)) and row[end - same - 1] == digits[-same - 1]:
+                    same += 1
+                while j >= 0 and starts[j] >= end - same:
+                    yield first, i + j
+                    j -= 1
+        i = stop
+
+
 def tokens_of(text: str, base: list[Span]) -> Tokens:
     out = Tokens([], [], [], [], [], [])
     last: dict[str, int] = {}
+    first: dict[str, int] = {}
+    keys: list[set[str]] = []
     at = 0
     for m in _MARKED.finditer(text):
         s, e = m.span()
@@ -140,10 +183,17 @@ def tokens_of(text: str, base: list[Span]) -> Tokens:
         out.features.append(_features(word, before, after))
         if i and not text[out.spans[-2][1] : s].strip():
             out.chain.append((i - 1, i))
-        for key in _keys(word):
+        keys.append(_keys(word))
+        for key in keys[-1]:
             if key in last and (last[key], i) not in out.skip[-4:]:
                 out.skip.append((last[key], i))
             last[key] = i
+            if label is not None:
+                first.setdefault(key, i)
+    far = {(first[key], i) for i, ks in enumerate(keys) for key in ks if key in first}
+    far.update(_number_edges(text, base, out))
+    near = set(out.skip)
+    out.held = sorted((i, j) for i, j in far if not out.fixed[j] and (min(i, j), max(i, j)) not in near)
     return out
 
 
@@ -157,26 +207,35 @@ class SkipChainField:
     skip: np.ndarray
 
     def marginals(self, t: Tokens) -> np.ndarray:
-        """Label probabilities by loopy sum-product message passing; labels of exact patterns are held."""
+        """Label probabilities by loopy sum-product messages, sent until they settle; labels of exact patterns are held."""
         unary = np.array([self.bias + sum((self.feature[f] for f in fs if f in self.feature), np.zeros(OTHER + 1)) for fs in t.features])
         for i, held in enumerate(t.fixed):
             if held:
                 unary[i] = -50.0
                 unary[i, t.labels[i]] = 0.0
-        edges = [*t.chain, *t.skip]
+        edges = [*t.chain, *t.skip, *t.held]
         if edges:
-            kinds = np.array([self.chain] * len(t.chain) + [self.skip] * len(t.skip))
+            kinds = np.array([self.chain] * len(t.chain) + [self.skip] * (len(t.skip) + len(t.held)))
             a, b = np.array(edges).T
             source, target = np.concatenate([a, b]), np.concatenate([b, a])
             table = np.concatenate([kinds, kinds.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
             sent = np.zeros((len(source), OTHER + 1))
-            for _ in range(ROUNDS):
-                belief = unary.copy()
-                np.add.at(belief, target, sent)
-                out = belief[source] - sent[back]
-                new = np.logaddexp.reduce(out[:, :, None] + table, axis=1)
-                sent = 0.5 * sent + 0.5 * (new - new.max(axis=1, keepdims=True))
+            belief, live, rounds = unary.copy(), np.arange(len(source)), 0
+            while len(live):
+                out = belief[source[live]] - sent[back[live]]
+                new = np.logaddexp.reduce(out[:, :, None] + table[live], axis=1)
+                # messages that swing are damped more and more, so all settle
+                pace = 0.5 ** (1 + rounds // (100 + len(source)))
+                step = pace * (new - new.max(axis=1, keepdims=True) - sent[live])
+                sent[live] += step
+                np.add.at(belief, target[live], step)
+                moved = live[np.abs(step).max(axis=1) > SETTLED]
+                stirred = np.zeros(len(unary), bool)
+                stirred[target[moved]] = True
+                again = stirred[source]
+                again[moved] = True
+                live, rounds = np.flatnonzero(again), rounds + 1
             np.add.at(unary, target, sent)
         unary = np.exp(unary - unary.max(axis=1, keepdims=True))
         return unary / unary.sum(axis=1, keepdims=True)

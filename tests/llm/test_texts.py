@@ -212,6 +212,39 @@ def test_field_carries_labels_to_alike_tokens(spark, frame):
     assert "@" not in masked and "[EMAIL]" in masked and "[PHONE]" in masked and "[IP]" in masked
 
 
+def test_labels_reach_every_repeat_and_numbers_in_groups(spark, frame):
+    texts = [(i, f"call +1 (98{i % 10}) 555-24{i:02d} or mail ann{i}@mail.example.com from 10.0.{i}.7 in year {1990 + i}, again +1 (98{i % 10}) 555-24{i:02d}") for i in range(40)]
+    texts += [(100 + i, f"part {100 + i}-{3000 + i}") for i in range(2)]  # such a word alone is no phone number
+    field = pii.train(frame(texts))
+
+    def found(text):
+        return [text[s:e] for s, _, e in field.spans(text, pii.base_spans(text))]
+
+    assert found("ask 555-3296 there " * 50) == []
+    assert found("+1 (269) 555-3296" + " ask 555-3296 there" * 50) == ["+1 (269) 555-3296"] + ["555-3296"] * 50
+    assert found("ask 555-3296 there " * 50 + "+1 (269) 555-3296") == ["555-3296"] * 50 + ["+1 (269) 555-3296"]
+    text = "write to +44 20 7946 0958 or " + "ring 7946 0958 in 2024 " * 20
+    t = pii.tokens_of(text, pii.base_spans(text))
+    joined = {j for i, j in [*t.skip, *t.held] if i == 0}
+    groups = [i for i, (s, e) in enumerate(t.spans) if text[s:e] in ("7946", "0958")][2:]
+    assert len(groups) == 40 and all(i in joined or any(a == i or b == i for a, b in t.skip) for i in groups)
+    assert {i for i in groups} <= {j for _, j in t.held} | {j for i, j in t.skip if t.fixed[i]}
+    assert not any(text[slice(*t.spans[j])] == "2024" for _, j in t.held)
+
+
+def test_messages_run_until_they_settle():
+    rng = np.random.default_rng(5)
+    k, n = pii.OTHER + 1, 60
+    strong = np.log(np.eye(k) + 1e-3)
+    field = pii.SkipChainField({}, np.zeros(k), strong, np.zeros((k, k)))
+    t = pii.Tokens([(0, 1)] * n, [2] + [pii.OTHER] * (n - 1), [True] + [False] * (n - 1), [()] * n, [(i, i + 1) for i in range(n - 1)], [])
+    step = np.exp(strong) / np.exp(strong).sum(1, keepdims=True)
+    assert np.allclose(field.marginals(t)[-1], np.linalg.matrix_power(step, n - 1)[2], atol=1e-3)
+    loops = pii.SkipChainField({}, np.zeros(k), 9 * rng.normal(size=(k, k)), 9 * rng.normal(size=(k, k)))
+    t = pii.Tokens([(0, 1)] * n, [pii.OTHER] * n, [False] * n, [()] * n, [(i, i + 1) for i in range(n - 1)], [(i, j) for i in range(n) for j in range(i + 2, n, 7)])
+    assert np.isfinite(loops.marginals(t)).all()
+
+
 def test_messages_give_exact_marginals_on_a_chain():
     rng = np.random.default_rng(4)
     k = pii.OTHER + 1
