@@ -62,13 +62,31 @@ def _hash(grams: Column) -> Column:
     return F.xxhash64(*[F.get(parts, F.lit(i)) for i in range(GRAM)])
 
 
+def best_window(votes: Column, longest: Column) -> Column:
+    """Most template positions that the votes ``(diagonal, seen)`` have in a window of at most ``longest`` words.
+
+    Votes are taken up by position; those that the window has left behind are dropped, so a step costs one window.
+    """
+    at = lambda v: F.transform(v["seen"], lambda t: F.struct((v["diagonal"] + t).alias("pos"), t.alias("t")))
+    placed = F.array_sort(F.flatten(F.transform(votes, at)))
+
+    def step(state: Column, vote: Column) -> Column:
+        window = F.concat(F.filter(state["window"], lambda x: vote["pos"] - x["pos"] + GRAM <= longest), F.array(vote))
+        return F.struct(window.alias("window"), F.greatest(state["best"], F.size(F.array_distinct(window["t"]))).alias("best"))
+
+    start = F.struct(F.array().cast("array<struct<pos:int,t:int>>").alias("window"), F.lit(0).alias("best"))
+    return F.aggregate(placed, start, step, lambda state: state["best"])
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """Spans found in each row, with a row number, the id and the word count; a row without spans stays, without template.
 
     The hashes of all rolling triples are held against those of the templates (a fixed set); the triples that remain are
     joined to the template positions and verified word by word. Votes are counted by document, template and diagonal
     (position in the text less position in the template); neighbouring diagonals merge into one span, which must cover
-    enough of the template and not be stretched too far. A diagonal that has all triples is an exact place.
+    enough of the template and not be stretched too far. A longer chain without an exact place, such as an altered notice
+    line after line, is judged by its best window of the longest allowed length. A diagonal that has all triples is an exact
+    place.
     """
     spark = prepare(docs.sparkSession)
     grams = template_grams(spark, templates)
@@ -101,8 +119,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         (F.size(F.array_distinct(F.flatten(F.collect_list("seen")))) / F.col("t_grams")).alias("coverage"),
         (F.max("last") - F.min("first") + GRAM).alias("length"),
         F.min("first").alias("first_word"),
+        F.collect_list(F.struct("diagonal", "seen")).alias("votes"),
     )
-    fits = (F.col("coverage") >= COVERAGE) & (F.col("length") <= STRETCH * (F.col("t_grams") + GRAM - 1)) & ~F.col("base")
+    longest = STRETCH * (F.col("t_grams") + GRAM - 1)
+    loose = (F.col("length") > longest) & (F.size("exact") == 0) & (F.col("coverage") >= COVERAGE) & ~F.col("base")
+    spans = spans.withColumn("coverage", F.when(loose, best_window(F.col("votes"), longest) / F.col("t_grams")).otherwise(F.col("coverage"))).drop("votes")
+    fits = (F.col("coverage") >= COVERAGE) & (loose | (F.col("length") <= longest)) & ~F.col("base")
     return spans.withColumn("accepted", F.coalesce(fits | (F.size("exact") > 0), F.lit(False)))
 
 

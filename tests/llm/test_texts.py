@@ -294,6 +294,18 @@ def test_kth_largest_is_exact(spark, monkeypatch):
         assert quality.kth_largest(df, "v", k) == sorted(values, reverse=True)[k - 1]
 
 
+def test_edited_notices_line_after_line_keep_their_label(frame):
+    line = "This work is licensed under a Creative Commons license\n"
+    rows = [(n, "x y z " * 5 + line * n) for n in (1, 2, 3, 4, 50)] + [(100, ("licensed under a house rule " + "w " * 5) * 30), (101, "creative commons attribution " * 40)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.licenses(frame(rows)).collect()}
+    assert all(got[n] == ("cc-by", 6 / 7) for n in (1, 2, 3, 4, 50))
+    assert got[100] == got[101] == ("", 0.0)
+    # parts of a notice far apart are no notice, though stray triples chain their diagonals
+    words = licenses.NOTICES[8][1].split()
+    parts = ["v " * 9 + " ".join(words[i : i + 3]) for i in range(7)]
+    assert licenses.licenses(frame([(1, " ".join(parts))])).first().labels == ""
+
+
 def test_license_phrases_and_notices(frame):
     mit = licenses.NOTICES[0][1]
     near = mit.replace("to any person ", "to any other living person ").replace("free of charge", "free, of charge")
