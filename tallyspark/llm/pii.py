@@ -242,8 +242,6 @@ class SkipChainField:
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
         """Base spans and those the field adds, by start and then kind; added ones never touch a base span."""
-        if not base:
-            return base
         t = tokens_of(text, base)
         if all(t.fixed):
             return base
@@ -340,7 +338,7 @@ def found(spark: SparkSession, text: Column, field: SkipChainField) -> Column:
             base = base_spans(t)
             counts.append([sum(k == kind for _, k, _ in base) for kind in range(len(KINDS))])
             digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest())
-            spans.append([{"start": s, "kind": k, "end": e} for s, k, e in (sent.value.spans(t, base) if base else base)])
+            spans.append([{"start": s, "kind": k, "end": e} for s, k, e in sent.value.spans(t, base)])
         kinds = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
         return pa.StructArray.from_arrays(
             [pa.array(counts, pa.list_(pa.int64())), pa.array(digests, pa.string()), pa.array(spans, kinds)], names=["n", "base", "spans"]
@@ -357,9 +355,9 @@ def redacted(spark: SparkSession, text: Column, field: SkipChainField) -> Column
     def mask(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
-            if t is not None and (base := base_spans(t)):
+            if t is not None:
                 parts, at = [], 0
-                for s, k, e in sent.value.spans(t, base):
+                for s, k, e in sent.value.spans(t, base_spans(t)):
                     if s >= at:
                         parts += [t[at:s], f"[{KINDS[k].upper()}]"]
                     at = max(at, e)

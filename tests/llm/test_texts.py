@@ -232,6 +232,16 @@ def test_labels_reach_every_repeat_and_numbers_in_groups(spark, frame):
     assert not any(text[slice(*t.spans[j])] == "2024" for _, j in t.held)
 
 
+def test_field_labels_texts_without_an_exact_pattern(spark, frame):
+    rows = [(i, f"call +1 (98{i % 10}) 555-24{i:02d} in year {1990 + i}") for i in range(40)] + [(50, "ask 555-3296 in 2024"), (51, "none in 2024"), (52, None)]
+    docs = frame(rows)
+    field = pii.train(frame(rows[:40]))
+    got = {r.doc_id: r for r in pii.personal_data(docs, field=field).collect()}
+    assert (got[50].n_phone, got[50].spans) == (0, "phone:4:12") and got[51].spans == got[52].spans == ""
+    masked = {r.doc_id: r.t for r in docs.select("doc_id", pii.redacted(spark, docs.text, field).alias("t")).collect()}
+    assert masked[50] == "ask [PHONE] in 2024" and masked[51] == "none in 2024" and masked[52] is None
+
+
 def test_messages_run_until_they_settle():
     rng = np.random.default_rng(5)
     k, n = pii.OTHER + 1, 60
