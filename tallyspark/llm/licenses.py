@@ -170,12 +170,22 @@ d AS (SELECT r, template, label, base, t_grams, diagonal, list(DISTINCT t_pos) A
       FROM v GROUP BY r, template, label, base, t_grams, diagonal),
 c AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS cluster
       FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {BAND} THEN 0 ELSE 1 END AS apart FROM d)),
-s AS (SELECT r, template, label, base, t_grams, cluster,
+s AS (SELECT r, template, label, base, t_grams, cluster, {STRETCH} * (t_grams + {GRAM - 1}) AS longest,
         count(*) FILTER (WHERE len(seen) = t_grams) AS n,
         min(diagonal) FILTER (WHERE len(seen) = t_grams) AS lo, max(diagonal) FILTER (WHERE len(seen) = t_grams) AS hi,
-        len(list_distinct(flatten(list(seen)))) / t_grams AS coverage, max(b) - min(a) + {GRAM} AS length
+        len(list_distinct(flatten(list(seen)))) / t_grams AS whole, max(b) - min(a) + {GRAM} AS length
       FROM c GROUP BY r, template, label, base, t_grams, cluster),
-k AS (SELECT *, n > 0 OR (NOT base AND coverage >= {COVERAGE} AND length <= {STRETCH} * (t_grams + {GRAM - 1})) AS accepted FROM s)
+l AS (SELECT *, NOT base AND n = 0 AND whole >= {COVERAGE} AND length > longest AS loose FROM s),
+z AS (SELECT l.r, l.template, l.cluster, l.longest, l.t_grams, v.pos, v.t_pos FROM l JOIN c USING (r, template, cluster)
+      JOIN v ON v.r = c.r AND v.template = c.template AND v.diagonal = c.diagonal WHERE loose),
+o AS (SELECT r, template, cluster, max(m) / any_value(t_grams) AS best
+      FROM (SELECT x.r, x.template, x.cluster, x.pos, any_value(x.t_grams) AS t_grams, count(DISTINCT y.t_pos) AS m
+            FROM z x JOIN z y ON x.r = y.r AND x.template = y.template AND x.cluster = y.cluster AND y.pos BETWEEN x.pos + {GRAM} - x.longest AND x.pos
+            GROUP BY x.r, x.template, x.cluster, x.pos)
+      GROUP BY r, template, cluster),
+k AS (SELECT l.*, coalesce(best, whole) AS coverage,
+        n > 0 OR (NOT base AND coalesce(best, whole) >= {COVERAGE} AND (loose OR length <= longest)) AS accepted
+      FROM l LEFT JOIN o USING (r, template, cluster))
 SELECT w.doc_id, CAST(any_value(len(w.ws)) AS BIGINT) AS n_words,
   CAST(coalesce(sum(n) FILTER (WHERE base), 0) AS BIGINT) AS n_base,
   CAST(min(lo) FILTER (WHERE base) AS BIGINT) AS first_word, CAST(max(hi) FILTER (WHERE base) AS BIGINT) AS last_word,
