@@ -3,33 +3,70 @@
 from __future__ import annotations
 
 import os
-import struct
+import string
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.llm.bytebpe import byte_characters
 from tallyspark.llm.common import materialised, prepare
 
 CAPACITY = 2048
 END_ID = 0
 CACHED_WORDS = 600_000
-TOGETHER = 500
-MARKS = ".,;:!?"
+LONG_WORD = 64
+MARKS = string.punctuation
+#: The character that stands for each byte of letters beyond ASCII.
+SPELLED = {b: c for b, c in enumerate(byte_characters()) if b > 127}
 RANKED_TOGETHER = 100_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class WordTable(dict):
+    """Ids of words as little-endian unsigned 32-bit bytes; a word is tokenised when first looked up.
+
+    A word of letters in small case is one unit, whose bytes go to the model as the characters that stand for them. Other
+    words are led back to such: the tokenizer drops case, and marks after letters are a unit of their own. What is left
+    passes through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer, old: dict[str, bytes]):
+        self.encode, self.tokenize, self.old = tokenizer.encode, tokenizer.model.tokenize, old
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.old.get(w)
+        if ids is None:
+            ids = self._ids(w)
+        if len(w) <= LONG_WORD:
+            self[w] = ids
+        return ids
+
+    def _ids(self, w: str) -> bytes:
+        stem = w.rstrip(MARKS)
+        if stem.isalpha():
+            # letters whose small form is not letters, or depends on their neighbours, are left to the tokenizer
+            small = stem.lower()
+            if small.isascii() or (small.isalpha() and "Σ" not in stem and is_normalized("NFC", stem) and is_normalized("NFC", small)):
+                if len(stem) < len(w):
+                    return self[stem] + self[w[len(stem) :]]
+                if small != stem:
+                    return self[small]
+                spelled = w if w.isascii() else w.encode().decode("latin-1").translate(SPELLED)
+                return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+        return array("I", self.encode(w, add_special_tokens=False).ids).tobytes()
+
+
 class WordIds:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by a table of words that are tokenised when first met.
+    """Ids of texts. The tokenizer drops white space and no token spans it, so a text's ids are those of its words in turn.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in turn. There are two
-    generations of words: when the new one is full it becomes the old one, from which words still in use are taken over, so
-    memory is bounded and frequent words stay.
+    There are two generations of words: when the new one is full it becomes the old one, from which words still in use are
+    taken over, so memory is bounded and frequent words stay.
     """
 
     def __init__(self, path: str):
@@ -37,70 +74,17 @@ class WordIds:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _tokenise(self, words: list[str]) -> None:
-        """Adds ``words``. Those of letters alone are one unit with one closing token, so many share a call."""
-        plain = [w for w in words if w.isalpha() and w.lower().isalpha()]
-        other = [w for w in words if not (w.isalpha() and w.lower().isalpha())]
-        for at in range(0, len(plain), TOGETHER):
-            some = plain[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            closed = np.flatnonzero(self.ends[ids]) + 1
-            if len(closed) != len(some):
-                other += some
-                continue
-            raw, bounds = ids.tobytes(), [0, *(4 * closed).tolist()]
-            self.known.update(zip(some, [raw[x:y] for x, y in zip(bounds, bounds[1:])]))
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-    def _learn(self, words: set[str]) -> None:
-        old, known = self.old, self.known
-        new, marked = set(), []
-        for w in words:
-            ids = old.get(w)
-            if ids is not None:
-                known[w] = ids
-                continue
-            stem = w.rstrip(MARKS)
-            # marks after letters are a unit of their own
-            if len(stem) < len(w) and stem.isalpha():
-                marked.append((w, stem, w[len(stem) :]))
-                new.add(stem)
-                new.add(w[len(stem) :])
-            else:
-                new.add(w)
-        self._tokenise([w for w in new if w not in known])
-        known.update((w, known[stem] + known[mark]) for w, stem, mark in marked)
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        lists = []
-        for text in texts:
-            # other kinds of white space stay inside a word, where the tokenizer itself drops them
-            for blank in "\t\n\x0b\x0c\r":
-                if blank in text:
-                    text = text.replace(blank, " ")
-            lists.append(text.split(" "))
-        words = set().union(*lists)
-        unknown = words.difference(self.known)
-        if len(self.known) + len(unknown) > CACHED_WORDS:
-            self.known, self.old = {}, self.known
-            unknown = words
-        self._learn(unknown)
-        look = self.known.__getitem__
-        out = [b"".join(map(look, ws)) for ws in lists]
-        for w in unknown:
-            if len(w) > 64:
-                del self.known[w]
-        return out
+        self.known = WordTable(self.tokenizer, {})
 
     def __call__(self, text: str) -> bytes:
-        return self.batch([text])[0]
+        # other kinds of white space stay inside a word, where the tokenizer itself drops them
+        for blank in "\t\n\x0b\x0c\r":
+            if blank in text:
+                text = text.replace(blank, " ")
+        if len(self.known) > CACHED_WORDS:
+            self.known.old = {}
+            self.known = WordTable(self.tokenizer, self.known)
+        return b"".join(map(self.known.__getitem__, text.split(" ")))
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -117,9 +101,8 @@ def _piece_rows(path: str, capacity: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            texts = b.column("_text").to_pylist()
-            for doc, ids in zip(b.column("doc_id").to_pylist(), words_by(path).batch(texts)):
-                ids += END_ID.to_bytes(4, "little")
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("_text").to_pylist()):
+                ids = words_by(path)(text) + END_ID.to_bytes(4, "little")
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part))):
