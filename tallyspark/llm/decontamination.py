@@ -14,6 +14,7 @@ from tallyspark.llm.common import prepare
 
 K1, B = 1.2, 0.75
 UNIT_WORDS = 128  # longer items are cut into units of so many words
+STEPS = (64, UNIT_WORDS)  # passages are two of these long, of those the smallest that a unit fits into
 SHARD_UNITS = 1024  # mean number of units in one index, so an index has a bounded size
 BLOCK = 8
 SCORE = 0.5  # share of an item's own score that a passage must reach
@@ -57,7 +58,7 @@ class Index:
     step: int
 
     @classmethod
-    def build(cls, units: list[tuple[int, int, list[bytes]]], frequency: dict[bytes, int], total: int, mean: float) -> Index:
+    def build(cls, units: list[tuple[int, int, list[bytes]]], frequency: dict[bytes, int], total: int, mean: float, step: int) -> Index:
         vocabulary = {t: i for i, t in enumerate(sorted({w for _, _, ws in units for w in ws}))}
         block_max = np.zeros((len(vocabulary) + 1, -(-len(units) // BLOCK)), np.float32)
         terms, impacts = [], []
@@ -70,7 +71,6 @@ class Index:
             terms.append(ids)
             impacts.append(weight / weight.sum())
             block_max[ids, u // BLOCK] = np.maximum(block_max[ids, u // BLOCK], impacts[-1])
-        step = max((len(ws) for _, _, ws in units), default=1)
         return cls([(i, n) for i, n, _ in units], [ws for _, _, ws in units], vocabulary, terms, impacts, block_max, step)
 
     def search(self, texts: list[str]) -> list[list[dict]]:
@@ -147,7 +147,7 @@ def _unit_rows(batches):
 
 
 def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """Indexes over all items, about ``SHARD_UNITS`` units each; term statistics are those of all items together.
+    """Indexes over all items by passage length, about ``SHARD_UNITS`` units each; term statistics are those of all items together.
 
     Items without a word cannot leak and are left out; repeated items are indexed once.
     """
@@ -157,16 +157,20 @@ def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     total, mean = units.agg(F.count("*"), F.avg(F.size("words"))).first()
     if not total:
         return []
-    n = -(-total // SHARD_UNITS)
-    units = units.withColumn("_shard", F.pmod(F.xxhash64("item_id", "unit"), F.lit(n)))
-    single = units.select("_shard", "item_id", "unit", F.explode(F.array_distinct("words")).alias("w"))
-    frequency = single.groupBy("w").agg(F.count("*").alias("df"))
-    here = single.select("_shard", "w").distinct().join(frequency, "w")
+    step = F.lit(STEPS[-1])
+    for s in reversed(STEPS[:-1]):
+        step = F.when(F.size("words") <= s, s).otherwise(step)
+    units = units.withColumn("_step", step)
+    sizes = {r["_step"]: -(-r["count"] // SHARD_UNITS) for r in units.groupBy("_step").count().collect()}
     out = []
-    for s in range(n):
-        rows = units.where(F.col("_shard") == s).orderBy("item_id", "unit", "words").collect()
-        df = {bytes(r["w"]): r["df"] for r in here.where(F.col("_shard") == s).collect()}
-        out.append(Index.build([(r["item_id"], r["unit"], [bytes(w) for w in r["words"]]) for r in rows], df, total, mean))
+    for step, n in sorted(sizes.items()):
+        own = units.where(F.col("_step") == step).withColumn("_shard", F.pmod(F.xxhash64("item_id", "unit"), F.lit(n)))
+        for s in range(n):
+            rows = own.where(F.col("_shard") == s).orderBy("item_id", "unit", "words").collect()
+            here = own.where(F.col("_shard") == s).select(F.explode("words").alias("w")).distinct()
+            single = units.select(F.explode(F.array_distinct("words")).alias("w"))
+            df = {bytes(r["w"]): r["df"] for r in single.join(here, "w", "left_semi").groupBy("w").agg(F.count("*").alias("df")).collect()}
+            out.append(Index.build([(r["item_id"], r["unit"], [bytes(w) for w in r["words"]]) for r in rows], df, total, mean, step))
     return out
 
 
