@@ -7,7 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
-from test_repeats import plain_roots
+from test_copies import check as check_copies
 from test_texts import check_packing, plain_spans
 
 import corpus_pipeline
@@ -47,14 +47,7 @@ def test_one_document_of_each_group_stays(spark, frame, sample, small):
     docs = frame(sample)
     out = STAGES["simhash"](spark, docs, small)
     assert out.columns == docs.columns
-    groups = {}
-    for (doc, text), (_, root) in zip(sample, plain_roots(sample, corpus_pipeline.COPY_RADIUS)):
-        groups.setdefault(root, set()).add((doc, text))
-    kept = [(r.doc_id, r.text) for r in out.collect()]
-    assert len(kept) == len(set(kept)) == len(groups)
-    for members in groups.values():
-        (one,) = members & set(kept)
-        assert one[0] == min((d for d, _ in members if d is not None), default=None)
+    check_copies(sample, [(r.doc_id, r.text) for r in out.collect()])
 
 
 def test_documents_with_benchmark_passages_go(spark, small):
@@ -106,7 +99,7 @@ def test_run_applies_every_stage(spark, small):
 
 def test_the_rest_imports_without_the_corpus_operators(tmp_path):
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
-    for name in ("__spark_entry__.py",):
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
         (tmp_path / name).write_text(open(f"{root}/{name}").read())
     (tmp_path / "tallyspark").mkdir()
     for name in os.listdir(f"{root}/tallyspark"):

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -155,6 +156,18 @@ def test_leaks_found_are_those_of_every_pair(spark, small, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in again.collect()} == got
 
 
+def test_other_items_have_no_say_in_a_leak(spark, frame):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
+    item, other = " ".join(word() for _ in range(12)).split(), " ".join(word() for _ in range(128))
+    docs = frame([(gap, " ".join([*item[:6], *[word() for _ in range(gap)], *item[6:]])) for gap in (0, 3, 40, 100, 125, 400)])
+    found = []
+    for rows in ([(1, " ".join(item))], [(1, " ".join(item)), (2, other)]):
+        benchmark = spark.createDataFrame(rows, "item_id long, text string")
+        found.append({(r.doc_id, r.item_id, r.first_word, r.question_overlap) for r in decontamination.contaminated(docs, benchmark).collect()})
+    assert found[0] == found[1] and 0 in {d for d, *_ in found[0]}
+
+
 def test_leaks_in_odd_rows(spark, frame):
     item = "Which small river runs north past the old mill of grey stone? The answer is the Esk near Brampton village"
     benchmark = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "... !!"), (None, "one"), (5, "word " * 400)], "item_id long, text string")
@@ -331,7 +344,7 @@ def test_license_phrases_and_notices(frame):
         (7, "K under the mıt license K"),
     ]
     got = Counter(tuple(r) for r in licenses.licenses(frame(rows)).collect())
-    assert got[1, 11, 2, 0, 5, "mit", "mit", 1.0] == 1
+    assert got[1, 12, 2, 0, 5, "mit", "mit", 1.0] == 1
     assert got[2, 3011, 3, 3000, 3008, "cc-by-nc", "cc-by-nc", 1.0] == 1
     assert got[5, 0, 0, None, None, "", "", 0.0] == 1 and got[6, 0, 0, None, None, "", "", 0.0] == 1
     assert got[None, 9, 1, 0, 0, "apache-2", "apache-2", 1.0] == 1
@@ -340,3 +353,21 @@ def test_license_phrases_and_notices(frame):
     assert third[2:7] == (0, None, None, "", "mit") and 0.6 <= third[7] < 1
     assert next(r for r in got if r[0] == 4)[6] == ""
     assert licenses.licenses(frame([])).collect() == []
+
+
+def test_licenses_of_repeated_notices_equal_sql(spark, frame):
+    rng = random.Random(8)
+    lines = [text for _, text in licenses.NOTICES] + ["This work is licensed under a Creative Commons license", "under the mit license", "of the software", "x y z"]
+    rows = []
+    for i in range(120):
+        words = " ".join(rng.choice(lines[-4:] if i % 2 else lines) for _ in range(rng.randint(1, 9))).split()
+        for _ in range(rng.randint(0, 1 + len(words) // 20)):
+            words[rng.randrange(len(words))] = "other"
+        rows.append((i, " ".join(words)))
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    want = Counter(duckdb.sql(licenses.LICENSE_SQL).fetchall())
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    assert Counter(tuple(r[c] for c in names) for r in licenses.licenses(frame(rows)).collect()) == want
+    # a repeated altered notice keeps its label, though its chain is long
+    (row,) = licenses.licenses(frame([(1, "\n".join(lines[-4:-3] * 3))])).collect()
+    assert row["labels"]
