@@ -13,6 +13,8 @@ from tallyspark.session import tune
 
 MASK64 = (1 << 64) - 1
 ARROW_ROWS = 1000
+#: Rows of a few numbers that one task takes with ease.
+TASK_ROWS = 250_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -39,6 +41,11 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks for so many small rows: steps over little data then need no exchange between as many tasks as a large table does."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def utf8(text: str | Column) -> Column:
     """UTF-8 bytes of a text; a null text is empty."""
     c = F.col(text) if isinstance(text, str) else text
