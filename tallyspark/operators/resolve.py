@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyspark.functions.dates import time_of
 from tallyspark.functions.keys import first_per_key
 from tallyspark.functions.text import branch_text, match_key
 from tallyspark.operators.filters import period_column, rule_period
+from tallyspark.operators.similar import closest
 from tallyspark.roles import UNKNOWN
 from tallyspark.rules import BusinessRules
 
@@ -79,31 +78,22 @@ def attach_secondary(
 # --- names --------------------------------------------------------------------------------------------------
 
 
-def _closest_udf(standard: list[str], cutoff: float):
-    # a closure over plain values, so executors need only the standard library
-    def closest(values: pd.Series) -> pd.Series:
-        import difflib
+def name_matches(df: DataFrame, column: str, standard: tuple[str, ...] | DataFrame, cutoff: float = NAME_CUTOFF) -> DataFrame:
+    """Distinct raw names with their standard form, how it was found, and on how many rows they occur.
 
-        def one(text):
-            hits = difflib.get_close_matches(text, standard, n=1, cutoff=cutoff) if text else []
-            return hits[0] if hits else None
-
-        return values.map(one)
-
-    return F.pandas_udf(closest, T.StringType())
-
-
-def name_matches(df: DataFrame, column: str, standard: tuple[str, ...], cutoff: float = NAME_CUTOFF) -> DataFrame:
-    """Distinct raw names with their standard form, how it was found, and on how many rows they occur."""
-    listed = list(standard)
-    names = df.where(F.trim(F.col(column)) != "").groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    trimmed = F.trim(F.col(column))
-    known = trimmed.isin(*listed) if listed else F.lit(False)
-    matched = names.withColumn("_close", _closest_udf(listed, cutoff)(F.when(~known, trimmed)))
-    return matched.select(
+    ``standard`` may be a frame with a column ``text``, of any size. Unlisted names meet only those listed names with which
+    they share rare characters.
+    """
+    listed = standard if isinstance(standard, DataFrame) else df.sparkSession.createDataFrame([(x,) for x in standard], "text string")
+    counted = df.where(F.trim(F.col(column)) != "").groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+    names = counted.withColumn("text", F.trim(F.col(column)))
+    known = listed.select("text", F.lit(True).alias("_known")).distinct()
+    found = names.join(known, "text", "left")
+    near = closest(found.where(F.col("_known").isNull()), listed, cutoff).select("text", F.col("close").alias("_close"))
+    return found.join(near, "text", "left").select(
         column,
-        F.when(known, trimmed).otherwise(F.coalesce("_close", trimmed)).alias("standard_name"),
-        F.when(known, F.lit("listed")).when(F.col("_close").isNotNull(), F.lit("fuzzy")).otherwise(F.lit("none")).alias("found_by"),
+        F.when(F.col("_known"), F.col("text")).otherwise(F.coalesce("_close", "text")).alias("standard_name"),
+        F.when(F.col("_known"), F.lit("listed")).when(F.col("_close").isNotNull(), F.lit("fuzzy")).otherwise(F.lit("none")).alias("found_by"),
         "rows",
     )
 
@@ -138,7 +128,7 @@ def operator_matches(df: DataFrame, specialists: tuple[str, ...], column: str =
     """Distinct operators with the specialist they stand for, if any.
 
     Stages: same compact text, same leading code, one is a prefix of the other, closest text. The first three
-    are expressions over literal maps; only leftovers reach Python.
+    are expressions over literal maps; only leftovers are held against texts with which they share rare characters.
     """
     by_key = {_key_of(s): s for s in specialists if _key_of(s)}
     codes = ((re.match("[A-Z0-9]*", _key_of(s)).group(0), s) for s in specialists)
@@ -159,8 +149,10 @@ def operator_matches(df: DataFrame, specialists: tuple[str, ...], column: str =
     staged = names.withColumns({"_same": same, "_code": coded, "_prefix": prefix})
     candidates = [*by_key, *by_code]
     rep_of = {**by_code, **by_key}
-    open_key = F.when(F.coalesce("_same", "_code", "_prefix").isNull(), key)
-    staged = staged.withColumn("_close", _closest_udf(candidates, OPERATOR_CUTOFF)(open_key))
+    listed = df.sparkSession.createDataFrame([(x,) for x in candidates], "text string")
+    left = staged.where(F.coalesce("_same", "_code", "_prefix").isNull()).select(key.alias("text"))
+    near = closest(left, listed, OPERATOR_CUTOFF).select(F.col("text").alias("_key"), F.col("close").alias("_close"))
+    staged = staged.join(near, "_key", "left")
     close = F.try_element_at(_literal_map(rep_of), F.col("_close"))
     return staged.select(
         column,

@@ -99,7 +99,36 @@ def j01(t):
 # --- names ---------------------------------------------------------------------------------------------------
 
 
-@query("J03_fuzzy_names")
+# the longest block that two stretches share (the leftmost of equal ones), then the stretches left and right of it
+_BLOCK = """list_max(flatten(flatten([[[{{'k': k, 'i': -i, 'j': -j}} FOR k IN range(1, least(a2 - i, b2 - j) + 1) IF substr(a, i + 1, k) = substr(b, j + 1, k)] FOR j IN range(b1, b2)] FOR i IN range(a1, a2)])))"""
+
+
+def ratio_sql(pairs: str) -> str:
+    """Recursive SQL of the similarity of ``pairs(a, b)``: a table ``ratios(a, b, ratio)``."""
+    block = _BLOCK.format()
+    return f"""blocks AS (SELECT a, b, a1, a2, b1, b2, {block} AS m FROM (SELECT DISTINCT a, b, 0::BIGINT AS a1, length(a) AS a2, 0::BIGINT AS b1, length(b) AS b2 FROM {pairs})
+ UNION ALL SELECT a, b, a1, a2, b1, b2, {block} FROM (SELECT a, b, s.a1 AS a1, s.a2 AS a2, s.b1 AS b1, s.b2 AS b2 FROM (SELECT a, b, unnest([{{'a1': a1, 'a2': -m.i, 'b1': b1, 'b2': -m.j}}, {{'a1': m.k - m.i, 'a2': a2, 'b1': m.k - m.j, 'b2': b2}}]) AS s FROM blocks WHERE m IS NOT NULL)
+  WHERE s.a1 < s.a2 AND s.b1 < s.b2)),
+ratios AS (SELECT a, b, 2 * coalesce(sum(m.k), 0) / (length(a) + length(b)) AS ratio FROM blocks GROUP BY a, b)"""
+
+
+_LISTED = f"l AS (SELECT unnest([{', '.join(repr(x) for x in SPECIALISTS)}]) AS a)"
+
+
+def _closest_sql(raw: str, cutoff: float = resolve.NAME_CUTOFF, listed: str = _LISTED) -> str:
+    """SQL of ``name_matches`` over the table ``r(name)`` that ``raw`` selects."""
+    return f"""{listed}, r AS ({raw}), n AS (SELECT name, trim(name, ' ') AS b, count(*) AS rows FROM r WHERE trim(name, ' ') <> '' GROUP BY name), p AS (SELECT l.a, n.b FROM l CROSS JOIN n), {ratio_sql('p')},
+best AS (SELECT b, a FROM ratios WHERE ratio >= {cutoff} QUALIFY row_number() OVER (PARTITION BY b ORDER BY ratio DESC, a DESC) = 1)"""
+
+
+_FOUND = "CASE WHEN n.b IN (SELECT a FROM l) THEN n.b ELSE coalesce(best.a, n.b) END AS standard_name, CASE WHEN n.b IN (SELECT a FROM l) THEN 'listed' WHEN best.a IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS found_by, rows FROM n LEFT JOIN best ON best.b = n.b"
+
+
+@query(
+    "J03_fuzzy_names",
+    f"""WITH RECURSIVE {RECEIPTS_SQL}, {_closest_sql("SELECT CASE WHEN supplier_key % 4 = 0 THEN replace(salesperson, '_', '-') || 'x' ELSE salesperson END AS name FROM receipts")}
+SELECT n.name AS salesperson, {_FOUND}""",
+)
 def j03(t):
     rows = t.receipts("salesperson", "supplier_key").withColumn(
         "salesperson", F.when(F.col("supplier_key") % 4 == 0, F.concat(F.regexp_replace("salesperson", "_", "-"), F.lit("x"))).otherwise(F.col("salesperson"))
@@ -117,6 +146,24 @@ def j04(t):
     return found.where(F.col("stage").isin("key", "code", "prefix")).select("operator", "specialist")
 
 
+# one or two letters away from a specialist's code, or from none
+_SLIPS = ("rexp ", "rrep-", "rpe.", "cash ")
+_SLIP_KEYS = "l AS (SELECT unnest([" + ", ".join(repr(x.replace("_", "")) for x in SPECIALISTS) + "]) AS a)"
+_SLIP_RAW = f"""SELECT upper(regexp_replace(operator, '[^a-z0-9]', '', 'g')) AS name FROM slips"""
+
+
+@query(
+    "J04_operator_slips",
+    f"""WITH RECURSIVE {RECEIPTS_SQL}, slips AS (SELECT [{', '.join(repr(x) for x in _SLIPS)}][supplier_key % 4 + 1] || lpad(CAST(supplier_key % 60 AS VARCHAR), 2, '0') AS operator FROM receipts),
+{_closest_sql(_SLIP_RAW, resolve.OPERATOR_CUTOFF, _SLIP_KEYS)}
+SELECT DISTINCT operator, 'REP_' || substr(best.a, 4) AS specialist, CASE WHEN best.a IS NOT NULL THEN 'fuzzy' END AS stage FROM slips LEFT JOIN best ON best.b = upper(regexp_replace(operator, '[^a-z0-9]', '', 'g'))""",
+)
+def j04_slips(t):
+    slip = F.get(F.array(*[F.lit(x) for x in _SLIPS]), (F.col("supplier_key") % 4).cast("int"))
+    rows = t.receipts("supplier_key").select(F.concat(slip, F.lpad((F.col("supplier_key") % 60).cast("string"), 2, "0")).alias("operator"))
+    return resolve.operator_matches(rows, SPECIALISTS)
+
+
 @query(
     "J05_operator_override",
     f"""WITH {_OPERATOR_SQL} SELECT CASE WHEN specialist IS NOT NULL THEN '{DESK}' ELSE branch END AS branch, CASE WHEN specialist IS NOT NULL THEN specialist ELSE salesperson END AS salesperson, count(*) AS receipts, round(sum(amount), 2) AS amount

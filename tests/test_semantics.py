@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.money import is_bad_money, to_minor
 from tallyspark.functions.quantile import exact_quantile, top_share_sum
-from tallyspark.operators import diff, drivers, exclusions, gates, quality, refunds, resolve, scope
+from tallyspark.operators import diff, drivers, exclusions, gates, quality, refunds, resolve, scope, similar
 from tallyspark.operators import series as series_ops
 from tallyspark.operators.mart import Mart, tag_tables
 from tallyspark.plans import backtest, forecast, signals
@@ -420,3 +420,21 @@ def test_tagged_tables_prune(spark):
     a = spark.createDataFrame([("1",)], "order_id string")
     both = tag_tables(a, a.withColumn("extra", F.lit(1)))
     assert rows(both.groupBy("is_tour").count()) == [(False, 1), (True, 1)]
+
+
+@pytest.mark.parametrize("cutoff", [0.3, 0.6, 0.82, 1.0])
+def test_closest_texts_are_those_of_all_pairs(spark, cutoff):
+    import difflib
+    import random
+
+    rng = random.Random(2)
+
+    def text():
+        return "".join(rng.choice("abcAB_-1陳李 é🙂") for _ in range(rng.randint(1, 12)))
+
+    listed = sorted({text() for _ in range(150)})
+    values = sorted({text() for _ in range(200)} | set(listed[:20]) | {x + "z" for x in listed[:30]})
+    frames = [spark.createDataFrame([(x,) for x in [*some, some[0], None, ""]], "text string") for some in (values, listed)]
+    got = {r.text: r.close for r in similar.closest(*frames, cutoff).collect()}
+    assert got == {v: hit[0] for v in values if (hit := difflib.get_close_matches(v, listed, n=1, cutoff=cutoff))}
+    assert similar.closest(frames[0], frames[1].limit(0), cutoff).count() == similar.closest(frames[0].limit(0), frames[1], cutoff).count() == 0
