@@ -173,7 +173,9 @@ def w19(t):
 
 # --- tracks --------------------------------------------------------------------------------------------------
 
-_PRED = f"""{STATS_SQL}, hz AS (SELECT unnest(generate_series(1, 7)) AS hh), pred AS (SELECT st.line, st.c, hh, greatest(0, level + (coalesce(m, mean) - mean) * 0.9) AS smoothed, greatest(0, slope * (n + hh - 1) + icept + (coalesce(m, mean) - mean) * 1.05) AS trend,
+# days ahead that the tracks are checked for
+AHEAD = 30
+_PRED = f"""{STATS_SQL}, hz AS (SELECT unnest(generate_series(1, {AHEAD})) AS hh), pred AS (SELECT st.line, st.c, hh, greatest(0, level + (coalesce(m, mean) - mean) * 0.9) AS smoothed, greatest(0, slope * (n + hh - 1) + icept + (coalesce(m, mean) - mean) * 1.05) AS trend,
  greatest(lo * 0.4, least(hi * 1.08, mean * 0.96 + (coalesce(m, mean) - mean) * 1.15)) AS bounded, n >= 45 AND nz >= 10 AS ok FROM st CROSS JOIN hz LEFT JOIN eff ON eff.line = st.line AND eff.c = st.c AND eff.w = isodow(st.c + CAST(hh AS INTEGER)) - 1)"""
 
 
@@ -183,13 +185,13 @@ def _tracks(t, horizons=(1,)):
     return fc.closed_form_tracks(fc.stats_at(series, pairs))
 
 
-_SMOOTH = """sm AS (SELECT line, c, 0 AS hh, level, NULL::DOUBLE AS value FROM st UNION ALL SELECT sm.line, sm.c, sm.hh + 1, sm.level * 0.85 + greatest(0, sm.level + coalesce(m - mean, 0) * 0.9) * 0.15, greatest(0, sm.level + coalesce(m - mean, 0) * 0.9)
- FROM sm JOIN st ON st.line = sm.line AND st.c = sm.c LEFT JOIN eff ON eff.line = sm.line AND eff.c = sm.c AND eff.w = isodow(sm.c + sm.hh + 1) - 1 WHERE sm.hh < 7)"""
+_SMOOTH = f"""sm AS (SELECT line, c, 0 AS hh, level, NULL::DOUBLE AS value FROM st UNION ALL SELECT sm.line, sm.c, sm.hh + 1, sm.level * 0.85 + greatest(0, sm.level + coalesce(m - mean, 0) * 0.9) * 0.15, greatest(0, sm.level + coalesce(m - mean, 0) * 0.9)
+ FROM sm JOIN st ON st.line = sm.line AND st.c = sm.c LEFT JOIN eff ON eff.line = sm.line AND eff.c = sm.c AND eff.w = isodow(sm.c + sm.hh + 1) - 1 WHERE sm.hh < {AHEAD})"""
 
 
 @query("R03_closed_form_tracks", f"WITH RECURSIVE {_PRED}, {_SMOOTH} SELECT line, c::VARCHAR AS cutoff, CAST(hh AS INTEGER) AS horizon, round(sm.value, 2) AS smoothed, round(trend, 2) AS trend, round(bounded, 2) AS bounded FROM pred JOIN sm USING (line, c, hh)")
 def r03(t):
-    return rounded(texted(_tracks(t, (7,)).select("line", "cutoff", "horizon", "smoothed", "trend", "bounded")), 2)
+    return rounded(texted(_tracks(t, (AHEAD,)).select("line", "cutoff", "horizon", "smoothed", "trend", "bounded")), 2)
 
 
 @query(
@@ -241,9 +243,9 @@ def r06_tracks(t):
 
 
 def _recursive(t, strategy):
-    """Recursive tracks of a week ahead from each of the last thirty days."""
+    """Recursive tracks of ``AHEAD`` days from each of the last thirty days."""
     series = _series(t)
-    pairs = s.cutoff_days(series, 30, (1,)).withColumn("horizon", F.lit(7))
+    pairs = s.cutoff_days(series, 30, (1,)).withColumn("horizon", F.lit(AHEAD))
     stats = fc.stats_at(series, pairs)
     out = fc.recursive_tracks(series, stats, pairs, fc.strategy_tracks(fc.closed_form_tracks(stats)), _calendar(t))
     return rounded(texted(out.where(F.col("strategy") == strategy).select("cutoff", "horizon", "model", "prediction")), 4)
@@ -251,7 +253,7 @@ def _recursive(t, strategy):
 
 @query(
     "R09_macro_seven_day",
-    f"""WITH {_PRED}, p AS (SELECT c, model, sum(v) AS prediction FROM (SELECT c, trend, bounded FROM pred WHERE line = 'total' AND c + 7 <= (SELECT m FROM top)) UNPIVOT (v FOR model IN (trend, bounded)) GROUP BY 1, 2),
+    f"""WITH {_PRED}, p AS (SELECT c, model, sum(v) AS prediction FROM (SELECT c, trend, bounded FROM pred WHERE line = 'total' AND hh <= 7 AND c + 7 <= (SELECT m FROM top)) UNPIVOT (v FOR model IN (trend, bounded)) GROUP BY 1, 2),
 a AS (SELECT cut.c, sum(v) AS actual FROM cut JOIN ts ON ts.d BETWEEN cut.c + 1 AND cut.c + 7 WHERE line = 'total' GROUP BY 1) SELECT c::VARCHAR AS cutoff, model, round(actual, 2) AS actual, round(prediction, 2) AS prediction FROM p JOIN a USING (c)""",
 )
 def r09(t):
@@ -654,4 +656,4 @@ def c40(t):
 
 @query("R04_learned_track")
 def r04(t):
-    return fc.learned_track(_report(t).series, _report(t).calendar, steps=7)
+    return fc.learned_track(_report(t).series, _report(t).calendar, steps=AHEAD)
