@@ -85,8 +85,9 @@ def ranking(facts: DataFrame, top: int | None = None, share_after_top: bool = Fa
     by_value = [F.desc("total_revenue"), F.asc("entity")]
     if top is not None and share_after_top:
         totals = totals.orderBy(*by_value).limit(top)
-    whole = attach_one_row(totals, totals.agg(F.sum("total_revenue").alias("_all")))
-    ranked = whole.withColumn("rank", F.row_number().over(Window.orderBy(*by_value)))
+    by_rank = Window.orderBy(*by_value)
+    every = by_rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = totals.withColumns({"rank": F.row_number().over(by_rank), "_all": F.sum("total_revenue").over(every)})
     ranked = ranked.select("rank", "entity", *LINES, "total_revenue", _share(F.col("total_revenue"), F.col("_all")).alias("share_pct"))
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
