@@ -29,7 +29,7 @@ SHARD_BYTES = 16 << 20
 #: Runs of a shard merged at once.
 FAN = 128
 #: Terms for each piece of the pair sums, terms held against each other at once, and numbers in a block of sums.
-PIECE_TERMS, TERMS_AT_ONCE, SUMS = 200_000, 4096, 1 << 22
+PIECE_TERMS, TERMS_AT_ONCE, SUMS = 20_000, 4096, 1 << 22
 RUN = "lang string, shard int, run long, terms binary, documents binary, sizes binary, sources array<string>, source binary, counts binary"
 #: A-Z to a-z, other letters and bytes beyond ASCII as they are, the rest to blanks.
 LETTERS = bytes(b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
