@@ -22,8 +22,9 @@ from tallyspark.session import cut_lineage
 class BacktestReport:
     """Detail, summaries, signals, selectors, diagnostics and weights of the rolling backtest.
 
-    ``receipts`` are official receipts of both tables. Signals describe the series ``all``; with a ``series_key``
-    the tracks are also tested per series. Frames are built when first asked for.
+    ``receipts`` are official receipts of both tables. With a ``series_key`` tracks, signals and selectors are also made
+    per series; summaries of classes and risk, and what governance reads, describe the series ``all``. Frames are built when
+    first asked for.
     """
 
     def __init__(self, receipts: DataFrame, rules: BusinessRules, calendar, series_key: Column | None = None, window_days: int = b.WINDOW_DAYS):
@@ -45,17 +46,26 @@ class BacktestReport:
     def source(self) -> DataFrame:
         return s.spike_source(self.receipts, self.rules)
 
+    @cached_property
+    def order_days(self) -> DataFrame:
+        """Written once: the signals of all cutoffs and series read these rows, not the receipts."""
+        return cut_lineage(s.order_days(self.source, self.series_key))
+
+    @cached_property
+    def order_states(self) -> DataFrame:
+        return cut_lineage(s.order_states(self.order_days, b.reference_rows(self.base_detail)))
+
     @cached_property
     def base_detail(self) -> DataFrame:
         return cut_lineage(b.backtest_detail(self.series, self.calendar, self.window_days))
 
     @cached_property
     def spike_detail(self) -> DataFrame:
-        return cut_lineage(s.spike_detail(self.base_detail, self.source, self.calendar))
+        return cut_lineage(s.spike_detail(self.base_detail, self.order_days, self.calendar, self.order_states))
 
     @cached_property
     def event_detail(self) -> DataFrame:
-        return cut_lineage(s.event_detail(self.spike_detail, self.source))
+        return cut_lineage(s.event_detail(self.spike_detail, self.order_days, self.order_states))
 
     @cached_property
     def selector_detail(self) -> DataFrame:
@@ -95,7 +105,7 @@ class BacktestReport:
 
     @cached_property
     def risk_summary(self) -> DataFrame:
-        return s.risk_summary(self.spike_detail)
+        return s.risk_summary(s.of_series(self.spike_detail))
 
     def datasets(self) -> dict[str, DataFrame]:
         """Every table of the report by name."""
@@ -111,9 +121,9 @@ class BacktestReport:
             "spike_contributors": s.contributors(self.spike_days, self.source),
             "spike_detail": self.spike_detail,
             "risk_summary": self.risk_summary,
-            "spike_class_summary": s.spike_class_summary(self.spike_detail),
+            "spike_class_summary": s.spike_class_summary(s.of_series(self.spike_detail)),
             "event_detail": self.event_detail,
-            "event_class_summary": s.event_class_summary(self.event_detail),
+            "event_class_summary": s.event_class_summary(s.of_series(self.event_detail)),
             "two_lane_detail": self.two_lane_detail,
             "two_lane_summary": s.two_lane_summary(self.two_lane_detail),
             "selector_detail": self.selector_detail,
@@ -131,8 +141,8 @@ def governance_report(report: BacktestReport, macro: dict[str, DataFrame]) -> di
     """The governance matrix over official, diagnostic, experimental and macro rows."""
     daily = F.lit(g.DAILY_VIEW)
     rows = g.governance_input(report.detail.where((F.col("horizon") == 1) & (F.col("series_id") == "all")), daily, g.OFFICIAL)
-    rows = rows.unionByName(g.governance_input(report.normal_day_detail.where("is_normal"), daily, g.DIAGNOSTIC))
-    rows = rows.unionByName(g.governance_input(report.two_lane_detail, daily, g.EXPERIMENT, F.col("lane")))
+    rows = rows.unionByName(g.governance_input(s.of_series(report.normal_day_detail).where("is_normal"), daily, g.DIAGNOSTIC))
+    rows = rows.unionByName(g.governance_input(s.of_series(report.two_lane_detail), daily, g.EXPERIMENT, F.col("lane")))
     rows = rows.unionByName(g.governance_input(macro["detail"].where(F.col("series_id") == "all"), F.col("layer"), g.OFFICIAL))
     matrix = g.governance_matrix(rows)
     summary = g.governance_summary(matrix)
@@ -140,10 +150,10 @@ def governance_report(report: BacktestReport, macro: dict[str, DataFrame]) -> di
 
 
 def feature_report(report: BacktestReport) -> dict[str, DataFrame]:
-    snapshot = g.feature_snapshot(report.spike_detail, report.event_detail)
+    snapshot = g.feature_snapshot(s.of_series(report.spike_detail), s.of_series(report.event_detail))
     families = {
         "Spike Signal": report.risk_summary,
-        "Event Lead Signal": s.event_class_summary(report.event_detail),
-        "Two-Lane Selector": s.two_lane_summary(report.two_lane_detail),
+        "Event Lead Signal": s.event_class_summary(s.of_series(report.event_detail)),
+        "Two-Lane Selector": s.two_lane_summary(s.of_series(report.two_lane_detail)),
     }
     return {"snapshot": snapshot, "health": g.feature_health(snapshot), "readiness": g.signal_readiness(families), "overview": g.snapshot_overview(snapshot)}
