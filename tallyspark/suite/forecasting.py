@@ -431,12 +431,13 @@ def a34(t):
 
 # --- signals of every series: one per branch and the whole ------------------------------------------------------
 
-# the prediction of a day is the revenue of the same weekday a week before; the last thirty cutoffs of each series
+# the prediction of a day is the revenue of the same weekday a week before; the last thirty cutoffs of each series; orders are
+# large from a third of the limit on, so that some are
 _EVERY = f"""{_CAL_SQL}, {OFFICIAL_SQL}, sr AS (SELECT 'all' AS s, * FROM official UNION ALL SELECT branch AS s, * FROM official), dl AS (SELECT s, unified_date AS d, sum(amount) AS v FROM sr GROUP BY 1, 2), ends AS (SELECT s, min(d) AS a, max(d) AS b FROM dl GROUP BY 1),
 cut AS (SELECT s, unnest(generate_series(greatest(a, b - 30), b - 1, INTERVAL 1 DAY))::DATE AS c FROM ends WHERE b > a),
 det AS (SELECT cut.s, cut.c, cut.c + 1 AS ad, coalesce(x.v, 0.0) AS actual, coalesce(y.v, 0.0) - coalesce(x.v, 0.0) AS err FROM cut LEFT JOIN dl x ON x.s = cut.s AND x.d = cut.c + 1 LEFT JOIN dl y ON y.s = cut.s AND y.d = cut.c - 6),
 win AS (SELECT cut.c, date_diff('day', unified_date, cut.c) AS age, sr.*, sr.branch = '{DESK}' AS sp, sr.dest_category LIKE '%中國長%' AS lh FROM cut JOIN sr ON sr.s = cut.s AND unified_date <= cut.c AND unified_date > cut.c - 28),
-thr AS (SELECT s, c, greatest(100000.0, quantile_cont(a, 0.95)) AS th FROM (SELECT cut.s, cut.c, order_id, sum(amount) AS a FROM cut JOIN sr ON sr.s = cut.s AND unified_date <= cut.c GROUP BY 1, 2, 3) GROUP BY 1, 2),
+thr AS (SELECT s, c, greatest(100000.0, quantile_cont(a, 0.95)) / 3 AS th FROM (SELECT cut.s, cut.c, order_id, sum(amount) AS a FROM cut JOIN sr ON sr.s = cut.s AND unified_date <= cut.c GROUP BY 1, 2, 3) GROUP BY 1, 2),
 po AS (SELECT s, c, order_id, count(*) FILTER (age < 3) AS n3, count(*) FILTER (age < 7) AS n7, count(*) FILTER (age < 7 AND sp) AS ns, count(*) FILTER (age < 7 AND lh) AS nh, sum(amount) FILTER (age < 3) AS a3, sum(amount) FILTER (age < 7) AS a7, sum(amount) AS a14, sum(amount) FILTER (age < 7 AND sp) AS ps, sum(amount) FILTER (age < 7 AND lh) AS ph FROM win WHERE age < 14 GROUP BY 1, 2, 3),
 od AS (SELECT s, c, any_value(th) AS th, count(*) AS o14, count(*) FILTER (n7 > 0) AS o7, count(*) FILTER (n3 > 0) AS o3, count(*) FILTER (n3 > 0 AND a3 >= th) AS l3, count(*) FILTER (n7 > 0 AND a7 >= th) AS l7, count(*) FILTER (a14 >= th) AS l14, count(*) FILTER (ns > 0 AND ps >= th) AS ls, count(*) FILTER (nh > 0 AND ph >= th) AS ll, coalesce(max(a3), 0.0) AS m3, coalesce(max(a7), 0.0) AS m7, coalesce(max(ps), 0.0) AS ms,
  coalesce(sum(a7) FILTER (a7 >= th), 0.0) AS lt, coalesce(sum(ps) FILTER (ps >= th), 0.0) AS lts, coalesce(sum(ph) FILTER (ph >= th), 0.0) AS ltl FROM po JOIN thr USING (s, c) GROUP BY 1, 2),
@@ -447,14 +448,14 @@ _SPIKES = f"""{_EVERY}, day AS (SELECT s, c, unified_date, sum(amount) AS a FROM
 tot AS (SELECT s, c, sum(amount) FILTER (age < 7) AS t7, sum(amount) FILTER (age < 14) AS t14, sum(amount) FILTER (age < 7 AND sp) AS s7, sum(amount) FILTER (sp) AS s28, sum(amount) FILTER (age < 7 AND lh) AS h7, sum(amount) FILTER (lh) AS h28, max(unified_date) AS fm FROM win GROUP BY 1, 2),
 lim AS (SELECT s, coalesce(quantile_cont(actual, 0.75) FILTER (actual > 0), quantile_cont(actual, 0.75)) AS hi, quantile_cont(abs(err), 0.75) AS le FROM det GROUP BY 1),
 f AS (SELECT det.*, fm, coalesce(t7, 0.0) AS t7, coalesce(s7, 0.0) AS s7, coalesce(h7, 0.0) AS h7, CASE WHEN t7 > 0 THEN coalesce(s7, 0.0) / t7 * 100 ELSE 0.0 END AS sp, CASE WHEN t7 > 0 THEN coalesce(h7, 0.0) / t7 * 100 ELSE 0.0 END AS lh, CASE WHEN s28 > 0 THEN coalesce(s7, 0.0) / (s28 / 4) END AS spm, CASE WHEN h28 > 0 THEN coalesce(h7, 0.0) / (h28 / 4) END AS lhm,
- coalesce(od.l7, 0) AS lo, coalesce(od.m7, 0.0) AS mx, coalesce(od.th, 100000.0) AS thr, CASE WHEN t7 > 0 THEN coalesce(sa, 0.0) / t7 * 100 ELSE 0.0 END AS ts, CASE WHEN t7 > 0 THEN dm.mx / t7 * 100 ELSE 0.0 END AS mds, coalesce(sd / av, 0.0) AS vol, CASE WHEN t14 > 0 THEN coalesce(t7, 0.0) / (t14 / 2) END AS pace,
+ coalesce(od.l7, 0) AS lo, coalesce(od.m7, 0.0) AS mx, greatest(coalesce(od.th, 0.0), 100000.0) AS thr, CASE WHEN t7 > 0 THEN coalesce(sa, 0.0) / t7 * 100 ELSE 0.0 END AS ts, CASE WHEN t7 > 0 THEN dm.mx / t7 * 100 ELSE 0.0 END AS mds, coalesce(sd / av, 0.0) AS vol, CASE WHEN t14 > 0 THEN coalesce(t7, 0.0) / (t14 / 2) END AS pace,
  EXISTS (SELECT 1 FROM hol WHERE date_diff('day', hol.d, ad) BETWEEN 1 AND 3) AS post, date_diff('day', ad, last_day(ad)) <= 3 AS edge, actual >= hi AS hd, err < 0 AND abs(err) >= le AS lu, err > 0 AND abs(err) >= le AS lv FROM det JOIN lim USING (s) LEFT JOIN tot USING (s, c) LEFT JOIN dm USING (s, c) LEFT JOIN od USING (s, c) LEFT JOIN se USING (s, c)),
 p AS (SELECT *, CAST(CASE WHEN sp >= 50 THEN 2 WHEN sp >= 30 THEN 1 ELSE 0 END + CASE WHEN spm >= 1.35 AND s7 >= 150000 THEN 1 ELSE 0 END + CASE WHEN lh >= 55 THEN 2 WHEN lh >= 35 THEN 1 ELSE 0 END + CASE WHEN lhm >= 1.35 AND h7 >= 150000 THEN 1 ELSE 0 END + CASE WHEN lo >= 1 THEN 1 ELSE 0 END + CASE WHEN mx >= greatest(thr * 1.5, 250000) THEN 1 ELSE 0 END
  + CASE WHEN ts >= 45 THEN 1 ELSE 0 END + CASE WHEN post THEN 1 ELSE 0 END + CASE WHEN edge THEN 1 ELSE 0 END AS INTEGER) AS score, sp >= 45 OR spm >= 1.45 AS ss, lh >= 50 OR lhm >= 1.45 AS sl, lo >= 1 AND mx >= greatest(thr * 1.35, 220000) AS strong, mds >= 38 OR ts >= 55 AS conc FROM f),
 sig AS (SELECT *, CASE WHEN score >= 5 THEN 'High' WHEN score >= 3 THEN 'Medium' ELSE 'Low' END AS lvl, CASE WHEN lu AND hd THEN 'Pre-spike' WHEN lv THEN 'Post-spike Cooldown' WHEN hd OR lu THEN 'Volatile Hold' ELSE 'Normal' END AS outcome FROM p)"""
 
 
-def _series_detail(t):
+def _series_signals(t):
     rows = t.official(*_SIGNAL_ROLES)
     series = s.daily_series(rows, CRUISE_BRANDS).unionByName(s.daily_series(rows, CRUISE_BRANDS, F.col("branch")))
     total = series.where(F.col("line") == "total")
@@ -463,41 +464,83 @@ def _series_detail(t):
     before = total.select("series_id", F.date_add("date", 7).alias("actual_date"), F.col("revenue").alias("prediction"))
     out = pairs.join(actual, ["series_id", "actual_date"]).join(before, ["series_id", "actual_date"], "left").na.fill(0.0, ["prediction"])
     detail = with_errors(out.withColumns({"strategy": F.lit(fc.STRATEGY_TOTAL), "model": F.lit(fc.BASE_TRACK)}))
-    return detail, sg.order_days(sg.spike_source(rows, RULES), F.col("branch"))
+    detail, days = cut_lineage(detail), cut_lineage(sg.order_days(sg.spike_source(rows, RULES), F.col("branch")))
+    limits = sg.large_order_threshold(days, detail).withColumn("large_order_threshold", F.col("large_order_threshold") / 3)
+    states = cut_lineage(sg.order_window_stats(days, detail, limits))
+    return detail, days, states, sg.spike_detail(detail, days, _calendar(t), states)
 
 
 @query(
     "R12_spike_signals_every_series",
-    f"""WITH {_SPIKES} SELECT s AS series_id, c::VARCHAR AS cutoff, fm::VARCHAR AS feature_max_date, round(actual, 2) AS actual, round(t7, 2) AS total_7, round(sp, 4) AS specialist_share_7, round(lh, 4) AS longhaul_share_7, round(lhm, 4) AS longhaul_momentum, round(thr, 2) AS large_order_threshold, lo AS large_orders_7, round(mx, 2) AS max_order_7, round(ts, 4) AS top_seller_share_7, round(mds, 4) AS max_daily_share_7, round(vol, 4) AS volatility_7, round(pace, 4) AS pace_vs_14, post AS is_post_holiday, edge AS is_month_end, score AS risk_score, lvl AS risk_level, outcome,
+    f"""WITH {_SPIKES} SELECT s AS series_id, c::VARCHAR AS cutoff, fm::VARCHAR AS feature_max_date, round(actual, 2) AS actual, round(t7, 2) AS total_7, round(sp, 4) AS specialist_share_7, round(lh, 4) AS longhaul_share_7, round(lhm, 4) AS longhaul_momentum, round(thr, 6) AS large_order_threshold, lo AS large_orders_7, round(mx, 2) AS max_order_7, round(ts, 4) AS top_seller_share_7, round(mds, 4) AS max_daily_share_7, round(vol, 4) AS volatility_7, round(pace, 4) AS pace_vs_14, post AS is_post_holiday, edge AS is_month_end, score AS risk_score, lvl AS risk_level, outcome,
  CASE WHEN lvl = 'Low' THEN 'Normal' WHEN lvl = 'High' AND score >= 6 AND strong AND lh >= 65 AND sp >= 45 AND NOT conc AND (post OR edge OR pace >= 1.2) THEN 'Pre-spike' WHEN sl AND sp < 28 AND mx >= greatest(thr * 1.05, 180000) AND NOT post AND NOT edge THEN 'Post-spike Cooldown' WHEN conc AND pace <= 0.82 AND NOT post THEN 'Post-spike Cooldown'
  WHEN vol >= 0.85 OR (lo >= 1 AND ts >= 45) OR (strong AND (sl OR ss)) OR lvl = 'High' THEN 'Volatile Hold' ELSE 'Watch' END AS signal_class FROM sig""",
 )
 def r12_every(t):
-    detail, days = _series_detail(t)
-    out = sg.spike_detail(detail, cut_lineage(days), _calendar(t)).select(
+    out = _series_signals(t)[3].select(
         "series_id", "cutoff", "feature_max_date", "actual", "total_7", "specialist_share_7", "longhaul_share_7", "longhaul_momentum", "large_order_threshold", F.col("large_orders_7").cast("long").alias("large_orders_7"),
         "max_order_7", "top_seller_share_7", "max_daily_share_7", "volatility_7", "pace_vs_14", "is_post_holiday", "is_month_end", "risk_score", "risk_level", "outcome", "signal_class",
     )
-    return rounded(rounded(texted(out), 4), 2, "actual", "total_7", "large_order_threshold", "max_order_7")
+    shares = [f for f in out.columns if f.endswith(("share_7", "momentum")) or f in ("volatility_7", "pace_vs_14")]
+    return rounded(rounded(rounded(texted(out), 6, "large_order_threshold"), 4, *shares), 2, "actual", "total_7", "max_order_7")
 
 
 @query(
     "R13_event_signals_every_series",
-    f"""WITH {_SPIKES}, new AS (SELECT s, c, max(unified_date) AS nd FROM win WHERE age < 14 GROUP BY 1, 2), e AS (SELECT sig.s, sig.c, nd, lvl, outcome, coalesce(od.th, 100000.0) AS th, coalesce(o3, 0) AS o3, coalesce(o7, 0) AS o7, coalesce(o14, 0) AS o14, coalesce(l3, 0) AS l3, coalesce(l7, 0) AS l7, coalesce(l14, 0) AS l14, coalesce(ls, 0) AS ls, coalesce(ll, 0) AS ll, coalesce(m3, 0.0) AS m3, coalesce(ms, 0.0) AS ms,
+    f"""WITH {_SPIKES}, new AS (SELECT s, c, max(unified_date) AS nd FROM win WHERE age < 14 GROUP BY 1, 2), e AS (SELECT sig.s, sig.c, nd, lvl, outcome, greatest(coalesce(od.th, 0.0), 100000.0) AS th, coalesce(o3, 0) AS o3, coalesce(o7, 0) AS o7, coalesce(o14, 0) AS o14, coalesce(l3, 0) AS l3, coalesce(l7, 0) AS l7, coalesce(l14, 0) AS l14, coalesce(ls, 0) AS ls, coalesce(ll, 0) AS ll, coalesce(m3, 0.0) AS m3, coalesce(ms, 0.0) AS ms,
  coalesce(od.lt, 0.0) AS lt, coalesce(od.lts, 0.0) AS lts, coalesce(od.ltl, 0.0) AS ltl, coalesce(u, 0) AS u, CASE WHEN o7 > 0 THEN so / o7 * 100 ELSE 0.0 END AS share, CASE WHEN o14 > 0 THEN o7 / (o14 / 2) END AS mom FROM sig LEFT JOIN od USING (s, c) LEFT JOIN se USING (s, c) LEFT JOIN new USING (s, c))
-SELECT s AS series_id, c::VARCHAR AS cutoff, nd::VARCHAR AS feature_max_date, lvl AS risk_level, outcome, round(th, 2) AS large_order_threshold, o3 AS orders_3, o7 AS orders_7, o14 AS orders_14, l3 AS large_orders_3, l7 AS large_orders_7, l14 AS large_orders_14, ls AS specialist_large_orders_7, ll AS longhaul_large_orders_7, round(m3, 2) AS max_order_3, round(ms, 2) AS specialist_max_order_7, round(lt, 2) AS large_total_7, u AS unique_salespersons_7, round(share, 4) AS top_seller_order_share_7, round(mom, 4) AS order_momentum,
+SELECT s AS series_id, c::VARCHAR AS cutoff, nd::VARCHAR AS feature_max_date, lvl AS risk_level, outcome, round(th, 6) AS large_order_threshold, o3 AS orders_3, o7 AS orders_7, o14 AS orders_14, l3 AS large_orders_3, l7 AS large_orders_7, l14 AS large_orders_14, ls AS specialist_large_orders_7, ll AS longhaul_large_orders_7, round(m3, 2) AS max_order_3, round(ms, 2) AS specialist_max_order_7, round(lt, 2) AS large_total_7, u AS unique_salespersons_7, round(share, 4) AS top_seller_order_share_7, round(mom, 4) AS order_momentum,
  CASE WHEN l3 >= 1 AND m3 >= 180000 AND (ls >= 1 OR ll >= 1) AND u >= 3 AND share <= 55 AND mom >= 1.05 THEN 'Event Pre-spike' WHEN l7 >= 1 AND l3 = 0 AND (mom <= 0.82 OR share >= 50) THEN 'Event Cooldown' WHEN l7 >= 1 OR lts > 0 OR ltl > 0 THEN 'Event Volatile' ELSE 'Event Normal' END AS event_class FROM e""",
 )
 def r13_every(t):
-    detail, days = _series_detail(t)
-    days = cut_lineage(days)
-    states = cut_lineage(sg.order_states(days, detail))
-    events = sg.event_detail(sg.spike_detail(detail, days, _calendar(t), states), days, states)
+    _, days, states, signals = _series_signals(t)
+    events = sg.event_detail(signals, days, states)
     out = events.select(
         "series_id", "cutoff", "feature_max_date", "risk_level", "outcome", "large_order_threshold", *[F.col(c).cast("long").alias(c) for c in ("orders_3", "orders_7", "orders_14", "large_orders_3", "large_orders_7", "large_orders_14", "specialist_large_orders_7", "longhaul_large_orders_7", "unique_salespersons_7")],
         "max_order_3", "specialist_max_order_7", "large_total_7", "top_seller_order_share_7", "order_momentum", "event_class",
     )
-    return rounded(rounded(texted(out), 4), 2, "large_order_threshold", "max_order_3", "specialist_max_order_7", "large_total_7")
+    shares = [f for f in out.columns if f.endswith(("share_7", "momentum")) or f in ("volatility_7", "pace_vs_14")]
+    return rounded(rounded(rounded(texted(out), 6, "large_order_threshold"), 4, *shares), 2, "max_order_3", "specialist_max_order_7", "large_total_7")
+
+
+_EVENTS_OF = "SELECT sig.*, CASE WHEN od.l3 >= 1 AND od.m3 >= 180000 AND (od.ls >= 1 OR od.ll >= 1) AND u >= 3 AND so / o7 * 100 <= 55 AND o7 / (o14 / 2) >= 1.05 THEN 'Event Pre-spike' WHEN od.l7 >= 1 AND od.l3 = 0 AND (o7 / (o14 / 2) <= 0.82 OR so / o7 * 100 >= 50) THEN 'Event Cooldown' WHEN od.l7 >= 1 OR lts > 0 OR ltl > 0 THEN 'Event Volatile' ELSE 'Event Normal' END AS kind FROM sig LEFT JOIN od USING (s, c) LEFT JOIN se USING (s, c)"
+# tracks beside the base as factors of it
+_BESIDE = ((fc.STRATEGY_TOTAL, fc.BASE_TRACK, 1.0), (fc.STRATEGY_ADJUSTMENT, fc.ADJUSTMENTS[3], 1.1), (fc.STRATEGY_ADJUSTMENT, fc.ADJUSTMENTS[0], 0.9), (fc.STRATEGY_BASELINE, "mtd_pace", 1.05), (fc.STRATEGY_BASELINE, "hybrid", 0.95))
+
+
+@query(
+    "R15_selector_every_series",
+    f"""WITH {_SPIKES}, q AS (SELECT *, (err + actual) * 1.1 AS fl, (err + actual) * 0.9 AS lo_, ((err + actual) * 1.05 + (err + actual) * 0.95 + (err + actual) * 1.1) / 3 AS bl, coalesce(lh >= 55 AND (sp >= 30 OR spm >= 1.35) AND mx >= 250000, false) AS pat, mx >= 700000 AND ts >= 55 AS rep FROM sig),
+r AS (SELECT s, c, actual, lvl, score, unnest([
+ {{'m': 'conservative', 'v': CASE WHEN lvl = 'Low' THEN lo_ WHEN lvl = 'Medium' THEN least(fl, greatest(lo_, bl)) WHEN pat AND post AND NOT rep THEN least(greatest(fl * 1.20, fl + mx * 0.65), fl * 2.10) WHEN pat AND edge AND rep THEN least(fl + mx * 0.18, fl * 1.65) ELSE fl END,
+  'r': CASE WHEN lvl = 'Low' THEN 'low-risk-cap' WHEN lvl = 'Medium' THEN 'medium-risk-guardrail' WHEN pat AND post AND NOT rep THEN 'post-holiday-longhaul-specialist-uplift' WHEN pat AND edge AND rep THEN 'month-end-large-order-light-uplift' ELSE 'high-risk-held' END}},
+ {{'m': 'uplift', 'v': CASE WHEN lvl = 'Low' THEN fl WHEN lvl = 'Medium' THEN greatest(fl, bl) WHEN pat THEN least(greatest(fl * (1.10 + least(0.55, greatest(0, score - 4) * 0.08) + CASE WHEN post THEN 0.15 ELSE 0.0 END + CASE WHEN edge THEN 0.08 ELSE 0.0 END), fl + mx * 0.55), fl * 2.60) ELSE fl END,
+  'r': CASE WHEN lvl = 'Low' THEN 'low-risk-base' WHEN lvl = 'Medium' THEN 'medium-risk-pace-blend' WHEN pat THEN 'broad-high-risk-uplift' ELSE 'high-risk-no-core-pattern' END}},
+ {{'m': 'hybrid_selector', 'v': CASE WHEN lvl = 'Low' THEN least(fl, bl * 1.10) WHEN lvl = 'Medium' THEN 0.65 * fl + 0.35 * bl WHEN rep AND NOT post THEN fl * 0.88 WHEN pat AND (post OR (edge AND sp >= 50)) THEN least(greatest(fl * 1.18, fl + mx * 0.35), fl * 2.00) WHEN lh >= 55 AND score >= 6 AND NOT rep THEN fl * 1.12 ELSE fl END,
+  'r': CASE WHEN lvl = 'Low' THEN 'low-risk-baseline-guardrail' WHEN lvl = 'Medium' THEN 'medium-risk-hybrid-blend' WHEN rep AND NOT post THEN 'post-spike-cooldown-cap' WHEN pat AND (post OR (edge AND sp >= 50)) THEN 'hybrid-selective-uplift' WHEN lh >= 55 AND score >= 6 AND NOT rep THEN 'hybrid-longhaul-small-uplift' ELSE 'hybrid-held' END}}]) AS x FROM q)
+SELECT s AS series_id, c::VARCHAR AS cutoff, x.m AS model, round(actual, 2) AS actual, round(greatest(0.0, x.v), 6) AS prediction, x.r AS selected_rule, lvl AS risk_level FROM r""",
+)
+def r15_every(t):
+    detail, _, _, signals = _series_signals(t)
+    tracks = F.explode(F.array(*[F.struct(F.lit(a).alias("strategy"), F.lit(m).alias("model"), F.lit(k).alias("k")) for a, m, k in _BESIDE]))
+    wide = detail.drop("strategy", "model").withColumn("m", tracks).withColumns({"strategy": F.col("m.strategy"), "model": F.col("m.model"), "prediction": F.col("prediction") * F.col("m.k")}).drop("m")
+    out = sg.spike_aware_selector(wide, signals)
+    return rounded(texted(out.select("series_id", "cutoff", "model", "actual", "prediction", "selected_rule", "risk_level")), 6, "prediction").withColumn("actual", F.round("actual", 2))
+
+
+@query(
+    "R17_two_lanes_every_series",
+    f"""WITH {_SPIKES}, ev AS ({_EVENTS_OF}), l AS (SELECT s, c, kind, err + actual AS b, lane, (err + actual) * k AS v, mode FROM ev, (VALUES ('downside_guardrail', 0.9), ('tight_guardrail', 0.85), ('bias_guardrail', 1.05), ('quantile_guardrail', 0.95)) AS t(lane, k), (SELECT unnest(['downside_only', 'conservative', 'normal_guardrail']) AS mode))
+SELECT s AS series_id, c::VARCHAR AS cutoff, lane, mode AS model, kind AS event_class, round(CASE WHEN kind = 'Event Cooldown' OR (mode <> 'downside_only' AND kind = 'Event Normal') THEN least(b, v) WHEN mode = 'normal_guardrail' AND kind = 'Event Volatile' THEN 0.82 * b + 0.18 * v ELSE b END, 6) AS prediction,
+ CASE WHEN mode = 'downside_only' AND kind = 'Event Cooldown' THEN 'cooldown-downside-only' WHEN mode <> 'downside_only' AND kind IN ('Event Cooldown', 'Event Normal') THEN 'cooldown-or-normal-downside' WHEN mode = 'normal_guardrail' AND kind = 'Event Volatile' THEN 'volatile-small-normal-blend' ELSE 'hold-base' END AS rule FROM l""",
+)
+def r17_every(t):
+    detail, days, states, signals = _series_signals(t)
+    events = sg.event_detail(signals, days, states)
+    lanes = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k")) for m, k in zip(sg.LANES, (0.9, 0.85, 1.05, 0.95))]))
+    normal = detail.select("series_id", "cutoff", "actual_date", "prediction", lanes.alias("m")).select("series_id", "cutoff", "actual_date", "m.model", (F.col("prediction") * F.col("m.k")).alias("prediction"))
+    out = sg.two_lane_detail(events, normal)
+    return rounded(texted(out.select("series_id", "cutoff", "lane", "model", "event_class", "prediction", "rule")), 6)
 
 
 @query(

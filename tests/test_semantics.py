@@ -1,8 +1,11 @@
 """Rules on small literal frames, with results worked out by hand."""
 
+import collections
 import datetime as dt
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from tallyspark.functions.quantile import exact_quantile, top_share_sum
 from tallyspark.operators import diff, drivers, exclusions, gates, quality, refunds, resolve, scope, similar
 from tallyspark.operators import series as series_ops
 from tallyspark.operators.mart import Mart, tag_tables
-from tallyspark.plans import backtest, forecast, signals
+from tallyspark.plans import backtest, forecast, leads, signals
 from tallyspark.roles import SHEET_HEADINGS, normalize_receipts, to_headings, to_roles
 from tallyspark.rules import BusinessRules, load_rules
 from tallyspark.sources import calendar, store, tabular
@@ -383,6 +386,59 @@ def test_signals_never_read_past_the_cutoff(spark):
     assert limits[10] == pytest.approx(95.5) and limits[20] == pytest.approx(190.5)
 
 
+def test_series_states_equal_a_scan_of_the_receipts(spark):
+    # orders that come back, a blank seller, a null order and a series that ends early
+    rng = random.Random(5)
+    start = dt.date(2026, 1, 1)
+    rows = []
+    for i in range(400):
+        branch = rng.choice(["x", "x", "x", "y", None])
+        day = start + dt.timedelta(days=rng.randrange(25 if branch == "y" else 50))
+        rows.append((day, rng.choice([f"o{rng.randrange(60)}", None]) if i % 40 == 0 else f"o{rng.randrange(60)}", rng.choice(["s", "t", " ", None]), i % 3 == 0, i % 4 == 0, i % 5 == 0, float(rng.randrange(1, 90)), branch))
+    source = spark.createDataFrame(rows, "date date, order_id string, salesperson string, at_desk boolean, is_specialist boolean, is_long_haul boolean, amount double, branch string")
+    days = leads.order_days(source, F.col("branch"))
+    asked = [(n, start + dt.timedelta(days=k)) for n in ("all", "x", "y") for k in range(10, 60, 3)]
+    cuts = spark.createDataFrame(asked, "series_id string, cutoff date")
+    limits = {(r.series_id, r.cutoff): r.large_order_threshold for r in leads.large_order_threshold(days, cuts, floor=0.0).collect()}
+    found = {(r.series_id, r.cutoff): r for r in leads.order_window_stats(days, cuts, leads.large_order_threshold(days, cuts, floor=0.0)).collect()}
+    sums = {(r.series_id, r.cutoff): r for r in leads.window_stats(days, cuts).collect()}
+
+    def held(rows, value=lambda r: r[6]):
+        out = collections.defaultdict(float)
+        for r in rows:
+            out[r[1]] += value(r)
+        return out
+
+    seen = 0
+    for name, cut in asked:
+        mine = [r for r in rows if name in ("all", r[7]) and r[0] <= cut]
+        totals = sorted(held(mine).values())
+        assert limits[name, cut] == pytest.approx(np.quantile(totals, 0.95))
+        age = lambda n: [r for r in mine if (cut - r[0]).days < n]
+        assert ((name, cut) in sums) == bool(age(28)) and ((name, cut) in found) == bool(age(14))
+        if age(28):
+            assert sums[name, cut].total_28 == sum(r[6] for r in age(28)) and sums[name, cut].specialist_7 == sum(r[6] for r in age(7) if r[3])
+        if not age(14):
+            continue
+        seen += 1
+        got, limit = found[name, cut], limits[name, cut]
+        for n in (3, 7, 14):
+            orders = held(age(n))
+            assert got[f"orders_{n}"] == len(orders) and got[f"max_order_{n}"] == max(orders.values(), default=0.0)
+            assert got[f"large_orders_{n}"] == sum(v >= limit for v in orders.values())
+        special = held([r for r in age(7) if r[4]])
+        assert got.specialist_orders_7 == len(special) and got.specialist_large_total_7 == sum(v for v in special.values() if v >= limit)
+        sellers, amounts = collections.defaultdict(set), collections.defaultdict(float)
+        for r in age(7):
+            seller = (r[2] or "").strip()
+            sellers[seller] |= {r[1]} - {None}
+            amounts[seller] += r[6]
+        assert got.unique_salespersons_7 == len(amounts) and got.top_seller_amount_7 == max(amounts.values(), default=0.0)
+        most = max((len(v) for v in sellers.values()), default=0)
+        assert got.top_seller_order_share_7 == pytest.approx(most / got.orders_7 * 100 if got.orders_7 else 0.0)
+    assert seen > 30
+
+
 def test_bounded_weights(spark):
     data = [("k", "smoothed", 1.0), ("k", "trend", 50.0), ("k", "bounded", 50.0)]
     out = backtest.inverse_weights(spark.createDataFrame(data, "horizon string, model string, wape double"), ["horizon"]).first()
