@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.errors import with_errors
 from tallyspark.operators import series as s
 from tallyspark.plans import backtest as b
+from tallyspark.plans import boosting
 from tallyspark.plans import forecast as fc
 from tallyspark.plans import governance as g
 from tallyspark.plans import report as rep
@@ -769,6 +770,32 @@ def c40(t):
     return g.forecast_read_model(tracks, weights, _report(t).series, _macro(t)["summary"])["daily"]
 
 
+_LAG_NAMES = tuple(f"lag_{n}" for n in s.LAGS)
+
+
+@query(
+    "R04_first_splits",
+    f"""WITH {TS_SQL}, cut AS (SELECT unnest(generate_series((SELECT m FROM top) - 30, (SELECT m FROM top) - 1, INTERVAL 1 DAY))::DATE AS c),
+y AS (SELECT d, round(v * 100)::BIGINT AS y FROM ts WHERE line = 'total'), m AS (SELECT d, y, {", ".join(f"lag(y, {n}) OVER (ORDER BY d) AS lag_{n}" for n in s.LAGS)} FROM y),
+long AS (SELECT d, y, lag_{max(s.LAGS)} IS NOT NULL AS whole, unnest(range({len(s.LAGS)})) AS feature, unnest([{", ".join(_LAG_NAMES)}])::DOUBLE AS x FROM m),
+edges AS (SELECT feature, quantile_cont(x, {[k / boosting.BINS for k in range(1, boosting.BINS)]}) AS e FROM long WHERE d <= (SELECT min(c) FROM cut) GROUP BY 1),
+cells AS (SELECT c, feature, len(list_filter(e, lambda q: q < x)) AS bin, sum(y)::BIGINT AS s, count(*) AS n FROM long JOIN edges USING (feature) JOIN cut ON d <= c WHERE whole GROUP BY 1, 2, 3),
+u AS (SELECT c, feature, bin, sum(s) OVER w::DOUBLE AS ls, sum(n) OVER w AS ln, sum(s) OVER (PARTITION BY c, feature)::DOUBLE AS s, sum(n) OVER (PARTITION BY c, feature) AS n FROM cells WINDOW w AS (PARTITION BY c, feature ORDER BY bin)),
+g AS (SELECT *, ls * ls / ln + (s - ls) * (s - ls) / (n - ln) AS gain FROM u WHERE ln >= {boosting.LEAST_ROWS} AND n - ln >= {boosting.LEAST_ROWS}), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY gain DESC, feature, bin) AS rn FROM g WHERE gain > s * s / n)
+SELECT c::VARCHAR AS cutoff, feature::INTEGER AS feature, bin::INTEGER AS bin, ln::BIGINT AS left_rows, ls::BIGINT AS left_sum FROM r WHERE rn = 1""",
+)
+def r04_splits(t):
+    """The first split of every cutoff's model, over the lags."""
+    series = _series(t).where(F.col("line") == s.TOTAL)
+    cutoffs = s.cutoff_days(series, 30, (1,))
+    matrix = cut_lineage(s.lag_features(series.withColumn("revenue", F.round(F.col("revenue") * 100))))
+    rows = boosting.training_rows(matrix, _LAG_NAMES, boosting.bin_edges(matrix, _LAG_NAMES, cutoffs), cutoffs)
+    best = boosting.best_splits(rows.withColumns({"residual": F.col("label"), "node": F.lit(1)}))
+    return texted(best.select("cutoff", "feature", "bin", "left_rows", "left_sum"))
+
+
 @query("R04_learned_track")
 def r04(t):
-    return fc.learned_track(_report(t).series, _report(t).calendar, steps=AHEAD)
+    """The total, thirty days ahead from each of the last thirty days."""
+    series = cut_lineage(_series(t).where(F.col("line") == s.TOTAL))
+    return fc.learned_track(series, _calendar(t), s.cutoff_days(series, 30, (1,)), AHEAD)
