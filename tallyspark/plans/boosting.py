@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.series import KEYS, history_to, let
-from tallyspark.session import cut_lineage
+from tallyspark.session import written
 
 MODEL = (*KEYS, "cutoff")
 BINS = 16
@@ -87,7 +87,7 @@ def grow(rows: DataFrame, depth: int) -> DataFrame:
     work = rows.withColumns({"residual": F.col("label") - F.col("made"), "node": F.lit(1), "path": none})
     for _ in range(depth):
         # a few rows for each model, written before the next level names them twice
-        splits = cut_lineage(best_splits(work).select(*node, "feature", "bin"))
+        splits = written(best_splits(work).select(*node, "feature", "bin"))
         work = work.join(splits, node, "left")
         right = F.col("codes")[F.col("feature")] > F.col("bin")
         turn = F.struct("feature", "bin", right.alias("right"))
@@ -107,7 +107,7 @@ def fit(rows: DataFrame, trees: int, depth: int) -> DataFrame:
     leaves = None
     for _ in range(trees):
         # a tree is written once; its days and its leaves are read from there
-        grown = cut_lineage(grow(state, depth))
+        grown = written(grow(state, depth))
         found = grown.groupBy(*MODEL, "node").agg(F.any_value("start").alias("start"), F.any_value("path").alias("path"), F.any_value("step").alias("step"))
         leaves = found if leaves is None else leaves.unionByName(found)
         state = grown.withColumn("made", F.col("made") + F.col("step")).drop("node", "path", "step")

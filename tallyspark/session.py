@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 RUNTIME_CONF = {
@@ -38,12 +40,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return tune(spark)
 
 
-def cut_lineage(df):
-    """Materialise ``df`` in the folder of ``spark.checkpoint.dir``, so a lost executor costs no recomputation.
-
-    On one machine, where it may be unset, the warehouse folder is taken instead.
-    """
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; on one machine, where it may be unset, a folder of the warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,4 +50,20 @@ def cut_lineage(df):
                 raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
             folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the folder of ``spark.checkpoint.dir``, so a lost executor costs no recomputation."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df):
+    """``df`` as a table in the folder of ``spark.checkpoint.dir``, for loops that join what they made before.
+
+    A checkpoint keeps the size that was estimated for its plan, which multiplies with every join; a table has its real one.
+    """
+    path = f"{_checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
