@@ -156,6 +156,25 @@ def j18(t):
     return rounded(out.select("row_key", "live_amount", "candidate_amount", "amount_delta", "live_rows", "candidate_rows", "row_state"), 2)
 
 
+_TOLD = ", ".join(f"coalesce({c}, '')" for c in ("order_id", "order_id", "receipt_type", "pay_method", "branch", "sub_branch", "salesperson"))
+
+
+@query(
+    "J18_receipt_pairs",
+    f"""WITH {_ORDERS_SQL}, k AS (SELECT 'receipt::' || order_id AS row_key, round(amount, 2) AS amount, md5(concat_ws('|', {_TOLD}, strftime(unified_date, '%Y-%m-%d'), printf('%.2f', amount))) AS print, is_live FROM sides WHERE order_id IN (SELECT order_id FROM m)),
+n AS (SELECT row_key, print, amount, sum(CASE WHEN is_live THEN 1 ELSE -1 END) AS n FROM k GROUP BY 1, 2, 3 HAVING n <> 0), e AS (SELECT row_key, print, amount, n > 0 AS is_live, unnest(range(abs(n)::BIGINT)) AS copy FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_key, is_live ORDER BY print, copy) AS ordinal FROM e), a AS (SELECT * FROM r WHERE is_live), b AS (SELECT * FROM r WHERE NOT is_live)
+SELECT row_key, ordinal, coalesce(a.amount, 0.0) AS live_amount, coalesce(b.amount, 0.0) AS candidate_amount, round(coalesce(b.amount, 0.0) - coalesce(a.amount, 0.0), 2) AS amount_delta, CASE WHEN b.print IS NULL THEN 'left_only' WHEN a.print IS NULL THEN 'right_only' ELSE 'both' END AS row_state FROM a FULL JOIN b USING (row_key, ordinal)""",
+)
+def j18_pairs(t):
+    """Every receipt bears the number of its order, so that keys repeat."""
+    live, candidate = (diff.drift_frame(f) for f in _drift_sides(t))
+    orders = diff.order_diffs(live, candidate, 100.0)
+    shared = [f.withColumn("receipt_no", F.col("order_id")) for f in (live, candidate)]
+    out = diff.receipt_pairs(*shared, orders)
+    return rounded(out.select("row_key", "ordinal", "live_amount", "candidate_amount", "amount_delta", "row_state"), 2)
+
+
 @query("J20_candidate_rows", f"WITH {_ORDERS_SQL} SELECT count(*) FILTER (is_live) AS live_rows, count(*) FILTER (NOT is_live) AS candidate_rows FROM sides WHERE order_id IN (SELECT order_id FROM m)")
 def j20(t):
     live, candidate = (diff.drift_frame(f) for f in _drift_sides(t))

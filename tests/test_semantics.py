@@ -211,6 +211,20 @@ def test_matched_gate_skips_the_detail(spark):
     assert set(found) == {"state"} and tuple(found["state"].first()) == ("no_drift", "skipped_core_matched")
 
 
+def test_receipts_that_share_a_key_are_paired(spark):
+    schema = "order_id string, receipt_no string, receipt_type string, pay_method string, branch string, sub_branch string, salesperson string, day string, amount double"
+    one = lambda amount: ("O1", "R1", "a", "b", "c", "d", "e", "2024-01-01", amount)
+    live = spark.createDataFrame([one(5.0)] * 3000 + [one(7.0)] * 2, schema)
+    candidate = spark.createDataFrame([one(5.0)] * 1000 + [one(9.0)] * 3, schema)
+    orders = spark.createDataFrame([("O1",)], "order_id string")
+    found = diff.receipt_pairs(live, candidate, orders)
+    counts = {r.row_state: r["count"] for r in found.groupBy("row_state").count().collect()}
+    assert counts == {"both": 3, "left_only": 1999}
+    assert found.agg(F.sum("amount_delta")).first()[0] == 3 * 9.0 - 2 * 7.0 - 2000 * 5.0
+    assert found.select("row_key", "ordinal").distinct().count() == 2002
+    assert diff.receipt_pairs(live, live, orders).count() == diff.receipt_pairs(live, candidate, orders.limit(0)).count() == 0
+
+
 def test_every_drifting_order_has_a_driver_and_the_bundle_is_written(spark, tmp_path):
     live = receipts(spark, [(f"N{i}", 50.0 + i, "旅費", "現金", True) for i in range(80)]).withColumn("receipt_no", F.concat(F.lit("R"), "order_id"))
     found = diff.drift_diagnosis(live, live.withColumn("amount", F.col("amount") + 9), {"status": "drift", "delta_amount": 720.0})
