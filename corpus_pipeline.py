@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import common, copies, decontamination, packing, pii, toxicity
+from tallyspark.llm import common, copies, decontamination, packing, pii, simhash, toxicity
 
 
 def _unused(name: str, docs: DataFrame) -> str:
@@ -26,10 +26,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five-word shingles, similarity 0.8 or more): the smallest id, then the first by
-    text hash; repeated rows are one."""
+    text hash; repeated rows are one.
+
+    Texts whose SimHash fingerprints differ in 3 or fewer bits, as in ``op3_simhash``, are held against each other first;
+    shared rare shingles find the copies that lie further apart. Both are verified and chained."""
     key, tie = _unused("_key", docs), _unused("_tie", docs)
     least = F.lit(-(1 << 63))
-    heads = copies.representatives(docs).select(F.coalesce("doc_id", least).alias(key), F.col("tie").alias(tie))
+    heads = copies.representatives(docs, candidates=simhash.text_links(docs)).select(F.coalesce("doc_id", least).alias(key), F.col("tie").alias(tie))
     rows = docs.withColumns({key: F.coalesce(F.col("doc_id"), least), tie: F.xxhash64(common.utf8("text"))})
     return rows.join(heads.hint("merge"), [key, tie], "left_semi").dropDuplicates([key, tie]).select(docs.columns)
 

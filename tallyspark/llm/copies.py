@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import materialised, prepare, tasks_for, utf8
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.repeats import PART_BYTES, bucket_bits, short_keys
+from tallyspark.session import written
 
 WIDTH = 5
 SEED = 42
@@ -135,7 +136,7 @@ def _marking(bits: int):
                 for level in {level_of(len(s)), level_of(len(s) * UNDER // OVER)}:
                     part = (s >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(len(s), np.int64)
                     edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
-                    rows += [(None, None, node, len(s), None, None, level, int(part[a]), s[a:b].view(np.int64)) for a, b in zip(edges, edges[1:])]
+                    rows += [(tie, None, node, len(s), None, None, level, int(part[a]), s[a:b].view(np.int64)) for a, b in zip(edges, edges[1:])]
         first = pa.struct([("last", pa.bool_()), ("doc_id", pa.int64()), ("tie", pa.int64())])
         kinds = (pa.int64(), first, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.list_(pa.int64()))
         columns = ["tie", "first", "node", "n", "keys", "places", "level", "part", "s"]
@@ -183,10 +184,28 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.groupBy("u", "v", "n_u", "n_v").agg(alike.alias("alike")).where("alike").select("u", "v")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _distinct_parts(found: DataFrame) -> DataFrame:
+    """The stored sets, each once: those that several parts stored are the one of the smallest text hash. The sets stay in
+    the tasks that made them, as few are stored twice."""
+    stored = found.where(F.col("level").isNotNull())
+    owners = written(stored.groupBy("node").agg(F.min("tie").alias("owner"), F.max("tie").alias("most")).where("owner < most").select("node", "owner"))
+    return stored.join(owners, "node", "left").where(F.col("owner").isNull() | (F.col("owner") == F.col("tie"))).select("node", "level", "part", "s")
+
+
+def _pairs_of_texts(found: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pairs ``(u, v, n_u, n_v)`` of the sets of ``candidates(a, b)``, text hashes, whose sizes let them be alike."""
+    texts = found.where(F.col("level").isNull()).select("tie", F.struct("node", "n").alias("end"))
+    ends = [texts.select(F.col("tie").alias(c), F.col("end").alias(f"end_{c}")) for c in ("a", "b")]
+    both = candidates.join(ends[0], "a").join(ends[1], "b").select(F.least("end_a", "end_b").alias("x"), F.greatest("end_a", "end_b").alias("y"))
+    pairs = both.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.col("x.n").alias("n_u"), F.col("y.n").alias("n_v"))
+    return pairs.where((F.col("u") != F.col("v")) & near(F.col("n_u"), F.col("n_v"), F.lit(0), F.lit(0))).distinct()
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", candidates: DataFrame | None = None) -> DataFrame:
     """``(doc_id, tie)`` of one row of each group of chained copies: the smallest id (null last), then the smallest text hash.
 
-    Equal sets are folded first. Sets that share one of their rare shingles are in one bucket; sizes and the place of the
+    Pairs of text hashes ``candidates(a, b)``, as SimHash finds them, are verified and joined before the first round, which
+    then has only what they leave apart to look for. Equal sets are folded first. Sets that share one of their rare shingles are in one bucket; sizes and the place of the
     shingle rule most pairs out before their sets are looked at. In each round the members of a bucket that are not yet in
     one group are held against a few of them: first against the smallest, then against some drawn by hash, at last
     whatever is outside of a bucket's largest group against all of it. A group of many copies is joined after few rounds,
@@ -195,7 +214,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     found = materialised(marked(docs, id_col, text_col))
     heads = found.where(F.col("level").isNull()).groupBy("node").agg(F.min("first").alias("first"))
-    sets = materialised(found.where(F.col("level").isNotNull()).select("node", "level", "part", "s").dropDuplicates(["node", "level", "part"]))
+    sets = _distinct_parts(found)
     at = found.where(F.size("keys") > 0).select("node", "n", F.explode(F.arrays_zip("keys", "places")).alias("at"))
     entries = at.select(F.col("at.keys").alias("bucket"), "node", "n", F.col("at.places").alias("place")).dropDuplicates(["bucket", "node"])
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
@@ -204,6 +223,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = entries.coalesce(tasks)
 
     links = roots = None
+    if candidates is not None:
+        links = materialised(verified(_pairs_of_texts(found, candidates), sets).coalesce(tasks))
+        roots = connected_components(links)
     for few in PIVOTS:
         state = entries.withColumn("root", F.col("node")) if roots is None else entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = state.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root").alias("major")).where("lo < hi")

@@ -182,6 +182,17 @@ def near_duplicates(
     return marked.join(roots.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def text_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """``(a, b)``: text hashes of different texts whose fingerprints lie within ``radius`` bits; they chain the same texts as
+    all such pairs do, at one link for each text of a fingerprint and those of ``near_links``."""
+    marked = materialised(fingerprints(docs, id_col, text_col, width).select("tie", "fp").distinct())
+    least = marked.groupBy("fp").agg(F.min("tie").alias("least"))
+    same = marked.join(least, "fp").where("tie <> least").select(F.col("tie").alias("a"), F.col("least").alias("b"))
+    ends = [least.select(F.col("fp").alias(fp), F.col("least").alias(tie)) for fp, tie in (("u", "a"), ("v", "b"))]
+    apart = near_links(marked.select("fp").distinct(), radius).distinct().join(ends[0], "u").join(ends[1], "v").select("a", "b")
+    return same.unionByName(apart)
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, tie)`` of one row of each component: the smallest id (null last), then the smallest text hash."""
     marked = materialised(fingerprints(docs, id_col, text_col, width))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tallyspark.llm import copies
+from tallyspark.llm import copies, simhash
 
 
 def plain_sets(texts):
@@ -80,6 +80,40 @@ def test_dense_groups_and_long_texts_are_those_of_all_pairs(spark, frame, small)
     check(rows, [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, frame(rows), small).collect()])
 
 
+def test_fingerprints_within_three_bits_find_copies_by_themselves(spark, frame, small, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    rows = []
+    for i in range(40):
+        body = [rng.choice(words) for _ in range(300)]
+        new = body[:]
+        for at in rng.sample(range(300), 1 + i % 3):
+            new[at] = rng.choice(words)
+        rows += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(new))]
+    # the repeated shingle alone decides these fingerprints, and the other shingles make no copies
+    rows += [(1000 + i, " ".join(["aa"] * 900 + [rng.choice(words) for _ in range(60)])) for i in range(2)]
+    prints = [simhash.fingerprint(t.encode()) for _, t in rows]
+    near = [bin(a ^ b).count("1") <= 3 for a, b in zip(prints[::2], prints[1::2])]
+    assert 10 < sum(near) < 39 and near[-1]
+    links = {frozenset((r.a, r.b)) for r in simhash.text_links(frame(rows)).collect()}
+    ties = dict(frame(rows).selectExpr("doc_id", "xxhash64(cast(text as binary))").collect())
+    assert links == {frozenset((ties[rows[2 * i][0]], ties[rows[2 * i + 1][0]])) for i, x in enumerate(near) if x}
+    monkeypatch.setattr(copies, "PIVOTS", ())  # without the search by shared shingles
+    out = corpus_pipeline.drop_near_duplicates(spark, frame(rows), small)
+    assert {r.doc_id for r in out.collect()} == {d for d, _ in rows} - {2 * i + 1 for i, x in enumerate(near[:-1]) if x}
+
+
+def test_sets_of_texts_in_several_parts_are_counted_once(spark, frame, small):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    rows = []
+    for i in range(40):
+        body = [rng.choice(words) for _ in range(100)]
+        other = body[:30] + [rng.choice(words) for _ in range(70 if i % 2 else 3)] + body[33:]
+        rows += [(10 * i + j, sep.join(some)) for j, (sep, some) in enumerate([(" ", body), ("  ", body), ("\n", body), (" ", other), ("\t", other)])]
+    check(rows, [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, frame(rows), small).collect()])
+
+
 def test_pairs_are_verified_in_parts():
     sizes = list(range(1, 9000, 7))
     assert all(copies.level_of(n) == 0 for n in sizes if n <= 2048) and copies.level_of(2049) == 1 and copies.level_of(8193) == 3
