@@ -275,7 +275,7 @@ def c38(t):
 @query("C38_edited_state_print", f"WITH {_STATE_SQL}, j AS ({_PRINT_SQL.replace('|| minor ||', '|| (minor + 1) ||')}), h AS (SELECT sha256(j) AS h FROM j) SELECT count(*) AS refunds, sha256(concat_ws('|', count(*)::VARCHAR, {_PRINT_SUMS})) AS state_print FROM h")
 def c38_edited(t):
     """The print of the same state with every amount a cent up, its rows dealt out anew."""
-    return refunds.state_fingerprint(_state(t).withColumn("refund_amount_minor", F.col("refund_amount_minor") + 1).repartition(5))
+    return refunds.state_fingerprint(_state(t).withColumn("refund_amount_minor", F.col("refund_amount_minor") + 1).repartition("refund_no"))
 
 
 @query("C39_active_read_model", f"WITH {_STATE_SQL}, a AS (SELECT '總退款' AS refund_dimension, m, orig FROM so LEFT JOIN fo USING (order_id) UNION ALL SELECT '已退款', m, orig FROM sp LEFT JOIN fo USING (order_id)) SELECT refund_dimension, count(*) AS source_orders, count(orig) AS matched_orders, round(sum(m) / 100, 2) AS refund_total, round(sum(least(m, coalesce(orig, 0))) / 100, 2) AS applied_amount FROM a GROUP BY 1")

@@ -508,3 +508,15 @@ def test_closest_texts_are_those_of_all_pairs(spark, cutoff):
     got = {r.text: r.close for r in similar.closest(*frames, cutoff).collect()}
     assert got == {v: hit[0] for v in values if (hit := difflib.get_close_matches(v, listed, n=1, cutoff=cutoff))}
     assert similar.closest(frames[0], frames[1].limit(0), cutoff).count() == similar.closest(frames[0].limit(0), frames[1], cutoff).count() == 0
+
+
+def test_refund_texts_are_normalised_once_for_all_that_reads_them(spark):
+    file = spark.createDataFrame(
+        [(1, "ＲＦ１", "　A-1", "1,000.5", "已退款 ", None), (2, "ＲＦ１", "A-1", "5", "已退款 ", "ＵＳＤ"), (3, "", "A-2", "5", None, None), (4, "R2", "A-2", "x", "已退款", "")],
+        "line long, refund_no string, order_id string, refund_amount string, refund_status string, currency string",
+    )
+    rows, refused = refunds.observations(file, ["line"])
+    assert not any("EvalPython" in df._jdf.queryExecution().toString() for df in (rows, refused))
+    got = [(r.line, r.refund_no, r.source_receipt_no, r.refund_status, r.refund_amount_minor, r.currency_code, r.refund_date) for r in rows.collect()]
+    assert sorted(got) == [(1, "RF1", "A-1", "已退款", 100050, "HKD", None), (2, "RF1", "A-1", "已退款", 500, "USD", None)]
+    assert sorted((r.line, r.blocking_code) for r in refused.collect()) == [(3, "EMPTY_REFUND_ORDER_NO"), (4, "INVALID_REFUND_AMOUNT")]
