@@ -51,13 +51,22 @@ def _asked(cutoffs: DataFrame) -> DataFrame:
     return with_series(cutoffs).select(*AT).distinct()
 
 
+def _with_own(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """Rows with the one row that ``own`` holds of their series.
+
+    The few rows of ``own`` are sent to the rows. A join that deals both sides out by the series puts all rows of a large
+    series into one task, and what is aggregated after it stays there.
+    """
+    return rows.join(F.broadcast(own), SERIES)
+
+
 def _near(days: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     """Rows that some window of the series can hold."""
     reach = asked.groupBy(SERIES).agg(F.date_sub(F.min("cutoff"), width - 1).alias("_first"), F.max("cutoff").alias("_last"))
     # a plain range over all series first: it reaches below the aggregation, so old days are never summed
     whole = attach_one_row(days, reach.agg(F.min("_first").alias("_from"), F.max("_last").alias("_to")))
     whole = whole.where(F.col("date").between(F.col("_from"), F.col("_to"))).select(*days.columns)
-    return whole.join(reach, SERIES).where(F.col("date").between(F.col("_first"), F.col("_last"))).select(*days.columns)
+    return _with_own(whole, reach).where(F.col("date").between(F.col("_first"), F.col("_last"))).select(*days.columns)
 
 
 def _track(*keys: str):
@@ -163,7 +172,7 @@ def large_order_threshold(days: DataFrame, cutoffs: DataFrame, floor: float = LA
     asked = _asked(cutoffs)
     listed = asked.groupBy(SERIES).agg(F.array_sort(F.collect_set("cutoff")).alias("_cutoffs"))
     ends = listed.select(SERIES, F.col("_cutoffs")[0].alias("_first"), F.element_at("_cutoffs", -1).alias("_last"))
-    work = with_series(days).groupBy(SERIES, "order_id", "date").agg(F.sum("amount").alias("amount")).join(ends, SERIES)
+    work = _with_own(with_series(days).groupBy(SERIES, "order_id", "date").agg(F.sum("amount").alias("amount")), ends)
     early = F.col("date") <= F.col("_first")
     between = ~early & (F.col("date") <= F.col("_last"))
     per_order = work.groupBy(SERIES, "order_id").agg(
@@ -173,7 +182,7 @@ def large_order_threshold(days: DataFrame, cutoffs: DataFrame, floor: float = LA
     # read four times below: written once, an order a row
     per_order = cut_lineage(per_order)
     settled = per_order.where((F.size("_later") == 0) & F.col("_base").isNotNull()).select(SERIES, F.col("_base").alias("v"))
-    moving = per_order.where(F.size("_later") > 0).join(listed, SERIES).select(SERIES, "_base", "_later", F.explode("_cutoffs").alias("cutoff"))
+    moving = _with_own(per_order.where(F.size("_later") > 0), listed).select(SERIES, "_base", "_later", F.explode("_cutoffs").alias("cutoff"))
     known = F.filter("_later", lambda x: x["date"] <= F.col("cutoff"))
     later = F.aggregate(known, F.lit(0.0), lambda a, x: a + x["amount"])
     moving = moving.where(F.col("_base").isNotNull() | (F.size(known) > 0)).select(*AT, (F.coalesce("_base", F.lit(0.0)) + later).alias("v"))
@@ -190,13 +199,15 @@ def large_order_threshold(days: DataFrame, cutoffs: DataFrame, floor: float = LA
         F.coalesce(F.when(low >= 0, F.get("_marks", low)), F.lit(float("-inf"))).alias("_lo"),
         F.coalesce(F.get("_marks", high), F.lit(float("inf"))).alias("_hi"),
     )
+    # read three times below: written once, a cutoff a row
+    wanted = cut_lineage(wanted)
     bracket = wanted.groupBy(SERIES).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     under, inside = F.col("v") < F.col("_lo"), F.col("v") <= F.col("_hi")
     # what lies under the bracket is one row of minus infinity
     value = F.when(under, F.lit(float("-inf"))).otherwise(F.col("v")).alias("v")
-    shared = settled.join(bracket, SERIES).where(inside).groupBy(SERIES, value).agg(F.count(F.lit(1)).alias("n"))
-    own = moving.join(bracket, SERIES).where(inside).groupBy(*AT, value).agg(F.count(F.lit(1)).alias("n"))
-    each = shared.join(listed, SERIES).select(SERIES, F.explode("_cutoffs").alias("cutoff"), "v", "n").unionByName(own)
+    shared = _with_own(settled, bracket).where(inside).groupBy(SERIES, value).agg(F.count(F.lit(1)).alias("n"))
+    own = _with_own(moving, bracket).where(inside).groupBy(*AT, value).agg(F.count(F.lit(1)).alias("n"))
+    each = _with_own(shared, listed).select(SERIES, F.explode("_cutoffs").alias("cutoff"), "v", "n").unionByName(own)
     order = Window.partitionBy(*AT).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = each.groupBy(*AT, "v").agg(F.sum("n").alias("n")).withColumn("_cum", F.sum("n").over(order)).join(wanted.select(*AT, "_rank"), AT)
     sides = ranked.groupBy(*AT, "_rank").agg(
@@ -211,7 +222,7 @@ def _large_orders(held: DataFrame, limits: DataFrame) -> DataFrame:
     per_series = limits.groupBy(SERIES).agg(F.array_sort(F.collect_list(F.struct("cutoff", "large_order_threshold"))).alias("_limits"))
     most = F.greatest(*[F.col(f"a_{name}{n}") for name, n in ORDER_STATES])
     hit = F.filter("_limits", lambda x: (x["cutoff"] >= F.col("date")) & (x["cutoff"] < F.col("until")) & (x["large_order_threshold"] <= most))
-    rows = held.join(per_series, SERIES).withColumn("_l", F.explode(hit))
+    rows = _with_own(held, per_series).withColumn("_l", F.explode(hit))
     out = []
     for name, n in ORDER_STATES:
         amount = F.col(f"a_{name}{n}")

@@ -4,6 +4,7 @@ import collections
 import datetime as dt
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -453,6 +454,26 @@ def test_series_states_equal_a_scan_of_the_receipts(spark):
     assert seen > 30
 
 
+def test_trailing_states_do_not_deal_rows_out_by_series(spark):
+    """One series can hold all rows: they are met by what is known of their series, not gathered into its task."""
+    days = spark.createDataFrame(
+        [("all", dt.date(2024, 1, 1 + i % 20), f"O{i % 40}", f"S{i % 3}", False, False, True, float(i), 1) for i in range(200)],
+        "series_id string, date date, order_id string, salesperson string, at_desk boolean, is_specialist boolean, is_long_haul boolean, amount double, receipts long",
+    )
+    cuts = spark.createDataFrame([("all", dt.date(2024, 1, d)) for d in (10, 15, 18)], "series_id string, cutoff date")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        limits = leads.large_order_threshold(days, cuts, floor=0.0)
+        frames = (limits, leads.order_window_stats(days, cuts, limits), leads.window_stats(days, cuts), leads.newest_day(days, cuts, 14))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in frames]
+        rows = {r.cutoff.day: r for r in frames[1].collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert not any(re.search(r"SortMergeJoin \[series_id#\d+\],", plan) for plan in plans)
+    assert (rows[18].orders_14, rows[18].unique_salespersons_7) == (28, 3)
+
+
 def test_bounded_weights(spark):
     data = [("k", "smoothed", 1.0), ("k", "trend", 50.0), ("k", "bounded", 50.0)]
     out = backtest.inverse_weights(spark.createDataFrame(data, "horizon string, model string, wape double"), ["horizon"]).first()
