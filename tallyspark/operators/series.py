@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.dates import month_key
 from tallyspark.operators.mart import LINES
+from tallyspark.session import cut_lineage
 
 TOTAL = "total"
 LAGS = (1, 2, 7, 14, 28)
@@ -32,7 +33,11 @@ def daily_lines(receipts: DataFrame, cruise_depts, series: Column | None = None)
 
 
 def fill_days(daily: DataFrame, values: list[str]) -> DataFrame:
-    """Every day from the series' first to its last, absent days as zero."""
+    """Every day from the series' first to its last, absent days as zero.
+
+    The days are written once: their span and their values are read from there, not worked out from the receipts twice.
+    """
+    daily = cut_lineage(daily)
     span = daily.groupBy("series_id").agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
     days = span.select("series_id", F.explode(F.sequence("_a", "_b")).alias("date"))
     return days.join(daily, ["series_id", "date"], "left").select("series_id", "date", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])

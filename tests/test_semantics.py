@@ -541,3 +541,10 @@ def test_refund_texts_are_normalised_once_for_all_that_reads_them(spark):
     got = [(r.line, r.refund_no, r.source_receipt_no, r.refund_status, r.refund_amount_minor, r.currency_code, r.refund_date) for r in rows.collect()]
     assert sorted(got) == [(1, "RF1", "A-1", "已退款", 100050, "HKD", None), (2, "RF1", "A-1", "已退款", 500, "USD", None)]
     assert sorted((r.line, r.blocking_code) for r in refused.collect()) == [(3, "EMPTY_REFUND_ORDER_NO"), (4, "INVALID_REFUND_AMOUNT")]
+
+
+def test_days_of_a_series_are_worked_out_once(spark):
+    daily = spark.createDataFrame([("all", dt.date(2024, 1, d), float(d)) for d in (1, 4)], "series_id string, date date, revenue double")
+    filled = series_ops.fill_days(daily.where(F.col("revenue") > F.lit(0.5)), ["revenue"])
+    assert "0.5" not in filled._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.revenue for r in filled.orderBy("date").collect()] == [1.0, 0.0, 0.0, 4.0]
