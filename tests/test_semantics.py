@@ -15,7 +15,7 @@ from tallyspark.functions.quantile import exact_quantile, top_share_sum
 from tallyspark.operators import diff, drivers, exclusions, gates, quality, refunds, resolve, scope, similar
 from tallyspark.operators import series as series_ops
 from tallyspark.operators.mart import Mart, tag_tables
-from tallyspark.plans import backtest, forecast, leads, signals
+from tallyspark.plans import backtest, forecast, leads, preflight, signals
 from tallyspark.roles import SHEET_HEADINGS, normalize_receipts, to_headings, to_roles
 from tallyspark.rules import BusinessRules, load_rules
 from tallyspark.sources import calendar, store, tabular
@@ -543,6 +543,26 @@ def test_refund_texts_are_normalised_once_for_all_that_reads_them(spark):
     assert sorted((r.line, r.blocking_code) for r in refused.collect()) == [(3, "EMPTY_REFUND_ORDER_NO"), (4, "INVALID_REFUND_AMOUNT")]
 
 
+def test_dry_runs_work_out_the_merged_receipts_once(spark):
+    """The verdict starts from written rows: its plan does not hold the upload once for each figure."""
+    fields = "order_id string, receipt_no string, unified_date date, amount double, receipt_type string, pay_method string, branch string, salesperson string, is_tour boolean"
+    live = spark.createDataFrame([(f"o{i}", f"R{i}", dt.date(2024, 1, 1 + i), 100.0 + i, "AR", "cash", "X", "s", True) for i in range(9)], fields)
+    more = spark.createDataFrame([("o1", "R1", dt.date(2024, 1, 2), 500.0, "掛賬核銷", "cash", "X", "s", True)], fields)
+    months = preflight.monthly_revenue(live, "DESK").select(
+        "month", F.col("combined_revenue").alias("expected_total"), F.lit("blocking").alias("mode"), F.lit(False).alias("legacy_core"),
+        F.lit(1.0).alias("tolerance"), F.lit(scope.SCOPE_LABEL).alias("scope"), F.lit("v1").alias("version"),
+    )
+    found = preflight.upload_preflight(live, more, months, "DESK")
+    evidence = more.select(F.to_json(F.struct(*more.columns)).alias("prepared_payload"), F.lit("tour_data").alias("target_table"))
+    back = preflight.revocation_preflight(live, evidence, fields, months, "DESK")
+    for verdict in (found["verdict"], back["verdict"]):
+        assert "LocalTableScan" not in verdict._jdf.queryExecution().optimizedPlan().toString()
+        assert "Scan ExistingRDD[order_id" not in verdict._jdf.queryExecution().executedPlan().toString()
+    row, last = found["verdict"].first(), back["verdict"].first()
+    assert (row.status, row.drifting_months, row.drifting_orders, row.candidates) == ("proposal", 1, 1, 1)
+    assert (last.status, last.rows, last.drifting_months) == ("blocked", 9, 1)
+
+
 def test_days_of_a_series_are_worked_out_once(spark):
     daily = spark.createDataFrame([("all", dt.date(2024, 1, d), float(d)) for d in (1, 4)], "series_id string, date date, revenue double")
     filled = series_ops.fill_days(daily.where(F.col("revenue") > F.lit(0.5)), ["revenue"])
