@@ -20,11 +20,15 @@ OVER, UNDER = 4, 5
 #: Sets that each bucket's members are held against, by round; the last round holds all that are still apart against each other.
 PIVOTS = (1, 4, 32, None)
 DRAWS = 1 << 30
+#: Buckets of up to so many members have no pair left after the rounds with pivots; in larger ones sketches rule pairs out.
+CROWD = max(p for p in PIVOTS if p)
+#: Shingles of a set for each 64 bits of its sketch, and most such words of a sketch.
+SKETCH_SHINGLES, SKETCH_WORDS = 16, 32
 #: Shingles of a set that are held against another's at once, as a power of two.
 PART_BITS = 11
 SENT = "bucket int, part int, names binary, counts binary"
 ANSWER = "part int, names binary, counts binary"
-MARK = "tie long, first struct<last:boolean,doc_id:long,tie:long>, node long, n long, keys array<long>, places array<int>, level int, part int, s array<long>"
+MARK = "tie long, first struct<last:boolean,doc_id:long,tie:long>, node long, n long, keys array<long>, places array<int>, sketch array<long>, level int, part int, s array<long>"
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -50,6 +54,14 @@ def level_of(n: int) -> int:
     return (max(0, n - 1) >> PART_BITS).bit_length()
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the number of hashes by their low bits, as 64-bit words: two sets differ in as many hashes as their
+    sketches do in bits, or more. The number of words is a power of two; halves folded by XOR are the shorter sketch."""
+    words = min(SKETCH_WORDS, 1 << max(0, -(-len(hashes) // SKETCH_SHINGLES) - 1).bit_length())
+    at = (hashes & np.uint64(64 * words - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * words) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefix(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shared shingles among the rarest of a set, and their places in the order of rarity.
 
@@ -130,16 +142,16 @@ def _marking(bits: int):
                 known = names[at] == short
                 many[known] = counts[at[known]]
             keys, places = prefix(s, many)
-            rows.append((tie, first, node, len(s), keys.view(np.int64), places.astype(np.int32), None, None, None))
+            rows.append((tie, first, node, len(s), keys.view(np.int64), places.astype(np.int32), sketch(s) if len(keys) else None, None, None, None))
             if len(keys) and node not in seen:
                 seen.add(node)
                 for level in {level_of(len(s)), level_of(len(s) * UNDER // OVER)}:
                     part = (s >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(len(s), np.int64)
                     edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
-                    rows += [(tie, None, node, len(s), None, None, level, int(part[a]), s[a:b].view(np.int64)) for a, b in zip(edges, edges[1:])]
+                    rows += [(tie, None, node, len(s), None, None, None, level, int(part[a]), s[a:b].view(np.int64)) for a, b in zip(edges, edges[1:])]
         first = pa.struct([("last", pa.bool_()), ("doc_id", pa.int64()), ("tie", pa.int64())])
-        kinds = (pa.int64(), first, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-        columns = ["tie", "first", "node", "n", "keys", "places", "level", "part", "s"]
+        kinds = (pa.int64(), first, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        columns = ["tie", "first", "node", "n", "keys", "places", "sketch", "level", "part", "s"]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=columns)
 
     return mark
@@ -171,6 +183,19 @@ def near(n_a: Column, n_b: Column, place_a: Column, place_b: Column) -> Column:
     return (UNDER * F.least(n_a, n_b) >= OVER * F.greatest(n_a, n_b)) & ((OVER + UNDER) * common >= OVER * (n_a + n_b))
 
 
+def few_differ(n_a: Column, n_b: Column, sketch_a: Column, sketch_b: Column) -> Column:
+    """Whether sets of these sizes can be alike with these sketches, whose bits differ in no more places than the sets do.
+    Sets of near sizes have as many words or twice as many. One without a sketch can be alike."""
+
+    def folded(a: Column, b: Column) -> Column:
+        half = F.size(b)
+        return F.when(F.size(a) > half, F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(a)
+
+    bits = F.zip_with(folded(sketch_a, sketch_b), folded(sketch_b, sketch_a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+    return F.coalesce((OVER + UNDER) * differ <= (UNDER - OVER) * (n_a + n_b), F.lit(True))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(u, v)`` of ``pairs(u, v, n_u, n_v)`` that are alike: common shingles are counted part by part."""
     most = F.greatest("n_u", "n_v")
@@ -201,14 +226,25 @@ def _pairs_of_texts(found: DataFrame, candidates: DataFrame) -> DataFrame:
     return pairs.where((F.col("u") != F.col("v")) & near(F.col("n_u"), F.col("n_v"), F.lit(0), F.lit(0))).distinct()
 
 
+def _with_sketches(entries: DataFrame, found: DataFrame, tasks: int) -> DataFrame:
+    """Members of buckets, those of crowded ones with the sketch of their set. Few buckets are crowded, so the others' rows stay short."""
+    crowded = entries.where(F.col("size") > CROWD)
+    nodes = crowded.select("node").distinct()
+    known = found.where(F.size("keys") > 0).select("node", "sketch").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    crowded = materialised(crowded.join(known, "node").select(*entries.columns, "sketch").coalesce(tasks))
+    rest = entries.where(F.col("size") <= CROWD).withColumn("sketch", F.lit(None).cast("array<long>"))
+    return rest.unionByName(crowded).coalesce(tasks)
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", candidates: DataFrame | None = None) -> DataFrame:
     """``(doc_id, tie)`` of one row of each group of chained copies: the smallest id (null last), then the smallest text hash.
 
     Pairs of text hashes ``candidates(a, b)``, as SimHash finds them, are verified and joined before the first round, which
     then has only what they leave apart to look for. Equal sets are folded first. Sets that share one of their rare shingles are in one bucket; sizes and the place of the
-    shingle rule most pairs out before their sets are looked at. In each round the members of a bucket that are not yet in
-    one group are held against a few of them: first against the smallest, then against some drawn by hash, at last
-    whatever is outside of a bucket's largest group against all of it. A group of many copies is joined after few rounds,
+    shingle rule most pairs out before their sets are looked at, in crowded buckets sketches of the sets most others. In each
+    round the members of a bucket that are not yet in one group are held against a few of them: first against the smallest,
+    then against some drawn by hash (all, if the bucket is not crowded), at last whatever is outside of a crowded bucket's
+    largest group against all of it. A group of many copies is joined after few rounds,
     so its pairs are never listed, and no pair that could join two groups is left out.
     """
     prepare(docs.sparkSession)
@@ -220,14 +256,15 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
     entries = materialised(entries.join(sizes, "bucket"))
     tasks = tasks_for(entries.count())
-    entries = entries.coalesce(tasks)
+    entries = _with_sketches(entries, found, tasks)
 
     links = roots = None
     if candidates is not None:
         links = materialised(verified(_pairs_of_texts(found, candidates), sets).coalesce(tasks))
         roots = connected_components(links)
     for few in PIVOTS:
-        state = entries.withColumn("root", F.col("node")) if roots is None else entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        held = entries if few else entries.where(F.col("size") > CROWD)
+        state = held.withColumn("root", F.col("node")) if roots is None else held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = state.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root").alias("major")).where("lo < hi")
         state = materialised(state.join(apart.select("bucket", "major"), "bucket").coalesce(tasks))
         if state.isEmpty():
@@ -239,9 +276,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             chosen = F.col("root") != F.col("major")
         pivots, others = (
-            some.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place", "root")]) for x, some in (("a", state.where(chosen)), ("b", state))
+            some.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place", "sketch", "root")]) for x, some in (("a", state.where(chosen)), ("b", state))
         )
         fits = near(F.col("n_a"), F.col("n_b"), F.col("place_a"), F.col("place_b"))
+        fits = fits & few_differ(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"))
         pairs = pivots.join(others, "bucket").where((F.col("root_a") != F.col("root_b")) & fits)
         ends = [F.struct(F.col(f"node_{x}").alias("node"), F.col(f"n_{x}").alias("n")) for x in "ab"]
         pairs = pairs.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from tallyspark.llm import copies, simhash
 
 
@@ -119,3 +120,41 @@ def test_pairs_are_verified_in_parts():
     assert all(copies.level_of(n) == 0 for n in sizes if n <= 2048) and copies.level_of(2049) == 1 and copies.level_of(8193) == 3
     # the larger of two alike sets sets the level, and the smaller is stored at it
     assert all(copies.level_of(m) in {copies.level_of(n), copies.level_of(n * 5 // 4)} for n in sizes for m in range(n, n * 5 // 4 + 1, 3))
+
+
+def test_crowded_buckets_of_unlike_texts_make_few_pairs(spark, frame, small, monkeypatch):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    body = [[rng.choice(words) for _ in range(13)] for _ in range(8)]
+    variants = [[[rng.choice(words) for _ in range(5)] for _ in range(2)] for _ in range(8)]
+    # two texts differ in two passages or more and stay below 0.8; 64 texts share each passage, so that all shingles are common
+    codes = [c for c in range(256) if bin(c).count("1") % 2 == 0]
+    rows = [(c, " ".join(w for i in range(8) for w in body[i] + variants[i][c >> i & 1])) for c in codes]
+    rows += [(1000 + i, t.replace(" ", " x ", 1)) for i, (_, t) in enumerate(rows[:5])]
+    held, verified = [], copies.verified
+
+    def counted(pairs, sets):
+        held.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(copies, "verified", counted)
+    check(rows, [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, frame(rows), small).collect()])
+    assert sum(held) < 1500, held
+
+
+def test_sketches_rule_no_alike_pair_out(spark):
+    rng = np.random.default_rng(4)
+    pairs = []
+    for n in (1, 2, 15, 16, 17, 31, 33, 100, 128, 129, 256, 260, 500, 513, 600, 3000):
+        for m in sorted({n, n * 9 // 10, n * 4 // 5}):
+            for share in (0.0, 0.5, 0.7, 0.889, 0.95, 1.0):
+                a, common = rng.integers(0, 1 << 63, n, dtype=np.uint64), min(m, -(-int(share * (n + m)) // 2))
+                b = np.concatenate([a[:common], rng.integers(0, 1 << 63, m - common, dtype=np.uint64)])
+                pairs.append((n, m, common, copies.sketch(a).tolist(), copies.sketch(b).tolist()))
+    df = spark.createDataFrame(pairs, "n_a long, n_b long, common long, sketch_a array<long>, sketch_b array<long>")
+    rows = [(r, r.fits) for r in df.withColumn("fits", copies.few_differ(*(df[c] for c in ("n_a", "n_b", "sketch_a", "sketch_b")))).collect()]
+    alike = [9 * r.common >= 4 * (r.n_a + r.n_b) for r, _ in rows]
+    assert sum(alike) > 50 and all(fits for (_, fits), x in zip(rows, alike) if x)
+    # sketches of sets up to 500 tell those that share 0.7 of their hashes or less
+    far = [fits for r, fits in rows if 100 <= r.n_a <= 600 and 2 * r.common <= 0.72 * (r.n_a + r.n_b)]
+    assert len(far) > 50 and not any(far)
