@@ -44,11 +44,21 @@ def official_scope(
     return drop_orders(tour, out), drop_orders(others, out)
 
 
-def official_rows(receipts: DataFrame, types=EXCLUDED_RECEIPT_TYPES, methods=EXCLUDED_PAY_METHODS) -> DataFrame:
-    """The same over one frame that holds both tables."""
+def official_rows(
+    receipts: DataFrame, types=EXCLUDED_RECEIPT_TYPES, methods=EXCLUDED_PAY_METHODS, key: str | None = None
+) -> DataFrame:
+    """The same over one frame that holds both tables.
+
+    ``key`` may name a column that stands for the order number, one to one. Rows that already lie by that key need not be
+    dealt out again by the text of the number.
+    """
     if not types and not methods:
         return receipts
-    return drop_orders(receipts, excluded_orders([receipts], types, methods))
+    if key is None:
+        return drop_orders(receipts, excluded_orders([receipts], types, methods))
+    named = F.col("order_id").isNotNull() & (F.trim("order_id") != "")
+    out = receipts.where(is_excluded_receipt(receipts, types, methods) & named).select(F.col(key).alias("_excluded_key")).distinct()
+    return receipts.join(out, F.col(key) == F.col("_excluded_key"), "left_anti")
 
 
 def scope_audit(receipts: DataFrame, types=EXCLUDED_RECEIPT_TYPES, methods=EXCLUDED_PAY_METHODS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.keys import attach_one_row
-from tallyspark.session import cut_lineage
+from tallyspark.session import cut_lineage, written
 
 SERIES, WHOLE = "series_id", "all"
 AT = [SERIES, "cutoff"]
@@ -37,13 +37,13 @@ def order_days(source: DataFrame, series: Column | None = None) -> DataFrame:
 
     Every receipt counts in the series ``all`` and, with ``series``, in the series that expression names (none if null).
     """
-    named = F.array(F.lit(WHOLE)) if series is None else F.array_distinct(F.array_compact(F.array(F.lit(WHOLE), series)))
     keys = ["date", "order_id", "salesperson", "at_desk", "is_specialist", "is_long_haul"]
-    # summed by the name first, so that the copy for the series of everything is made of sums
-    sums = source.withColumn("_named", named).groupBy("_named", *keys).agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("receipts"))
-    rows = sums.withColumn(SERIES, F.explode("_named"))
+    measures = [F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("receipts")]
     if series is None:
-        return rows.select(SERIES, *keys, "amount", "receipts")
+        return source.groupBy(*keys).agg(*measures).select(F.lit(WHOLE).alias(SERIES), *keys, "amount", "receipts")
+    # summed by the name first, so that the copy for the series of everything is made of sums
+    sums = source.withColumn("_named", series).groupBy("_named", *keys).agg(*measures)
+    rows = sums.withColumn(SERIES, F.explode(F.array_distinct(F.array_compact(F.array(F.lit(WHOLE), "_named")))))
     return rows.groupBy(SERIES, *keys).agg(F.sum("amount").alias("amount"), F.sum("receipts").alias("receipts"))
 
 
@@ -172,15 +172,17 @@ def large_order_threshold(days: DataFrame, cutoffs: DataFrame, floor: float = LA
     asked = _asked(cutoffs)
     listed = asked.groupBy(SERIES).agg(F.array_sort(F.collect_set("cutoff")).alias("_cutoffs"))
     ends = listed.select(SERIES, F.col("_cutoffs")[0].alias("_first"), F.element_at("_cutoffs", -1).alias("_last"))
-    work = _with_own(with_series(days).groupBy(SERIES, "order_id", "date").agg(F.sum("amount").alias("amount")), ends)
+    work = _with_own(with_series(days).select(SERIES, "order_id", "date", "amount"), ends)
     early = F.col("date") <= F.col("_first")
-    between = ~early & (F.col("date") <= F.col("_last"))
-    per_order = work.groupBy(SERIES, "order_id").agg(
-        F.sum(F.when(early, F.col("amount"))).alias("_base"),
-        F.collect_list(F.when(between, F.struct("date", "amount"))).alias("_later"),  # days inside the cutoff span
+    # days inside the cutoff span stay apart, one row each; all before them goes straight into one sum an order
+    between = work.where(~early & (F.col("date") <= F.col("_last"))).groupBy(SERIES, "order_id", "date").agg(F.sum("amount").alias("amount"))
+    before = work.where(early).select(SERIES, "order_id", F.lit(None).cast("date").alias("date"), "amount")
+    per_order = before.unionByName(between).groupBy(SERIES, "order_id").agg(
+        F.sum(F.when(F.col("date").isNull(), F.col("amount"))).alias("_base"),
+        F.collect_list(F.when(F.col("date").isNotNull(), F.struct("date", "amount"))).alias("_later"),
     )
-    # read four times below: written once, an order a row
-    per_order = cut_lineage(per_order)
+    # read four times below: written once, an order a row, without its number
+    per_order = written(per_order.drop("order_id"))
     settled = per_order.where((F.size("_later") == 0) & F.col("_base").isNotNull()).select(SERIES, F.col("_base").alias("v"))
     moving = _with_own(per_order.where(F.size("_later") > 0), listed).select(SERIES, "_base", "_later", F.explode("_cutoffs").alias("cutoff"))
     known = F.filter("_later", lambda x: x["date"] <= F.col("cutoff"))

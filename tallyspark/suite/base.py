@@ -177,18 +177,28 @@ class Tables:
     def receipts(self, *roles: str) -> DataFrame:
         """The asked roles only; a dimension is joined only if a role needs it."""
         wanted = roles or (*ALL_ROLES, "is_tour")
+        return self._described(self._lines(wanted), wanted)
+
+    def _lines(self, wanted) -> DataFrame:
+        """Line items, with their order if a role needs it. The amount is worked out first: one column to move, not two."""
         df = self.lineitem
+        if "amount" in wanted:
+            df = df.withColumn("amount", _LINE["amount"]())
         if any(r in _ORDER for r in wanted):
             orders = self.orders.select("o_orderkey", "o_orderdate", "o_orderstatus")
             df = df.join(orders, df.l_orderkey == orders.o_orderkey, "left")
+        return df
+
+    def _described(self, df: DataFrame, wanted) -> DataFrame:
+        """Lines with the parts and suppliers that the roles need, as roles."""
         if any(r in _PART for r in wanted):
             part = self.part.select("p_partkey", "p_size", "p_brand", "p_type", "p_name")
-            df = df.join(part, df.l_partkey == part.p_partkey, "left")
+            df = df.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
         if any(r in _SUPPLIER for r in wanted):
             supplier = self.supplier.select("s_suppkey", "s_nationkey")
-            df = df.join(supplier, df.l_suppkey == supplier.s_suppkey, "left")
+            df = df.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
         sources = {**_LINE, **_ORDER, **_PART, **_SUPPLIER}
-        return df.select([sources[r]().alias(r) for r in wanted])
+        return df.select([F.col(r) if r in df.columns else sources[r]().alias(r) for r in wanted])
 
     def split(self, *roles: str) -> tuple[DataFrame, DataFrame]:
         """Tour and others receipts."""
@@ -197,11 +207,17 @@ class Tables:
         return both.where("is_tour").drop("is_tour"), both.where(~F.col("is_tour")).drop("is_tour")
 
     def official(self, *roles: str) -> DataFrame:
-        """Receipts of both tables in the official scope."""
+        """Receipts of both tables in the official scope.
+
+        Orders leave before parts and suppliers are joined, by the key that the lines were brought together with their orders
+        by: an order's number is made of its key, one to one.
+        """
         from tallyspark.operators.scope import official_rows
 
-        wanted = dict.fromkeys((*(roles or ALL_ROLES), "order_id", "receipt_type", "pay_method", "is_tour"))
-        return official_rows(self.receipts(*wanted))
+        scoped = ("order_id", "receipt_type", "pay_method")
+        wanted = dict.fromkeys((*(roles or ALL_ROLES), *scoped, "is_tour"))
+        lines = self._lines(wanted).withColumns({r: {**_LINE, **_ORDER}[r]() for r in scoped})
+        return self._described(official_rows(lines, key="l_orderkey"), wanted)
 
 
 def money(name: str, out: str | None = None) -> Column:

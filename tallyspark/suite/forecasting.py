@@ -12,7 +12,7 @@ from tallyspark.plans import forecast as fc
 from tallyspark.plans import governance as g
 from tallyspark.plans import report as rep
 from tallyspark.plans import signals as sg
-from tallyspark.session import cut_lineage
+from tallyspark.session import cut_lineage, written
 from tallyspark.sources import calendar as cal
 from tallyspark.suite.base import CRUISE_BRANDS, DESK, OFFICIAL_SQL, RECEIPTS_SQL, RULES, query, rounded, texted
 from tallyspark.suite.cleaning import _SIGNAL_SQL, _signal
@@ -411,7 +411,8 @@ _THR = "thr AS (SELECT c, greatest(100000.0, quantile_cont(a, 0.95)) AS th FROM
 
 @query("A33_large_order_threshold", f"WITH {_SRC}, {_THR} SELECT c::VARCHAR AS cutoff, round(th, 2) AS large_order_threshold FROM thr")
 def a33(t):
-    return rounded(texted(sg.large_order_threshold(*_days(t)).drop("series_id")), 2)
+    days, cuts = _days(t)
+    return rounded(texted(sg.large_order_threshold(written(days), cuts).drop("series_id")), 2)
 
 
 @query(
@@ -423,6 +424,7 @@ SELECT c::VARCHAR AS cutoff, count(*) FILTER (n3 > 0) AS orders_3, count(*) FILT
 )
 def a34(t):
     days, cuts = _days(t)
+    days = written(days)
     limits = sg.large_order_threshold(days, cuts).withColumn("large_order_threshold", F.col("large_order_threshold") / 3)  # a third, so that some orders are large
     out = sg.order_window_stats(days, cuts, limits).select(
         "cutoff", "orders_3", "orders_7", "orders_14", "large_orders_7", "max_order_7", "large_total_7", "longhaul_orders_7", "longhaul_max_order_7", "unique_salespersons_7", "top_seller_order_share_7", "top_seller_amount_7"
@@ -457,7 +459,8 @@ sig AS (SELECT *, CASE WHEN score >= 5 THEN 'High' WHEN score >= 3 THEN 'Medium'
 
 
 def _series_signals(t):
-    rows = t.official(*_SIGNAL_ROLES)
+    # read three times below: written once, as columns, which take less than rows
+    rows = written(t.official(*_SIGNAL_ROLES).select(*_SIGNAL_ROLES, "is_tour"))
     series = s.daily_series(rows, CRUISE_BRANDS).unionByName(s.daily_series(rows, CRUISE_BRANDS, F.col("branch")))
     total = series.where(F.col("line") == "total")
     pairs = s.cutoff_days(series, 30, (1,))
@@ -465,7 +468,7 @@ def _series_signals(t):
     before = total.select("series_id", F.date_add("date", 7).alias("actual_date"), F.col("revenue").alias("prediction"))
     out = pairs.join(actual, ["series_id", "actual_date"]).join(before, ["series_id", "actual_date"], "left").na.fill(0.0, ["prediction"])
     detail = with_errors(out.withColumns({"strategy": F.lit(fc.STRATEGY_TOTAL), "model": F.lit(fc.BASE_TRACK)}))
-    detail, days = cut_lineage(detail), cut_lineage(sg.order_days(sg.spike_source(rows, RULES), F.col("branch")))
+    detail, days = cut_lineage(detail), written(sg.order_days(sg.spike_source(rows, RULES), F.col("branch")))
     limits = sg.large_order_threshold(days, detail).withColumn("large_order_threshold", F.col("large_order_threshold") / 3)
     states = cut_lineage(sg.order_window_stats(days, detail, limits))
     return detail, days, states, sg.spike_detail(detail, days, _calendar(t), states)

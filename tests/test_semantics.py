@@ -568,3 +568,37 @@ def test_days_of_a_series_are_worked_out_once(spark):
     filled = series_ops.fill_days(daily.where(F.col("revenue") > F.lit(0.5)), ["revenue"])
     assert "0.5" not in filled._jdf.queryExecution().optimizedPlan().toString()
     assert [r.revenue for r in filled.orderBy("date").collect()] == [1.0, 0.0, 0.0, 4.0]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_orders_leave_by_their_key_as_by_their_number(spark):
+    data = [("1", 1, "掛賬核銷"), ("1", 1, "a"), ("2", 2, "a"), (None, None, "掛賬核銷"), (" ", 3, "掛賬核銷"), (" ", 3, "a"), ("4", 4, "a"), ("4", 4, " 掛賬核銷 ")]
+    df = spark.createDataFrame(data, "order_id string, k long, receipt_type string").withColumn("pay_method", F.lit("x"))
+    by_key = sorted(map(str, scope.official_rows(df, key="k").collect()))
+    assert by_key == sorted(map(str, scope.official_rows(df).collect())) and len(by_key) == 4
+
+
+def test_signals_of_every_series_read_the_receipts_once(spark, small):
+    from tallyspark.suite import forecasting
+    from tallyspark.suite.base import Tables
+
+    tables = Tables(spark, small)
+    days = forecasting._series_signals(tables)[1]
+    files = [f for f in days.inputFiles()]
+    assert files and all("/table-" in f for f in files)
+    assert "LeftAnti" not in _plan(days)
+    # a line of an order that leaves meets no part
+    plan = _plan(tables.official("dept", "amount"))
+    assert plan.index("LeftAnti") > plan.index("p_brand") and plan.count("p_brand") and "l_extendedprice" not in plan.split("LeftAnti")[0]
+
+
+def test_large_order_limits_keep_one_row_a_day_of_an_order(spark):
+    day = dt.date(2024, 1, 1)
+    data = [("all", day + dt.timedelta(d), o, s, float(v)) for d, o, s, v in ((0, "a", "x", 5), (0, "a", "y", 6), (2, "a", "x", 1), (2, "a", "y", 2), (2, None, "x", 9), (9, "b", "x", 50))]
+    days = spark.createDataFrame(data, "series_id string, date date, order_id string, salesperson string, amount double")
+    cuts = spark.createDataFrame([("all", day), ("all", day + dt.timedelta(2)), ("all", day + dt.timedelta(3))], "series_id string, cutoff date")
+    found = {r.cutoff.day: r.large_order_threshold for r in leads.large_order_threshold(days, cuts, floor=0.0).collect()}
+    assert found == pytest.approx({1: 11.0, 3: 9 + 0.95 * 5, 4: 9 + 0.95 * 5})
