@@ -232,5 +232,6 @@ def analytics_bundle(facts: DataFrame, period: Period = Period(), entity: str |
 
 
 def facts_read_model(facts: DataFrame) -> dict[str, DataFrame]:
-    """The all-time bundle plus combined product totals."""
+    """The all-time bundle plus combined product totals. The grid is written once; every part reads it from there."""
+    facts = cut_lineage(facts)
     return {**analytics_bundle(facts), "combined_products": product_totals(facts)}

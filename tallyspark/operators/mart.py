@@ -144,8 +144,8 @@ class Mart:
     def facts(self) -> DataFrame:
         """Every configured branch and every specialist on every day, with the three line amounts.
 
-        The receipts are aggregated once; days and amounts both come from that aggregate, so its shuffle is
-        reused. Keys are made non-null first, which keeps the two uses of it identical for the planner.
+        The receipts are read and aggregated once: each day holds the sums of its configured entities, at most one for each,
+        and every row of the grid looks its own up. Days on which nothing but other entities sold are kept.
         """
         lined = self.lined().where(F.col("unified_date").isNotNull())
         desk = F.coalesce(F.col("branch") == self.rules.specialist_desk, F.lit(False))
@@ -155,8 +155,12 @@ class Mart:
         listed = [("branch", code, name) for code, name in self.rules.branches.items()]
         listed += [("specialist", name, name) for name in self.rules.specialists]
         rows = [F.struct(F.lit(c).alias("channel"), F.lit(k).alias("code"), F.lit(n).alias("entity")) for c, k, n in listed]
-        grid = sums.select("unified_date").distinct().select("unified_date", F.explode(F.array(*rows)).alias("e")).select("unified_date", "e.*")
-        joined = grid.join(sums, ["channel", "entity", "unified_date"], "left")
+        of = {c: [n for x, _, n in listed if x == c] for c in ("branch", "specialist")}
+        wanted = F.when(F.col("channel") == "specialist", F.col("entity").isin(*of["specialist"])).otherwise(F.col("entity").isin(*of["branch"]))
+        held = F.collect_list(F.when(wanted, F.struct("channel", "entity", *LINES)))
+        grid = sums.groupBy("unified_date").agg(held.alias("_sums")).select("unified_date", "_sums", F.explode(F.array(*rows)).alias("e"))
+        own = F.get(F.filter("_sums", lambda s: (s["channel"] == F.col("e.channel")) & (s["entity"] == F.col("e.entity"))), F.lit(0))
+        joined = grid.select("unified_date", "e.*", own.alias("_own")).select("unified_date", "channel", "code", "entity", *[f"_own.{x}" for x in LINES])
         kind = F.when(F.col("channel") == "specialist", F.lit(SPECIALIST_KIND)).otherwise(branch_kind(F.col("entity")))
         return joined.select(
             "channel",

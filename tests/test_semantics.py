@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.money import is_bad_money, to_minor
 from tallyspark.functions.quantile import exact_quantile, top_share_sum
-from tallyspark.operators import diff, drivers, exclusions, gates, quality, refunds, resolve, scope, similar
+from tallyspark.operators import dashboards, diff, drivers, exclusions, gates, quality, refunds, resolve, scope, similar
 from tallyspark.operators import series as series_ops
 from tallyspark.operators.mart import Mart, tag_tables
 from tallyspark.plans import backtest, forecast, leads, preflight, signals
@@ -602,3 +602,21 @@ def test_large_order_limits_keep_one_row_a_day_of_an_order(spark):
     cuts = spark.createDataFrame([("all", day), ("all", day + dt.timedelta(2)), ("all", day + dt.timedelta(3))], "series_id string, cutoff date")
     found = {r.cutoff.day: r.large_order_threshold for r in leads.large_order_threshold(days, cuts, floor=0.0).collect()}
     assert found == pytest.approx({1: 11.0, 3: 9 + 0.95 * 5, 4: 9 + 0.95 * 5})
+
+
+def test_facts_read_the_receipts_once(spark):
+    rules = BusinessRules(branch_map={"01": "A", "02": "B"}, exclude_prefixes=(), target_branches=("A", "B"), specialists=("S",), specialist_desk="D")
+    data = [(1, "A", "x", 5.0), (1, "B", "x", 7.0), (1, "D", "S", 9.0), (2, "Z", "x", 3.0), (2, "D", None, 4.0), (2, None, "x", 1.0)]
+    df = spark.createDataFrame(data, "d int, branch string, salesperson string, amount double").withColumns(
+        {"unified_date": F.make_date(F.lit(2024), F.lit(1), F.col("d")), "is_tour": F.lit(True), "dept": F.lit("t"), "order_id": F.col("d").cast("string"), "receipt_type": F.lit("a"), "pay_method": F.lit("b")}
+    )
+    facts = Mart(scope.official_rows(df), rules).facts()
+    assert _plan(facts).count("LogicalRDD") == 1
+    entities = sorted({*rules.branches.items()} | {("S", "S")})
+    found = {(r.channel, r.code, r.entity, r.day.day): (r.tour, r.cruise, r.ticket) for r in facts.collect()}
+    assert len(found) == 2 * len(entities) == facts.count()
+    assert {k: v for k, v in found.items() if any(v)} == {
+        ("specialist", "S", "S", 1): (9.0, 0.0, 0.0),
+        **{("branch", c, n, 1): (5.0 if n == "A" else 7.0, 0.0, 0.0) for c, n in rules.branches.items() if n in "AB"},
+    }
+    assert "make_date" not in _plan(dashboards.facts_read_model(facts)["combined_products"])
