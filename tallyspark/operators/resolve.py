@@ -14,6 +14,7 @@ from tallyspark.operators.filters import period_column, rule_period
 from tallyspark.operators.similar import closest
 from tallyspark.roles import UNKNOWN
 from tallyspark.rules import BusinessRules
+from tallyspark.session import cut_lineage
 
 NAME_CUTOFF = 0.6
 OPERATOR_CUTOFF = 0.82
@@ -44,16 +45,19 @@ def branch_by_prefix(order_id: Column, branch_map: dict[str, str], default: str
 
 
 def starts_with_any(c: Column, prefixes) -> Column:
-    hit = F.lit(False)
-    for prefix in prefixes:
-        hit = hit | c.startswith(prefix)
-    return hit
+    """Whether the text begins with one of the prefixes. The text is named once, however many prefixes there are."""
+    return c.rlike(f"\\A{_any_of(prefixes)}")
+
+
+def _any_of(prefixes) -> str:
+    """Pattern of the literal texts; of none, one that fits nothing."""
+    return f"(?:{'|'.join(map(re.escape, prefixes))})" if prefixes else "(?!)"
 
 
 def keep_mapped_orders(df: DataFrame, rules: BusinessRules, column: str = "order_id") -> DataFrame:
     """Orders of mapped prefixes that no exclusion prefix covers; an empty exclusion list excludes nothing."""
-    c = F.col(column)
-    return df.where(starts_with_any(c, rules.branch_map) & ~starts_with_any(c, rules.exclude_prefixes))
+    # one pattern for both: a filter is pushed down to the raw text, which is cleaned anew wherever the filter names it
+    return df.where(F.col(column).rlike(f"\\A(?!{_any_of(rules.exclude_prefixes)}){_any_of(rules.branch_map)}"))
 
 
 # --- product attributes -------------------------------------------------------------------------------------
@@ -103,10 +107,11 @@ def standardize_names(
 ) -> tuple[DataFrame, DataFrame]:
     """Replace names by their standard form; the log has one row per changed or unmatched raw name.
 
-    ``names`` may give the raw names from an earlier, cheaper frame, so that ``df`` is not computed twice.
+    ``names`` may give the raw names from an earlier, cheaper frame, so that ``df`` is not computed twice. The different ones
+    among them are written once, being read twice.
     """
     found = name_matches(df, column, standard)
-    lookup = found if names is None else name_matches(names, column, standard)
+    lookup = found if names is None else name_matches(cut_lineage(names.select(column).distinct()), column, standard)
     fixed = df.join(lookup.select(column, "standard_name"), column, "left")
     fixed = fixed.withColumn(column, F.coalesce("standard_name", F.col(column))).drop("standard_name")
     log = found.where(F.col("found_by") != "listed").select(
@@ -133,7 +138,9 @@ def operator_matches(df: DataFrame, specialists: tuple[str, ...], column: str =
     by_key = {_key_of(s): s for s in specialists if _key_of(s)}
     codes = ((re.match("[A-Z0-9]*", _key_of(s)).group(0), s) for s in specialists)
     by_code = {code: s for code, s in codes if code}
-    names = df.select(column).distinct().withColumn("_key", match_key(F.col(column)))
+    # the key hangs on the count, so that what is asked of it below is not pushed under the aggregate and asked of every row
+    names = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    names = names.select(column, match_key(F.when(F.col("_n") > 0, F.col(column))).alias("_key"))
     names = names.where(F.col("_key") != "")
     if not by_key and not by_code:
         return names.select(column, F.lit(None).cast("string").alias("specialist"), F.lit(None).cast("string").alias("stage"))
@@ -180,9 +187,10 @@ def _shown(c: Column, default: str = BLANK_TEXT) -> Column:
 def override_by_operator(df: DataFrame, rules: BusinessRules, operators: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Receipts taken by a specialist go to the specialist desk under that specialist's name.
 
-    ``operators`` may give the operator texts from an earlier, cheaper frame.
+    ``operators`` may give the operator texts from an earlier, cheaper frame; the different ones among them are written once.
     """
-    matched = operator_matches(df if operators is None else operators, rules.specialists).select("operator", "specialist")
+    texts = df if operators is None else cut_lineage(operators.select("operator").distinct())
+    matched = operator_matches(texts, rules.specialists).select("operator", "specialist")
     joined = df.join(matched.where(F.col("specialist").isNotNull()), "operator", "left")
     settled = (F.trim("branch") == rules.specialist_desk) & (F.trim("salesperson") == F.col("specialist"))
     changes = F.col("specialist").isNotNull() & ~F.coalesce(settled, F.lit(False))

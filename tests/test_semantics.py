@@ -620,3 +620,19 @@ def test_facts_read_the_receipts_once(spark):
         **{("branch", c, n, 1): (5.0 if n == "A" else 7.0, 0.0, 0.0) for c, n in rules.branches.items() if n in "AB"},
     }
     assert "make_date" not in _plan(dashboards.facts_read_model(facts)["combined_products"])
+
+
+def test_prefixes_are_asked_in_one_look_at_the_text(spark):
+    texts = ["0.1x", "01x", "07A", "07", "0", "", None, "[a", "x01", "11\n0", "110"]
+    df = spark.createDataFrame([(x,) for x in texts], "order_id string")
+    rules = BusinessRules(branch_map={"0.1": "A", "07": "B", "[a": "C", "11": "D"}, exclude_prefixes=("07A", "110"))
+    kept = resolve.keep_mapped_orders(df, rules)
+    assert [r.order_id for r in kept.collect()] == ["0.1x", "07", "[a", "11\n0"]
+    cleaned = resolve.keep_mapped_orders(df.select(F.upper("order_id").alias("order_id")), rules)
+    # two names in the plan are the column itself; the filter adds one
+    assert _plan(cleaned.select(F.lit(1))).count("upper(") == 1
+    assert resolve.keep_mapped_orders(df, BusinessRules(branch_map={}, exclude_prefixes=())).count() == 0
+    assert [r.order_id for r in df.where(resolve.starts_with_any(F.col("order_id"), ())).collect()] == []
+    operators = spark.createDataFrame([("rep_01",), ("teller",), (None,)], "operator string")
+    plan = _plan(resolve.operator_matches(operators, ("REP_01",)))
+    assert all("[^A-Z0-9" not in line for line in plan.split("Aggregate [operator")[-1].splitlines()[1:])
