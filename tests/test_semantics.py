@@ -636,3 +636,18 @@ def test_prefixes_are_asked_in_one_look_at_the_text(spark):
     operators = spark.createDataFrame([("rep_01",), ("teller",), (None,)], "operator string")
     plan = _plan(resolve.operator_matches(operators, ("REP_01",)))
     assert all("[^A-Z0-9" not in line for line in plan.split("Aggregate [operator")[-1].splitlines()[1:])
+
+
+def test_receipts_that_cancel_do_not_travel(spark):
+    schema = "order_id string, receipt_no string, receipt_type string, pay_method string, branch string, sub_branch string, salesperson string, day string, amount double"
+    one = lambda no, amount, day="2024-01-01": ("O1", no, "a", "b", "c", "d", "e", day, amount)
+    live = spark.createDataFrame([one("R1", 5.0), one("R1", 5.0, "2024-01-02"), one("", 5.001), one(None, 1.0)], schema)
+    candidate = spark.createDataFrame([one("R1", 5.004), one("R1", 5.0, "2024-01-03"), one("", 6.0)], schema)
+    found = diff.receipt_pairs(live, candidate, spark.createDataFrame([("O1",)], "order_id string"))
+    assert "LeftSemi" not in _plan(found) and "_n_salesperson" not in _plan(found.select("row_key", "live_amount"))
+    got = sorted((r.row_key or "", r.ordinal, r.live_amount, r.candidate_amount, r.row_state) for r in found.collect())
+    fallback = "fallback::O1::2024-01-01::{}::a::b"
+    assert got == [
+        (fallback.format("1.00"), 1, 1.0, 0.0, "left_only"), (fallback.format("5.00"), 1, 5.0, 0.0, "left_only"),
+        (fallback.format("6.00"), 1, 0.0, 6.0, "right_only"), ("receipt::R1", 1, 5.0, 5.0, "both"),
+    ]
